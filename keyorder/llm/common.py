@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -77,7 +78,7 @@ def text_buffer(column: pa.Array) -> tuple[bytes, np.ndarray]:
 
 def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most about ``limit`` text bytes (one row at least): bounds a task's memory."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
     begin, held = 0, 0
     for i, size in enumerate(lengths.tolist()):
         if held and held + size > limit:
