@@ -30,8 +30,50 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import packing
+
+    return packed(packing.pack(documents(spark, sf_dir), "doc_id", "text", tokenizer_path("word_bpe_49k.json")))
+
+
+def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import sharding
+
+    return sharding.shard(documents(spark, sf_dir), "doc_id", "text", 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import chat
+
+    said = r"</s>[INST] ok [/INST]"
+    turns = chat.canonical(chat.gather(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "conv_id", "record")
+    probe = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"),
+    )
+    formatted = chat.render(turns.unionByName(chat.canonical(probe, "conv_id", "record")), "conv_id")
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return chat.read_back(formatted, "conv_id").select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def packed(pieces: DataFrame) -> DataFrame:
+    """Digest columns of packed pieces."""
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe}
+    return {"op2_byte_bpe": op2_byte_bpe, "op6_vector_packing": op6_vector_packing, "op7_sampled_splitters": op7_sampled_splitters, "op8_chat_fingerprints": op8_chat_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
