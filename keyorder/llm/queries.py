@@ -65,6 +65,16 @@ def op8_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import quality
+    from keyorder.llm.common import materialize
+
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
+    counts = materialize(quality.statistics(docs).drop("text"), "mcd-counts")
+    judged = quality.judge(counts, quality.fit(counts))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
+
+
 def packed(pieces: DataFrame) -> DataFrame:
     """Digest columns of packed pieces."""
     return pieces.select(
@@ -73,7 +83,13 @@ def packed(pieces: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op6_vector_packing": op6_vector_packing, "op7_sampled_splitters": op7_sampled_splitters, "op8_chat_fingerprints": op8_chat_fingerprints}
+    return {
+        "op2_byte_bpe": op2_byte_bpe,
+        "op6_vector_packing": op6_vector_packing,
+        "op7_sampled_splitters": op7_sampled_splitters,
+        "op8_chat_fingerprints": op8_chat_fingerprints,
+        "op9_robust_outliers": op9_robust_outliers,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
