@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from keyorder.llm.common import slices, text_buffer
 
 #: Text bytes handled at once in a task.
-CHUNK_BYTES = 4 << 20
-#: Merged pieces kept per task; the cache starts anew beyond it.
-CACHE_PIECES = 400_000
+CHUNK_BYTES = 1 << 20
+#: Merged pieces that a Python worker keeps; beyond it pieces are merged as they come.
+CACHE_PIECES = 300_000
 #: Longer pieces are merged but not kept.
 CACHE_PIECE_BYTES = 64
 
@@ -238,18 +238,23 @@ class _Pieces(dict):
 
     def __missing__(self, piece: bytes) -> bytes:
         out = np.array(merge(piece, self.ranks), "<u4").tobytes()
-        if len(piece) <= CACHE_PIECE_BYTES:
+        if len(piece) <= CACHE_PIECE_BYTES and len(self) < CACHE_PIECES:
             self[piece] = out
         return out
 
 
+@lru_cache(maxsize=1)
+def load_pieces(path: str) -> _Pieces:
+    """Lives as long as the Python worker, so later tasks find it filled."""
+    return _Pieces(load_ranks(path))
+
+
 class Encoder:
     """Encodes batches of texts; one per task."""
 
-    def __init__(self, ranks: dict[bytes, int], ranges: tuple[tuple[int, int, int], ...]):
-        self.ranks = ranks
+    def __init__(self, pieces: _Pieces, ranges: tuple[tuple[int, int, int], ...]):
         self.classes = class_table(ranges)
-        self.pieces = _Pieces(ranks)
+        self.pieces = pieces
 
     def split(self, data: bytes, at: np.ndarray) -> np.ndarray:
         """Byte offsets at which pieces begin in concatenated texts; ``at``: offsets of the texts."""
@@ -261,19 +266,19 @@ class Encoder:
         byte = np.cumsum(width) - width
         return byte[boundaries(points, np.searchsorted(byte, heads), self.classes)]
 
-    def encode(self, column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, piece offsets inside the text) of every text, both as little-endian unsigned 32-bit integers."""
-        for begin, end in slices(column, CHUNK_BYTES):
-            data, at = text_buffer(column.slice(begin, end - begin))
-            starts = self.split(data, at)
-            cuts = starts.tolist()
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces = _Pieces(self.ranks)
-            get = self.pieces.__getitem__
-            ids = [get(data[a:b]) for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
-            of = np.searchsorted(starts, at).tolist()
-            for i in range(end - begin):
-                yield b"".join(ids[of[i] : of[i + 1]]), (starts[of[i] : of[i + 1]] - at[i]).astype("<u4").tobytes()
+    def encode(self, column: pa.Array) -> tuple[list[bytes], list[bytes]]:
+        """Ids, and piece offsets inside the text, of every text: little-endian unsigned 32-bit integers."""
+        data, at = text_buffer(column)
+        starts = self.split(data, at)
+        cuts = starts.tolist()
+        get = self.pieces.__getitem__
+        ids = [get(data[a:b]) for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+        of = np.searchsorted(starts, at).tolist()
+        rows = range(len(column))
+        return (
+            [b"".join(ids[of[i] : of[i + 1]]) for i in rows],
+            [(starts[of[i] : of[i + 1]] - at[i]).astype("<u4").tobytes() for i in rows],
+        )
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str) -> DataFrame:
@@ -286,15 +291,12 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str) -> DataFr
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(load_ranks(vocab_path), ranges)
+        coder = Encoder(load_pieces(vocab_path), ranges)
         for batch in batches:
-            ids, starts = [], []
-            for a, b in coder.encode(batch.column(1)):
-                ids.append(a)
-                starts.append(b)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(starts, pa.binary())], [id_col, "ids", "piece_starts"]
-            )
+            for begin, end in slices(batch.column(1), CHUNK_BYTES):
+                part = batch.slice(begin, end - begin)
+                coded = (pa.array(x, pa.binary()) for x in coder.encode(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *coded], [id_col, "ids", "piece_starts"])
 
     schema = T.StructType(
         [T.StructField(id_col, kind), T.StructField("ids", T.BinaryType()), T.StructField("piece_starts", T.BinaryType())]
