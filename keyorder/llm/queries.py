@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyorder.llm.common import documents
@@ -16,6 +16,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out() -> Column:
+    """Documents that language models neither see nor learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import langid
+
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), "text", model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyorder.llm import bpe
 
@@ -84,6 +98,7 @@ def packed(pieces: DataFrame) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_byte_bpe": op2_byte_bpe,
         "op6_vector_packing": op6_vector_packing,
         "op7_sampled_splitters": op7_sampled_splitters,
