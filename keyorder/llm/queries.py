@@ -89,6 +89,13 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "distance")
 
 
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import ann
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
 def packed(pieces: DataFrame) -> DataFrame:
     """Digest columns of packed pieces."""
     return pieces.select(
@@ -104,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sampled_splitters": op7_sampled_splitters,
         "op8_chat_fingerprints": op8_chat_fingerprints,
         "op9_robust_outliers": op9_robust_outliers,
+        "op10_cross_polytope": op10_cross_polytope,
     }
 
 
