@@ -44,6 +44,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import jaccard
+
+    found = jaccard.join(documents(spark, sf_dir), "doc_id", "text")
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyorder.llm import packing
 
@@ -107,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_byte_bpe": op2_byte_bpe,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op6_vector_packing": op6_vector_packing,
         "op7_sampled_splitters": op7_sampled_splitters,
         "op8_chat_fingerprints": op8_chat_fingerprints,
