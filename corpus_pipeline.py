@@ -5,12 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from keyorder.llm import jaccard, langid, packing, quality
 from keyorder.llm.common import documents, materialize
+from keyorder.llm.queries import packed, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language compression tells clearly."""
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.identify(docs, "text", model).filter("accepted").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and aren't outliers of their language and source.
+
+    Counts are taken again where the verdict is needed, so no text is shuffled.
+    """
+    counted = quality.statistics(docs)
+    counts = materialize(counted.select("lang", "source", *quality.COUNTS, "base_failed"), "pipeline-counts")
+    return quality.judge(counted, quality.fit(counts)).filter("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of similar documents."""
+    found = jaccard.join(docs, "doc_id", "text")
+    gone = found.filter("doc_id != component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, placed in sequences."""
+    return packed(packing.pack(docs, "doc_id", "text", tokenizer_path("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("packing", pack),
+]
 
 #: The stages train models and search near duplicates: no SQL; tests hold them against brute force.
 ORACLE_SQL: str | None = None
