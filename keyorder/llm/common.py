@@ -37,16 +37,21 @@ class Written(str):
     """Path of a table in the shared folder."""
 
 
-def write_table(df: DataFrame, name: str) -> Written:
-    """Write ``df`` as Parquet in the shared folder: cuts lineage, survives lost executors."""
+def write_table(df: DataFrame, name: str, files: int | None = None) -> Written:
+    """Write ``df`` as Parquet in the shared folder: cuts lineage, survives lost executors.
+
+    ``files`` gathers a small table into so many files; each writer holds buffers of its own.
+    """
+    if files:
+        df = df.repartition(files)
     path = Written(f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, files))
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

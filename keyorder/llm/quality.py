@@ -49,6 +49,9 @@ ALPHA = 1e-7
 #: Estimates are broadcast up to this many groups and joined by shuffle beyond it.
 BROADCAST_GROUPS = 20_000
 
+#: Files of a table with a row for each group.
+FILES = 4
+
 PAIRS = list(combinations_with_replacement(range(DIMS), 2))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -226,7 +229,7 @@ def fit(rows: DataFrame, lang_col: str = "lang", source_col: str = "source") ->
 
     rows: the counts of ``statistics`` (written ones: they are read once for each step).
     """
-    where = materialize(labels(rows, lang_col, source_col), "mcd-groups")
+    where = materialize(labels(rows, lang_col, source_col), "mcd-groups", FILES)
     small = where.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     good = _placed(rows.filter(~F.col("base_failed")), where, lang_col, source_col, small)
     x = materialize(good.select("_group", *(v.alias(f"x{i}") for i, v in enumerate(vector(F.col("typical"))))), "mcd-vectors")
@@ -238,7 +241,7 @@ def fit(rows: DataFrame, lang_col: str = "lang", source_col: str = "source") ->
         "_group", "n", *(F.col(f"q{i}")[1].alias(f"med{i}") for i in range(DIMS)),
         *(F.greatest(spread(i), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(DIMS)),
     )
-    scale = materialize(scale.filter(F.col("n") >= MIN_GROUP), "mcd-scale")
+    scale = materialize(scale.filter(F.col("n") >= MIN_GROUP), "mcd-scale", FILES)
     plain = scale.select(
         "_group", F.lit(0).alias("start"), *(F.col(f"med{i}").alias(f"m{i}") for i in range(DIMS)),
         *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS),
@@ -255,20 +258,20 @@ def fit(rows: DataFrame, lang_col: str = "lang", source_col: str = "source") ->
             *((F.col(f"c{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"c{i}{j}") for i, j in PAIRS),
         )
     )
-    estimates = materialize(_with_root(plain.unionByName(spun), 1.0), "mcd-step")
+    estimates = materialize(_with_root(plain.unionByName(spun), 1.0), "mcd-step", FILES)
     both = x.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     keys = ["_group", "start"]
     for _ in range(STEPS):
         measured = _measured(both, estimates, keys)
         inside = measured.groupBy(*keys).agg(F.percentile_approx("d2", COVERED, F.lit(1000)).alias("most"))
         core = measured.join(inside, keys).filter(F.col("d2") <= F.col("most"))
-        estimates = materialize(_with_root(core.groupBy(*keys).agg(*_moments()), _consistency(COVERED)), "mcd-step")
+        estimates = materialize(_with_root(core.groupBy(*keys).agg(*_moments()), _consistency(COVERED)), "mcd-step", FILES)
     best = Window.partitionBy("_group").orderBy("logdet", "start")
     raw = estimates.withColumn("_k", F.row_number().over(best)).filter("_k = 1")
     share = 0.975
     near = _measured(x, raw, ["_group"]).filter(F.col("d2") <= _chi2_quantile(share, DIMS))
     final = _with_root(near.groupBy("_group").agg(*_moments()), _consistency(share))
-    return materialize(where.join(final.select("_group", *ESTIMATE), "_group", "left"), "mcd-estimates")
+    return materialize(where.join(final.select("_group", *ESTIMATE), "_group", "left"), "mcd-estimates", FILES)
 
 
 def judge(rows: DataFrame, estimates: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
