@@ -1,15 +1,330 @@
-"""Driver queries over the reference tables and the DuckDB SQL of each."""
+"""Driver queries over the reference tables and the DuckDB SQL of each.
+
+The driver compares rows without regard to their order, so every query shows
+order in a value: a position, or a fold that depends on order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from keyorder.functions import desc
+from keyorder.operators import (
+    fold_from_keyed_start,
+    fold_from_keyed_start_py,
+    map_with_resource,
+    map_with_resource_py,
+    sorted_fold,
+    sorted_fold_py,
+    sorted_groups,
+    sorted_join,
+)
+from keyorder.sources import table
+
+LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
+MODULUS = 1_000_003
+
+
+def _cents(c: str) -> Column:
+    return F.round(F.col(c) * 100).cast("bigint")
+
+
+def _positions(groups: DataFrame, key: str, *fields: str) -> DataFrame:
+    rows = groups.select(key, F.posexplode("values").alias("pos", "v"))
+    return rows.select(key, F.col("pos").cast("bigint").alias("pos"), *(F.col("v")[f].alias(f) for f in fields))
+
+
+def sorted_groups_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return _positions(sorted_groups(events, "user_id", ["ts", "event_id"], values=["ts", "event_id"]), "user_id", "event_id")
+
+
+def sorted_groups_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return _positions(sorted_groups(events, "user_id", values=["event_type", "event_id"]), "user_id", "event_type", "event_id")
+
+
+def sorted_groups_by_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    order = [-F.col("l_extendedprice"), *LINE]
+    return _positions(sorted_groups(lines, "l_orderkey", order, values=LINE), "l_orderkey", *LINE)
+
+
+def sorted_groups_desc_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    order = [desc("l_extendedprice"), desc("l_linenumber"), "l_partkey", "l_suppkey"]
+    return _positions(sorted_groups(lines, "l_orderkey", order, values=LINE, num_partitions=7), "l_orderkey", *LINE)
+
+
+def sorted_groups_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    found = sorted_groups(
+        events, "user_id", ["ts", "event_id"], values=["ts", "event_id"], num_partitions=3,
+        partition_id=F.pmod("user_id", F.lit(3)).cast("int"),
+    )
+    return _positions(found, "user_id", "event_id")
+
+
+def fold_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    step = lambda acc, v: (acc * 31 + v["l_partkey"] * 7 + v["l_linenumber"]) % MODULUS
+    return sorted_fold(lines, "l_orderkey", LINE, 1, step, "bigint", values=LINE, into="h")
+
+
+def fold_hash_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    step = lambda acc, v: (acc * 31 + v["l_partkey"] * 7 + v["l_linenumber"]) % MODULUS
+    return sorted_fold_py(lines, "l_orderkey", LINE, 1, step, "bigint", values=LINE, into="h")
+
+
+def fold_floor_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn(
+        "cents", F.when(F.col("event_type") == "purchase", _cents("value")).otherwise(-_cents("value"))
+    )
+    step = lambda acc, v: F.greatest(acc + v["cents"], F.lit(0))
+    return sorted_fold(events, "user_id", ["ts", "event_id"], 0, step, "bigint", values=["cents", "event_id"], into="balance")
+
+
+def fold_funnel_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed runs of view, click, purchase, by a Python state machine: 10 x completed + stage."""
+    stages = ("view", "click", "purchase")
+
+    def step(acc: int, v: dict) -> int:
+        done, stage = divmod(acc, 10)
+        if v["event_type"] == stages[stage]:
+            stage += 1
+        return 10 * (done + 1) if stage == 3 else 10 * done + stage
+
+    events = table(spark, sf_dir, "events")
+    return sorted_fold_py(events, "user_id", ["ts", "event_id"], 0, step, "bigint", values=["ts", "event_id", "event_type"], into="funnel")
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (_cents("o_totalprice") % MODULUS).alias("start"))
+
+
+def _with_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of orders that exist; an item without its order would be an error."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.join(_starts(spark, sf_dir).select("l_orderkey"), "l_orderkey", "left_semi")
+
+
+def fold_keyed_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = lambda acc, v: (acc * 31 + v["l_partkey"]) % MODULUS
+    return fold_from_keyed_start(
+        _with_starts(spark, sf_dir), _starts(spark, sf_dir), "l_orderkey", LINE, step, "bigint", start="start", values=LINE, into="h"
+    )
+
+
+def fold_keyed_start_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = lambda acc, v: (acc * 31 + v["l_partkey"]) % MODULUS
+    return fold_from_keyed_start_py(
+        _with_starts(spark, sf_dir), _starts(spark, sf_dir), "l_orderkey", LINE, step, "bigint", start="start", values=LINE, into="h"
+    )
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map for each nation that has customers, as a resource without values is an error."""
+    used = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
+    names = table(spark, sf_dir, "nation").join(used, "n_nationkey", "left_semi")
+    return names.select(
+        F.col("n_nationkey").alias("c_nationkey"),
+        F.create_map(F.lit(0), F.col("n_regionkey").cast("bigint"), F.lit(1), F.col("n_nationkey").cast("bigint") * 10).alias("lookup"),
+    )
+
+
+_CUSTOMER = ["c_custkey"]
+
+
+def _resource_result(found: DataFrame) -> DataFrame:
+    return found.select("c_nationkey", F.col("r.c_custkey").alias("c_custkey"), F.col("r.x").alias("x"))
+
+
+def resource_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = lambda r, v: F.struct(v["c_custkey"].alias("c_custkey"), (r["lookup"][(v["c_custkey"] % 2).cast("int")] + v["c_custkey"]).alias("x"))
+    customers = table(spark, sf_dir, "customer")
+    return _resource_result(map_with_resource(customers, _nations(spark, sf_dir), "c_nationkey", None, op, values=_CUSTOMER, into="r"))
+
+
+def resource_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    negated = lambda r: F.transform_values(r["lookup"], lambda _, x: -x)
+    op = lambda r, v: F.struct(v["c_custkey"].alias("c_custkey"), (r[(v["c_custkey"] % 2).cast("int")] + v["c_custkey"]).alias("x"))
+    customers = table(spark, sf_dir, "customer")
+    return _resource_result(
+        map_with_resource(customers, _nations(spark, sf_dir), "c_nationkey", None, op, prepare=negated, values=_CUSTOMER, into="r")
+    )
+
+
+def resource_prepared_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare = lambda r: {k: -x for k, x in r["lookup"]}
+    op = lambda r, v: {"c_custkey": v["c_custkey"], "x": r[v["c_custkey"] % 2] + v["c_custkey"]}
+    customers = table(spark, sf_dir, "customer")
+    return _resource_result(
+        map_with_resource_py(
+            customers, _nations(spark, sf_dir), "c_nationkey", None, op, "struct<c_custkey:bigint,x:bigint>",
+            prepare=prepare, values=_CUSTOMER, into="r",
+        )
+    )
+
+
+def resource_sorted_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python resources count the values they have seen, so the order of values shows."""
+
+    def ready(r: dict):
+        seen = iter(range(1 << 62))
+        base = dict(r["lookup"])[1]
+        return lambda v: {"c_custkey": v["c_custkey"], "x": base * 100_000 + next(seen)}
+
+    customers = table(spark, sf_dir, "customer").withColumn("cents", _cents("c_acctbal"))
+    return _resource_result(
+        map_with_resource_py(
+            customers, _nations(spark, sf_dir), "c_nationkey", [desc("cents"), "c_custkey"], ready, "struct<c_custkey:bigint,x:bigint>",
+            curried=True, values=["c_custkey", "cents"], into="r",
+        )
+    )
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    events = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    return [
+        orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")),
+        events.select(F.col("user_id").alias("k"), F.col("event_id").alias("v")),
+        table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("k"), F.col("turn").alias("v")),
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("bigint").alias("v")),
+    ]
+
+
+def _join(how: str, n: int) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = sorted_join(how, *_sides(spark, sf_dir)[:n], keys="k")
+        found = found.select("k", *(F.col(c)["v"].alias(f"{c}v") for c in "abcd"[:n]))
+        if how != "full":
+            return found
+        # The place of a row among those of its key, as the operator put it.
+        at = found.withColumn("at", F.monotonically_increasing_id())
+        return at.withColumn("pos", F.col("at") - F.min("at").over(Window.partitionBy("k"))).drop("at")
+
+    return query
+
+
+def join_full_3_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sorted_join("full", *_sides(spark, sf_dir)[:3], keys="k", num_partitions=4, partition_id=F.pmod("k", F.lit(4)).cast("int"))
+    return found.select("k", *(F.col(c)["v"].alias(f"{c}v") for c in "abc"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "sorted_groups": sorted_groups_events,
+        "sorted_groups_natural": sorted_groups_natural,
+        "sorted_groups_by_expr": sorted_groups_by_expr,
+        "sorted_groups_desc_n": sorted_groups_desc_n,
+        "sorted_groups_placed": sorted_groups_placed,
+        "fold_hash": fold_hash,
+        "fold_hash_py": fold_hash_py,
+        "fold_floor_balance": fold_floor_balance,
+        "fold_funnel_py": fold_funnel_py,
+        "fold_keyed_start": fold_keyed_start,
+        "fold_keyed_start_py": fold_keyed_start_py,
+        "resource_map": resource_map,
+        "resource_prepared": resource_prepared,
+        "resource_prepared_py": resource_prepared_py,
+        "resource_sorted_by": resource_sorted_by,
+        **{f"join_{how}_{n}": _join(how, n) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
+        "join_full_3_placed": join_full_3_placed,
+    }
+
+
+def _groups_sql(select: str, source: str, key: str, order: str) -> str:
+    return f"SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS BIGINT) AS pos, {select} FROM {source}"
+
+
+_FOLD_HASH = f"""
+SELECT l_orderkey, list_reduce(
+  list(l_partkey * 7 + l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey),
+  lambda acc, x: (acc * 31 + x) % {MODULUS}, 1::BIGINT) AS h
+FROM lineitem GROUP BY l_orderkey"""
+
+_FLOOR = """
+SELECT user_id, list_reduce(
+  list(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END * CAST(round(value * 100) AS BIGINT) ORDER BY ts, event_id),
+  lambda acc, x: greatest(acc + x, 0), 0::BIGINT) AS balance
+FROM events GROUP BY user_id"""
+
+_FUNNEL = """
+SELECT user_id, list_reduce(
+  list(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 9 END::BIGINT ORDER BY ts, event_id),
+  lambda acc, x: CASE WHEN x <> acc % 10 THEN acc WHEN x = 2 THEN acc - 2 + 10 ELSE acc + 1 END, 0::BIGINT) AS funnel
+FROM events GROUP BY user_id"""
+
+_KEYED = f"""
+WITH starts AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) % {MODULUS} AS start FROM orders),
+lists AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY 1)
+SELECT k AS l_orderkey, CASE WHEN parts IS NULL THEN start
+  ELSE list_reduce(parts, lambda acc, x: (acc * 31 + x) % {MODULUS}, start) END AS h
+FROM starts LEFT JOIN lists USING (k)"""
+
+_RESOURCE = """
+SELECT c_nationkey, c_custkey, {sign} CASE c_custkey % 2 WHEN 0 THEN n_regionkey::BIGINT ELSE n_nationkey::BIGINT * 10 END + c_custkey AS x
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+_RESOURCE_SORTED = """
+SELECT c_nationkey, c_custkey, c_nationkey::BIGINT * 10 * 100000
+  + row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(round(c_acctbal * 100) AS BIGINT) DESC NULLS LAST, c_custkey) - 1 AS x
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+_SIDES = """
+WITH a AS (SELECT o_custkey AS k, o_orderkey AS av FROM orders WHERE o_orderpriority = '1-URGENT'),
+b AS (SELECT user_id AS k, event_id AS bv FROM events WHERE event_type = 'purchase'),
+c AS (SELECT conv_id AS k, turn AS cv FROM conversations),
+d AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS dv FROM customer)
+"""
+
+
+def _join_sql(how: str, n: int) -> str:
+    sides = "abcd"[:n]
+    values = ", ".join(f"{s}v" for s in sides)
+    if how == "right":  # left joins from the last table
+        order = sides[::-1]
+        chain = order[0] + "".join(f" LEFT JOIN {s} ON {s}.k = {order[0]}.k" for s in order[1:])
+        return f"{_SIDES} SELECT {order[0]}.k, {values} FROM {chain}"
+    if how == "left":
+        chain = "a" + "".join(f" LEFT JOIN {s} ON {s}.k = a.k" for s in sides[1:])
+        return f"{_SIDES} SELECT a.k, {values} FROM {chain}"
+    kind = "FULL JOIN" if how == "full" else "JOIN"
+    chain = "a" + "".join(f" {kind} {s} USING (k)" for s in sides[1:])
+    plain = f"SELECT k, {values} FROM {chain}"
+    if how == "inner":
+        return _SIDES + plain
+    order = ", ".join(f"{s}v NULLS FIRST" for s in sides)
+    return f"{_SIDES} SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY {order}) - 1 AS BIGINT) AS pos FROM ({plain})"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    events = _groups_sql("event_id", "events", "user_id", "ts, event_id")
+    lines = ", ".join(LINE)
+    full_3 = _SIDES + "SELECT k, av, bv, cv FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)"
+    return {
+        "sorted_groups": events,
+        "sorted_groups_natural": _groups_sql("event_type, event_id", "events", "user_id", "event_type, event_id"),
+        "sorted_groups_by_expr": _groups_sql(lines, "lineitem", "l_orderkey", f"-l_extendedprice, {lines}"),
+        "sorted_groups_desc_n": _groups_sql(
+            lines, "lineitem", "l_orderkey", "l_extendedprice DESC NULLS LAST, l_linenumber DESC, l_partkey, l_suppkey"
+        ),
+        "sorted_groups_placed": events,
+        "fold_hash": _FOLD_HASH,
+        "fold_hash_py": _FOLD_HASH,
+        "fold_floor_balance": _FLOOR,
+        "fold_funnel_py": _FUNNEL,
+        "fold_keyed_start": _KEYED,
+        "fold_keyed_start_py": _KEYED,
+        "resource_map": _RESOURCE.format(sign=""),
+        "resource_prepared": _RESOURCE.format(sign="-"),
+        "resource_prepared_py": _RESOURCE.format(sign="-"),
+        "resource_sorted_by": _RESOURCE_SORTED,
+        **{f"join_{how}_{n}": _join_sql(how, n) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
+        "join_full_3_placed": full_3,
+    }
