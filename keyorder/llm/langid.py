@@ -33,6 +33,8 @@ BLOCK_BYTES = 2048
 LEVEL = 6
 #: Least relative gain over the runner-up of an accepted prediction.
 MIN_MARGIN = 0.003
+#: Languages whose counts are broadcast while the sample is drawn.
+BROADCAST_LANGS = 10_000
 UNDETERMINED = "und"
 CHUNK_BYTES = 4 << 20
 
@@ -47,7 +49,9 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     known = labelled.filter(lang.isNotNull() & F.rlike(F.coalesce(text, F.lit("")), F.lit(r"\p{L}")))
     rows = known.select(lang.alias("_lang"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("_h"), text.alias("_text"))
     counts = labelled.filter(lang.isNotNull()).groupBy(lang.alias("_lang")).agg(F.count("*").alias("_n"))
-    # One row for each language: broadcast when Spark finds it small.
+    few = counts.limit(BROADCAST_LANGS + 1).collect()
+    if len(few) <= BROADCAST_LANGS:  # so no text is shuffled; else the join deals rows by language
+        counts = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in few], "_lang string, _n long"))
     chance = 4.0 * SAMPLE_DOCS / F.col("_n")
     place = F.pmod(F.xxhash64("_h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = rows.join(counts, "_lang").filter(place < chance)
