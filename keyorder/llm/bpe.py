@@ -18,6 +18,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -270,9 +271,9 @@ class Encoder:
         """Ids, and piece offsets inside the text, of every text: little-endian unsigned 32-bit integers."""
         data, at = text_buffer(column)
         starts = self.split(data, at)
-        cuts = starts.tolist()
+        cuts = [*starts.tolist(), len(data)]
         get = self.pieces.__getitem__
-        ids = [get(data[a:b]) for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+        ids = [get(data[a:b]) for a, b in pairwise(cuts)]
         of = np.searchsorted(starts, at).tolist()
         rows = range(len(column))
         return (
