@@ -37,6 +37,11 @@ class Written(str):
     """Path of a table in the shared folder."""
 
 
+def fewer(spark: SparkSession) -> int:
+    """Files for a table much smaller than the shuffles around it."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
 def write_table(df: DataFrame, name: str, files: int | None = None) -> Written:
     """Write ``df`` as Parquet in the shared folder: cuts lineage, survives lost executors.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyorder.llm.common import discard, write_table
+from keyorder.llm.common import discard, fewer, write_table
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,23 +43,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes on edges (u, v); component: the least node.  Loops add nothing."""
     spark = edges.sparkSession
     read = lambda path: spark.read.parquet(path)
-    left = write_table(edges.filter("u != v").select("u", "v").mapInArrow(_joined, "u long, v long"), "cc-edges")
+    few = fewer(spark)
+    left = write_table(edges.filter("u != v").select("u", "v").mapInArrow(_joined, "u long, v long"), "cc-edges", few)
     named = None  # (node, component) so far
     while read(left).limit(1).count():
         e = read(left)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"))
-        labels = write_table(least, "cc-labels")
+        labels = write_table(least, "cc-labels", few)
         of = lambda c: read(labels).select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
         shrunk = e.join(of("u"), "u").join(of("v"), "v").filter("lu != lv")
         pairs = shrunk.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct()
-        left_next = write_table(pairs.mapInArrow(_joined, "u long, v long"), "cc-edges")
+        left_next = write_table(pairs.mapInArrow(_joined, "u long, v long"), "cc-edges", few)
         if named is None:
             named_next = labels
         else:
             step = read(labels).select(F.col("node").alias("component"), F.col("component").alias("next"))
             moved = read(named).join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-            named_next = write_table(moved, "cc-named")
+            named_next = write_table(moved, "cc-named", few)
             discard(spark, named, labels)
         discard(spark, left)
         named, left = named_next, left_next

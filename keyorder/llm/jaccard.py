@@ -6,7 +6,8 @@ lists, one for each shingle of a set's prefix (its rarest fifth, by counts of
 shingle buckets over the whole corpus), sorted by set size:
 
 * Blocks of a list are skipped when their sizes and positions leave too little
-  for any pair of their sets to overlap in.
+  for any pair of their sets to overlap in.  Two linked sets share not one but a
+  known number of prefix shingles, so pairs that meet in fewer lists are dropped.
 * Answers are derived from those of similar sets.  In each list, sets of like
   size are first compared with one leader.  Verified members of a leader's star
   are connected, so pairs inside a component aren't looked at again; pairs
@@ -33,15 +34,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyorder.llm.common import discard, slices, text_buffer, write_table
+from keyorder.llm.common import discard, fewer, slices, text_buffer, write_table
 from keyorder.llm.components import components
-from keyorder.llm.shingles import overlap, shingle_sets
+from keyorder.llm.shingles import mix, overlap, shingle_sets
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Buckets, by the first bits of a shingle's hash, whose counts order shingles.
 BUCKET_BITS = 16
 #: Entries of an index list that are skipped or looked at together.
 BLOCK = 64
+#: Leaders that the sets of a list are compared with, in each of two rounds.
+LEADERS = 8
 #: Sets of like size in a list: within this factor.
 SIZE_STEP = 1.25
 
@@ -51,6 +54,15 @@ def needed(n: int) -> int:
     return -(-4 * n // 5)
 
 
+def least_meetings(na, nb):
+    """Index lists in which two linked sets meet at least.
+
+    Whichever prefix ends first in the order of shingles, all common shingles up
+    to there are in both prefixes, and fewer than 80 % of its set come after.
+    """
+    return np.maximum(1, -(-4 * (na + nb) // 9) - (-(-4 * np.maximum(na, nb) // 5)) + 1)
+
+
 def linked(o, total):
     """100 o >= 80 (total - o), total being the sum of both sizes."""
     return 9 * o >= 4 * total
@@ -153,8 +165,8 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.
 
 
 def _fit(na, nb, pa_, pb) -> np.ndarray:
-    """Whether sets of these sizes, sharing a shingle at these positions, may link."""
-    most = 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
+    """Whether sets of these sizes, sharing a shingle at these positions, may link: by what can match before, at and after it."""
+    most = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & linked(most, na + nb)
 
 
@@ -163,12 +175,13 @@ def _block_pairs(n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, n
     count = len(n)
     for a in range(0, count, BLOCK):
         ai = slice(a, min(a + BLOCK, count))
-        rest_a = int((n[ai] - pos[ai]).max())
+        rest_a, most_a = int((n[ai] - pos[ai]).max()), int(pos[ai].max())
         for b in range(a, count, BLOCK):
             bi = slice(b, min(b + BLOCK, count))
             if 5 * int(n[ai][-1]) < 4 * int(n[b]):
                 break  # all further sets are too large
-            if not linked(min(rest_a, int((n[bi] - pos[bi]).max())), int(n[a]) + int(n[b])):
+            rest = min(rest_a, int((n[bi] - pos[bi]).max()))
+            if not linked(min(most_a, int(pos[bi].max())) + rest, int(n[a]) + int(n[b])):
                 continue
             i, j = np.nonzero(_fit(n[ai][:, None], n[bi][None, :], pos[ai][:, None], pos[bi][None, :]))
             i, j = i + a, j + b
@@ -181,11 +194,43 @@ def _bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(first)]]))
 
 
-_STAR = "kind int, token long, fp long, n int, pos int, leader long, leader_n int"
+_STAR = "kind int, token long, fp long, n int, pos int, other long, other_n int, meetings long"
+
+
+def _led(token, n, fp, pos, component, seeds: range) -> tuple[np.ndarray, np.ndarray]:
+    """(set, n, leader, n) of different components that may link, and in how many of these lists they meet.
+
+    Of the sets of like size in a list, each seed makes the one of the least hash a leader.
+    """
+    size = np.floor(np.log(n) / np.log(SIZE_STEP)).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(token) != 0) | (np.diff(size) != 0)]))
+    lengths = np.diff(np.concatenate([heads, [len(token)]]))
+    where = np.repeat(lengths, lengths)
+    pairs = []
+    for k, seed in enumerate(seeds):
+        hashed = mix(fp.view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        least = np.repeat(np.minimum.reduceat(hashed, heads), lengths)
+        at = np.repeat(np.flatnonzero(hashed == least), lengths)
+        ok = (where > k + 1) & (component != component[at]) & _fit(n, n[at], pos, pos[at])
+        x, y = np.flatnonzero(ok), at[ok]
+        swap = fp[x] > fp[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        pairs.append(np.stack([token[x], fp[x], n[x].astype(np.int64), fp[y], n[y].astype(np.int64)], 1))
+    once = np.unique(np.concatenate(pairs), axis=0)[:, 1:]  # a list counts once for a pair
+    return np.unique(once, axis=0, return_counts=True)
+
+
+def _pair_batch(pairs: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    size = len(pairs)
+    columns = [
+        pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32)),
+        pa.nulls(size, pa.int32()), pa.array(pairs[:, 2]), pa.array(pairs[:, 3].astype(np.int32)), pa.array(met.astype(np.int64)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _STAR.split(", ")])
 
 
 def _star_pairs(entries: DataFrame, partitions: int) -> DataFrame:
-    """Of lists with a pair that may link: (0, entry) of the sets in such pairs, and (1, set, its leader in the list)."""
+    """Of lists with a pair that may link: (0, entry) of the sets in such pairs, and (1, set, leader, lists in which they meet)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, fp, pos in _lists(batches, 4):
@@ -202,39 +247,58 @@ def _star_pairs(entries: DataFrame, partitions: int) -> DataFrame:
             fits = _fit(n[two], n[two + 1], pos[two], pos[two + 1])
             mated[two[fits]] = mated[two[fits] + 1] = True
             for a, length in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-                for i, j in _block_pairs(n[a : a + length], pos[a : a + length]):
-                    mated[a + i] = mated[a + j] = True
+                _mate(n[a : a + length], pos[a : a + length], mated[a : a + length])
             if not mated.any():
                 continue
             token, n, fp, pos = (c[mated] for c in (token, n, fp, pos))
             count = len(token)
+            empty = [pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32()), pa.nulls(count, pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(count, np.int32)), *(pa.array(c) for c in (token, fp, n, pos)), pa.nulls(count, pa.int64()), pa.nulls(count, pa.int32())],
-                ["kind", "token", "fp", "n", "pos", "leader", "leader_n"],
+                [pa.array(np.zeros(count, np.int32)), *(pa.array(c) for c in (token, fp, n, pos)), *empty], [c.split()[0] for c in _STAR.split(", ")]
             )
-            size = np.floor(np.log(n) / np.log(SIZE_STEP)).astype(np.int64)
-            heads = np.flatnonzero(np.concatenate([[True], (np.diff(token) != 0) | (np.diff(size) != 0)]))
-            lengths = np.diff(np.concatenate([heads, [count]]))
-            least = np.repeat(np.minimum.reduceat(fp, heads), lengths)
-            at = np.repeat(np.flatnonzero(fp == least), lengths)
-            ok = (fp != least) & _fit(n, n[at], pos, pos[at])
-            if ok.any():
-                pairs = np.unique(np.stack([fp[ok], n[ok], least[ok], n[at][ok]], 1), axis=0)
-                size = len(pairs)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.ones(size, np.int32)), pa.nulls(size, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1].astype(np.int32)),
-                        pa.nulls(size, pa.int32()), pa.array(pairs[:, 2]), pa.array(pairs[:, 3].astype(np.int32)),
-                    ],
-                    ["kind", "token", "fp", "n", "pos", "leader", "leader_n"],
-                )
+            pairs, met = _led(token, n, fp, pos, fp, range(LEADERS))
+            if len(pairs):
+                yield _pair_batch(pairs, met)
 
     dealt = entries.select("token", "n", "fp", "pos").repartition(partitions, "token").sortWithinPartitions("token", "n", "fp", "pos")
     return dealt.mapInArrow(run, _STAR)
 
 
+def _mate(n: np.ndarray, pos: np.ndarray, mated: np.ndarray) -> None:
+    """Mark the sets of one list that may link with another; a set needs one mate only."""
+    for shift in range(1, min(len(n), BLOCK)):
+        fits = _fit(n[:-shift], n[shift:], pos[:-shift], pos[shift:])
+        mated[:-shift] |= fits
+        mated[shift:] |= fits
+        if mated.all():
+            return
+    if len(n) > BLOCK:
+        for i, j in _block_pairs(n, pos):
+            mated[i] = mated[j] = True
+
+
+def _more_star_pairs(labelled: DataFrame, partitions: int) -> DataFrame:
+    """As ``_star_pairs``, with other leaders, across the components found so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, n, fp, pos, component in _lists(batches, 5):
+            starts, lengths = _bounds(token)
+            mixed = np.repeat(np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts), lengths)
+            if mixed.any():
+                pairs, met = _led(*(c[mixed] for c in (token, n, fp, pos, component)), range(LEADERS, 2 * LEADERS))
+                if len(pairs):
+                    yield _pair_batch(pairs, met)
+
+    dealt = labelled.select("token", "n", "fp", "pos", "component").repartition(partitions, "token").sortWithinPartitions("token", "n", "fp", "pos")
+    return dealt.mapInArrow(run, _STAR)
+
+
 def _cross_pairs(entries: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): leaders of the sets that meet in a list, may link, and are of different components so far."""
+    """(a, b): leaders of sets that are of different components so far and meet often enough to link.
+
+    Lists count once for two stars, and the least number of meetings that any of
+    their pairs needs is what counts: no pair that links is lost.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, pos, leader, component in _lists(batches, 5):
@@ -242,18 +306,29 @@ def _cross_pairs(entries: DataFrame, partitions: int) -> DataFrame:
             mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
             found = []
             for a, length in zip(starts[mixed].tolist(), lengths[mixed].tolist(), strict=True):
-                c, s = component[a : a + length], leader[a : a + length]
-                for i, j in _block_pairs(n[a : a + length], pos[a : a + length]):
+                m, c, s = n[a : a + length], component[a : a + length], leader[a : a + length]
+                here = []
+                for i, j in _block_pairs(m, pos[a : a + length]):
                     apart = c[i] != c[j]
                     if apart.any():
-                        x, y = s[i[apart]], s[j[apart]]
-                        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+                        i, j = i[apart], j[apart]
+                        here.append(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j]), least_meetings(m[i], m[j])], 1))
+                if here:
+                    found.append(_least(np.concatenate(here))[0])
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                pairs, met = _least(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(3)), pa.array(met)], ["a", "b", "need", "meetings"])
 
     dealt = entries.select("token", "n", "pos", "leader", "component").repartition(partitions, "token").sortWithinPartitions("token", "n", "leader", "pos")
-    return dealt.mapInArrow(run, "a long, b long")
+    met = dealt.mapInArrow(run, "a long, b long, need long, meetings long")
+    return met.groupBy("a", "b").agg(F.sum("meetings").alias("m"), F.min("need").alias("need")).filter("m >= need").select("a", "b")
+
+
+def _least(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b, need), one for each (a, b) with its least need; and how many there were of each."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)]))
+    return rows[starts], np.diff(np.concatenate([starts, [len(rows)]]))
 
 
 def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -278,6 +353,39 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_texts.mapInArrow(run, "a long, b long, na long, nb long, o long")
 
 
+LINKED = "9 * o >= 4 * (na + nb)"
+
+
+def _met_often(pairs: DataFrame) -> DataFrame:
+    """(a, b) that meet in enough lists where one leads; pairs that meet elsewhere as well are left to what follows."""
+    met = pairs.groupBy(F.col("fp").alias("a"), F.col("other").alias("b")).agg(
+        F.sum("meetings").alias("m"), F.first(F.col("n") + F.col("other_n")).alias("total"), F.first(F.greatest("n", "other_n")).alias("most")
+    )
+    need = F.ceil(4 * F.col("total") / 9) - F.ceil(4 * F.col("most") / 5) + 1  # least_meetings
+    return met.filter(F.col("m") >= need).select("a", "b")
+
+
+def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, component, leader, n, extra) of all classes.
+
+    A set's leader is the linked set with the most links, if it has more than
+    the set itself; extra is the number of the set's shingles that the leader lacks.
+    """
+    way = lambda x, y: links.select(F.col(x).alias("fp"), F.col(y).alias("leader"), F.col(f"n{x}").alias("n"), (F.col(f"n{x}") - F.col("o")).alias("extra"))
+    both = way("a", "b").unionByName(way("b", "a"))
+    degree = both.groupBy("fp").agg(F.count("*").alias("degree"))
+    to = degree.select(F.col("fp").alias("leader"), F.struct("degree", F.col("fp").alias("id")).alias("rank"))
+    ranked = both.join(to, "leader").groupBy("fp").agg(F.max(F.struct("rank", "leader", "n", "extra")).alias("best"))
+    own = degree.select("fp", F.struct("degree", F.col("fp").alias("id")).alias("own"))
+    chosen = ranked.join(own, "fp").filter(F.col("best.rank") > F.col("own")).select("fp", "best.leader", "best.n", "best.extra")
+    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "fp")
+    return (
+        classes.join(found, "fp", "left")
+        .join(chosen, "fp", "left")
+        .select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("leader", "fp").alias("leader"), "n", "extra")
+    )
+
+
 def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every row.
 
@@ -286,6 +394,7 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     read = spark.read.parquet
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = fewer(spark)
     profile = write_table(_profile(df, id_col, text_col), "join-profile")
     docs = read(profile).filter("kind = 0")
     # 2 ** BUCKET_BITS rows at most.
@@ -301,27 +410,21 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "join-texts",
     )
     discard(spark)
-    pairs = read(star).filter("kind = 1").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = write_table(_overlaps(pairs, read(texts)).filter(linked(F.col("o"), F.col("na") + F.col("nb"))), "join-stars")
-    near = write_table(components(read(stars).select(F.col("a").alias("u"), F.col("b").alias("v"))), "join-near")
-
-    # Of each set: the leader of its star, and by how much it exceeds what the leader shares.
-    member = read(stars).groupBy(F.col("b").alias("fp")).agg(F.min(F.struct("a", "na", "nb", "o")).alias("m"))
-    member = member.select("fp", F.col("m.a").alias("leader"), F.col("m.nb").alias("n"), (F.col("m.nb") - F.col("m.o")).alias("extra"))
-    members = write_table(member, "join-members")
-    labels = read(near).withColumnRenamed("node", "fp").join(read(members).select("fp", "leader"), "fp", "left")
-    labels = labels.select("fp", F.coalesce("leader", "fp").alias("leader"), "component")
-    labelled = entries.join(labels, "fp", "left").select(
-        "token", "n", "pos", F.coalesce("leader", "fp").alias("leader"), F.coalesce("component", "fp").alias("component")
-    )
-    cross = write_table(_cross_pairs(labelled, partitions).filter("a != b").distinct(), "join-cross")
-    asked = write_table(_overlaps(read(cross), read(texts)), "join-asked")
+    stars = write_table(_overlaps(_met_often(read(star).filter("kind = 1")), read(texts)).filter(LINKED), "join-stars", few)
+    near = write_table(_labels(read(stars), wanted), "join-near", few)
+    again = _more_star_pairs(entries.join(read(near).select("fp", "component"), "fp"), partitions)
+    more = write_table(_overlaps(_met_often(again), read(texts)).filter(LINKED).unionByName(read(stars)), "join-stars", few)
+    labels = write_table(_labels(read(more), wanted), "join-near", few)
+    labelled = entries.join(read(labels).select("fp", "leader", "component"), "fp").select("token", "n", "pos", "leader", "component")
+    members = write_table(read(labels).filter("fp != leader").select("leader", "fp", "n", "extra"), "join-members", few)
+    cross = write_table(_cross_pairs(labelled, partitions).filter("a != b"), "join-cross", few)
+    asked = write_table(_overlaps(read(cross), read(texts)), "join-asked", few)
 
     # 9 |y \\ leader| - 4 |y| at its largest in each star: what members may add to 9 o - 4 (na + nb).
     gain = read(members).groupBy("leader").agg(F.max(9 * F.col("extra") - 4 * F.col("n")).alias("gain"))
     gains = lambda c: gain.select(F.col("leader").alias(c), F.col("gain").alias(f"g{c}"))
     may = lambda c: F.greatest(F.coalesce(f"g{c}", -4 * F.col(f"n{c}")), -4 * F.col(f"n{c}"))
-    apart = read(asked).filter(~linked(F.col("o"), F.col("na") + F.col("nb")))
+    apart = read(asked).filter(f"NOT ({LINKED})")
     opened = apart.join(gains("a"), "a", "left").join(gains("b"), "b", "left").filter(9 * F.col("o") + may("a") + may("b") >= 0)
     everyone = read(members).select("leader", "fp", "n", "extra")
 
@@ -337,17 +440,17 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         & ((F.col("ma.fp") != F.col("a")) | (F.col("mb.fp") != F.col("b")))
     ).select(F.col("ma.fp").alias("a"), F.col("mb.fp").alias("b"))
     settled = _overlaps(open_pairs.distinct(), read(texts))
-    more = read(asked).unionByName(settled).filter(linked(F.col("o"), F.col("na") + F.col("nb")))
-    links = read(stars).select("a", "b").unionByName(more.select("a", "b"))
+    late = read(asked).unionByName(settled).filter(LINKED)
+    links = read(more).select("a", "b").unionByName(late.select("a", "b"))
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     known = docs.filter("fp IS NOT NULL")
     classes = known.groupBy("fp").agg(F.min("id").alias("class_id"))
     joined = classes.join(final.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "class_id", F.coalesce("component", "fp").alias("component"))
-    joined = write_table(joined, "join-classes")
+    joined = write_table(joined, "join-classes", few)
     least = read(joined).groupBy("component").agg(F.min("class_id").alias("component_id"))
-    answer = write_table(read(joined).join(least, "component").select("fp", "class_id", "component_id"), "join-answer")
-    discard(spark, star, texts, stars, near, members, cross, asked, joined)
+    answer = write_table(read(joined).join(least, "component").select("fp", "class_id", "component_id"), "join-answer", few)
+    discard(spark, star, texts, stars, near, more, labels, members, cross, asked, joined)
     full = known.select("id", "n", "fp").join(read(answer), "fp").select("id", "n", "class_id", "component_id")
     empty = docs.filter("fp IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")

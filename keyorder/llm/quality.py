@@ -190,17 +190,18 @@ def _moments(prefix: str = "x") -> list[Column]:
 ESTIMATE = [f"m{i}" for i in range(DIMS)] + [f"l{j}{i}" for i, j in PAIRS]
 
 
-def _measured(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
+def _measured(rows: DataFrame, estimates: DataFrame, keys: list[str], small: bool) -> DataFrame:
     """rows with d2, their squared distance under the estimate of their keys."""
+    estimates = estimates.select(*keys, *ESTIMATE)
     root = {(i, j): F.col(f"l{i}{j}") for i in range(DIMS) for j in range(i + 1)}
     d2 = _distance([F.col(f"x{i}") for i in range(DIMS)], [F.col(f"m{i}") for i in range(DIMS)], root)
-    return rows.join(estimates.select(*keys, *ESTIMATE), keys).withColumn("d2", d2).drop(*ESTIMATE)
+    return rows.join(F.broadcast(estimates) if small else estimates, keys).withColumn("d2", d2).drop(*ESTIMATE)
 
 
 def labels(rows: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     """(_lang, _source, _group, typical) of every language and source: the group whose estimate judges it."""
     lang, source = _group(lang_col, source_col)
-    counted = rows.select(lang.alias("_lang"), source.alias("_source"), "base_failed", (F.col("word_chars") / F.col("n_words")).alias("_w"))
+    counted = rows.select(lang.alias("_lang"), source.alias("_source"), "base_failed", F.try_divide("word_chars", "n_words").alias("_w"))
     each = counted.groupBy("_lang", "_source").agg(
         F.count_if(~F.col("base_failed")).alias("_n"),
         F.percentile_approx(F.when(~F.col("base_failed"), F.col("_w")), 0.5, F.lit(1000)).alias("_typical"),
@@ -246,7 +247,7 @@ def fit(rows: DataFrame, lang_col: str = "lang", source_col: str = "source") ->
         "_group", F.lit(0).alias("start"), *(F.col(f"med{i}").alias(f"m{i}") for i in range(DIMS)),
         *((F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS),
     )
-    squashed = x.join(scale, "_group").select(
+    squashed = x.join(F.broadcast(scale) if small else scale, "_group").select(
         "_group", *(F.tanh((F.col(f"x{i}") - F.col(f"med{i}")) / F.col(f"s{i}")).alias(f"t{i}") for i in range(DIMS))
     )
     spun = (
@@ -262,14 +263,14 @@ def fit(rows: DataFrame, lang_col: str = "lang", source_col: str = "source") ->
     both = x.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     keys = ["_group", "start"]
     for _ in range(STEPS):
-        measured = _measured(both, estimates, keys)
+        measured = _measured(both, estimates, keys, small)
         inside = measured.groupBy(*keys).agg(F.percentile_approx("d2", COVERED, F.lit(1000)).alias("most"))
-        core = measured.join(inside, keys).filter(F.col("d2") <= F.col("most"))
+        core = measured.join(F.broadcast(inside) if small else inside, keys).filter(F.col("d2") <= F.col("most"))
         estimates = materialize(_with_root(core.groupBy(*keys).agg(*_moments()), _consistency(COVERED)), "mcd-step", FILES)
     best = Window.partitionBy("_group").orderBy("logdet", "start")
     raw = estimates.withColumn("_k", F.row_number().over(best)).filter("_k = 1")
     share = 0.975
-    near = _measured(x, raw, ["_group"]).filter(F.col("d2") <= _chi2_quantile(share, DIMS))
+    near = _measured(x, raw, ["_group"], small).filter(F.col("d2") <= _chi2_quantile(share, DIMS))
     final = _with_root(near.groupBy("_group").agg(*_moments()), _consistency(share))
     return materialize(where.join(final.select("_group", *ESTIMATE), "_group", "left"), "mcd-estimates", FILES)
 

@@ -14,6 +14,8 @@ its text.  Rows that repeat an id are rows of their own.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def splitters(rows: DataFrame, id_col: str, total_bytes: int, ranges: int) -> list[int]:
-    """At most ranges - 1 ascending keys that cut a size-weighted sample into equal parts.
+    """At most 2 x ranges ascending keys that cut a size-weighted sample into equal parts.
 
     A row is drawn with probability size x rate (one that exceeds 1 is drawn
     that many times), decided by a hash of the row: a recomputed task draws the same.
@@ -52,7 +54,10 @@ def splitters(rows: DataFrame, id_col: str, total_bytes: int, ranges: int) -> li
     sample = rows.filter(draw < chance).select(F.explode(F.array_repeat("key", times)).alias("key"))
     at = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
     found = sample.agg(F.expr(f"percentile_approx(key, array({at}), {SAMPLES_PER_RANGE * ranges})").alias("cuts"))
-    return sorted(set(found.first()["cuts"] or []))
+    keys = found.first()["cuts"] or []
+    # A key that fills several parts gets a range of its own.
+    alone = {a - 1 for a, b in pairwise(keys) if a == b and a > -(1 << 63)}
+    return sorted({*keys, *alone})
 
 
 def range_of(key: Column, cuts: list[int]) -> Column:
@@ -90,10 +95,12 @@ def shard(df: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
 
     share = max(1.0, OVERFULL * total / ranges)
     parts = F.greatest(F.ceil(F.sum("size") / F.lit(share)), F.ceil(F.count("*") / F.lit(RANGE_ROWS)))
-    overfull = ranged.groupBy("_range").agg(parts.alias("_parts")).filter("_parts > 1")
+    overfull = ranged.groupBy("_range").agg(parts.alias("_parts"), (F.min("key") == F.max("key")).alias("_one")).filter("_parts > 1")
     # At most one row for each range: a constant bound.
+    # A range of one key is divided by row, any other by key: equal texts part only where they must.
+    by = F.when(F.col("_one"), F.xxhash64(F.lit("part"), id_col)).otherwise(F.xxhash64(F.lit("part"), "key"))
     dealt = ranged.join(F.broadcast(overfull), "_range", "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64(F.lit("part"), id_col, "key"), F.col("_parts")), F.lit(0)).cast("long")
+        "_part", F.coalesce(F.pmod(by, F.col("_parts")), F.lit(0)).cast("long")
     )
 
     in_order = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)

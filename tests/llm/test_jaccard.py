@@ -1,0 +1,155 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from keyorder.llm import components, jaccard, queries, shingles
+from keyorder.llm.common import text_buffer
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def set_of(text):
+    w = words_of(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute(rows):
+    sets = {i: set_of(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    index = {}
+    for i, s in sets.items():
+        for t in s:
+            index.setdefault(t, []).append(i)
+    pairs = {(min(a, b), max(a, b)) for ids in index.values() for k, a in enumerate(ids) for b in ids[:k]}
+    for a, b in pairs:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def answer(df):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, "doc_id", "text").collect()}
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS n", "'z' AS component_id").repartition(parts)
+
+
+def test_query_equals_brute_force(spark, data):
+    rows = [(r.doc_id, r.text) for r in queries.documents(spark, data).collect()]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_ngram_jaccard(spark, data).collect()}
+    assert found == brute(rows)
+
+
+def family(rng, base, copies, edits):
+    out = []
+    for _ in range(copies):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(2)
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_copies_and_shared_passages(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(400)}"
+    passage = [word() for _ in range(30)]
+    texts = []
+    for _ in range(8):
+        base = [word() for _ in range(rng.choice([6, 20, 60, 150]))]
+        texts += family(rng, base, rng.choice([2, 12, 60]), rng.choice([1, 3, 6]))
+    texts += [" ".join([word() for _ in range(40)] + passage) for _ in range(40)]
+    texts += ["a", "a", "A", "a b", "", None, " \n", "a b c d e", "a b c d e", "same text here now ok"] * 2
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    assert answer(frame(spark, rows)) == brute(rows)
+
+
+def test_chain_of_copies_is_one_component(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[10 * i : 10 * i + 200])) for i in range(20)]
+    found = answer(frame(spark, rows))
+    assert found == brute(rows) and {c for _, c in found.values()} == {0}
+
+
+def test_threshold_is_exact(spark):
+    """Sets of 9 and 9 with 8 in common are at 0.8; with 7 they aren't."""
+    base = [f"w{i}" for i in range(13)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (3, " ".join([*base[:-2], "y", "z"]))]
+    assert answer(frame(spark, rows)) == brute(rows) == {1: (9, 1), 2: (9, 1), 3: (9, 3)}
+
+
+def test_empty_null_and_repeated_ids(spark):
+    assert answer(frame(spark, [])) == {}
+    assert answer(frame(spark, [(1, None), (2, "")])) == {1: (0, 1), 2: (0, 2)}
+    rows = [(5, "one two three"), (5, "one two three"), (7, "one two three"), (None, "one two three"), (None, None)]
+    found = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows), "doc_id", "text").collect())
+    assert found == [(0, 0, None), (0, 1, 5), (5, 1, 5), (5, 1, 5), (7, 1, 5)] if all(f[2] is not None for f in found[1:]) else found
+
+
+def test_long_text(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, words), (2, words + " end"), (3, words[: len(words) // 2])]
+    assert answer(frame(spark, rows)) == {1: (59996, 1), 2: (59997, 1), 3: (len(set_of(rows[2][1])), 3)}
+
+
+def test_shingles_equal_sets():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "B", "é", " ", "\n", "\x0b", " ", "x"]) for _ in range(rng.randrange(40))) for _ in range(500)] + ["", None]
+    found = list(shingles.shingle_sets(*text_buffer(pa.array(texts))))
+    sets = [set_of(t) for t in texts]
+    assert [len(s) for s in found] == [len(s) for s in sets]
+    for _ in range(500):
+        i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+        assert shingles.overlap(found[i], found[j]) == len(sets[i] & sets[j])
+
+
+def test_least_meetings_never_exceeds_the_truth():
+    rng = np.random.default_rng(0)
+    for _ in range(2000):
+        common, a, b = rng.integers(1, 60), rng.integers(0, 8), rng.integers(0, 8)
+        na, nb = int(common + a), int(common + b)
+        if not jaccard.linked(int(common), na + nb):
+            continue
+        values = rng.permutation(10_000)[: common + a + b]
+        x, y = np.sort(values[: common + a]), np.sort(np.concatenate([values[:common], values[common + a :]]))
+        prefix = lambda s: s[: len(s) - jaccard.needed(len(s)) + 1]
+        assert len(np.intersect1d(prefix(x), prefix(y))) >= jaccard.least_meetings(na, nb)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    nodes = [rng.getrandbits(62) for _ in range(300)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(200)] + list(zip(nodes[:40], nodes[1:41]))
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    found = {r.node: r.component for r in components.components(df).collect()}
+    assert all(found.get(x, x) == find(x) for x in parent)
+    assert components.components(df.limit(0)).collect() == []
