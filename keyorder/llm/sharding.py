@@ -38,7 +38,8 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("key"),
+        # 52 bits: percentile_approx works on doubles and must return keys exactly.
+        F.shiftright(F.xxhash64(text), 12).alias("key"),
     )
 
 
@@ -56,7 +57,7 @@ def splitters(rows: DataFrame, id_col: str, total_bytes: int, ranges: int) -> li
     found = sample.agg(F.expr(f"percentile_approx(key, array({at}), {SAMPLES_PER_RANGE * ranges})").alias("cuts"))
     keys = found.first()["cuts"] or []
     # A key that fills several parts gets a range of its own.
-    alone = {a - 1 for a, b in pairwise(keys) if a == b and a > -(1 << 63)}
+    alone = {a - 1 for a, b in pairwise(keys) if a == b}
     return sorted({*keys, *alone})
 
 
@@ -83,19 +84,21 @@ def range_of(key: Column, cuts: list[int]) -> Column:
 def shard(df: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
     """(id, size, text_crc32, shard, slot): a shard for each row, and its place there.
 
-    One narrow pass over the texts writes 32 bytes a row to the shared folder;
-    all else works on those.  The one large shuffle deals rows by (range, part),
+    One narrow pass over the texts writes some 32 bytes a row to the shared
+    folder; all else works on those.  The one large shuffle deals rows by (range, part),
     whose sizes are bounded, and serves both the join and the numbering.
     """
     rows = materialize(describe(df, id_col, text_col), "shard-rows")
     total = rows.agg(F.sum("size").alias("b")).first()["b"] or 0
     ranges = shards * RANGES_PER_SHARD
     cuts = splitters(rows, id_col, total, ranges)
-    ranged = rows.withColumn("_range", range_of(F.col("key"), cuts))
+    # Written, so that the optimiser can't carry the search over to the other side of a join.
+    ranged = materialize(rows.withColumn("_range", range_of(F.col("key"), cuts)), "shard-ranges")
 
     share = max(1.0, OVERFULL * total / ranges)
     parts = F.greatest(F.ceil(F.sum("size") / F.lit(share)), F.ceil(F.count("*") / F.lit(RANGE_ROWS)))
     overfull = ranged.groupBy("_range").agg(parts.alias("_parts"), (F.min("key") == F.max("key")).alias("_one")).filter("_parts > 1")
+    overfull = materialize(overfull, "shard-overfull", files=1)
     # At most one row for each range: a constant bound.
     # A range of one key is divided by row, any other by key: equal texts part only where they must.
     by = F.when(F.col("_one"), F.xxhash64(F.lit("part"), id_col)).otherwise(F.xxhash64(F.lit("part"), "key"))
