@@ -9,13 +9,17 @@ shingle buckets over the whole corpus), sorted by set size:
   for any pair of their sets to overlap in.  Two linked sets share not one but a
   known number of prefix shingles, so pairs that meet in fewer lists are dropped.
 * Answers are derived from those of similar sets.  In each list, sets of like
-  size are first compared with one leader.  Verified members of a leader's star
-  are connected, so pairs inside a component aren't looked at again; pairs
-  across components are asked of the leaders, whose exact overlap bounds that of
-  any two members; only pairs that the bound leaves open are computed.
-
-So a group of near copies costs about as many comparisons as it has members,
-not their square, and no link between different components is lost.  Sets are
+  size are compared with a few leaders.  A set refers to the leader that most
+  sets are similar to, linked or not, and is held as what it has and lacks
+  against it.  Lists then name pairs of leaders only; their exact overlap bounds
+  that of any two sets that refer to them.  Where the bound leaves pairs open,
+  and among sets of one leader that aren't connected yet, overlaps are derived
+  from the differences, whole blocks of sets at a time.  One link is enough
+  where two components meet.
+
+So near copies that link with their leader cost one comparison each, not one for
+each other copy; only those that don't are held against all of their group, and
+no pair is ever a row of its own.  No link between different components is lost.  Sets are
 of 64-bit hashes, which could only err if two shingles of one pair of texts
 collided (about n^2 / 2^65).
 
@@ -45,6 +49,10 @@ BUCKET_BITS = 16
 BLOCK = 64
 #: Leaders that the sets of a list are compared with, in each of two rounds.
 LEADERS = 8
+#: Sets that a leader must meet for others of the group to be held against it in any case.
+GROUP = 16
+#: Sets of a star, and questions about it, that meet in one block.
+BLOCK_SETS = 256
 #: Sets of like size in a list: within this factor.
 SIZE_STEP = 1.25
 
@@ -294,7 +302,7 @@ def _more_star_pairs(labelled: DataFrame, partitions: int) -> DataFrame:
 
 
 def _cross_pairs(entries: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): leaders of sets that are of different components so far and meet often enough to link.
+    """(a, b): different leaders of sets of different components that meet often enough to link.
 
     Lists count once for two stars, and the least number of meetings that any of
     their pairs needs is what counts: no pair that links is lost.
@@ -309,7 +317,7 @@ def _cross_pairs(entries: DataFrame, partitions: int) -> DataFrame:
                 m, c, s = n[a : a + length], component[a : a + length], leader[a : a + length]
                 here = []
                 for i, j in _block_pairs(m, pos[a : a + length]):
-                    apart = c[i] != c[j]
+                    apart = (c[i] != c[j]) & (s[i] != s[j])
                     if apart.any():
                         i, j = i[apart], j[apart]
                         here.append(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j]), least_meetings(m[i], m[j])], 1))
@@ -354,30 +362,44 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 LINKED = "9 * o >= 4 * (na + nb)"
+#: Similarity of at least one half.
+SIMILAR = "3 * o >= na + nb"
 
 
 def _met_often(pairs: DataFrame) -> DataFrame:
-    """(a, b) that meet in enough lists where one leads; pairs that meet elsewhere as well are left to what follows."""
+    """(a, b) that meet in enough lists where one leads, and each set of a group with the popular leader it meets most.
+
+    Pairs that meet elsewhere as well are left to what follows.
+    """
     met = pairs.groupBy(F.col("fp").alias("a"), F.col("other").alias("b")).agg(
         F.sum("meetings").alias("m"), F.first(F.col("n") + F.col("other_n")).alias("total"), F.first(F.greatest("n", "other_n")).alias("most")
     )
+    met = met.sparkSession.read.parquet(write_table(met, "join-met"))
     need = F.ceil(4 * F.col("total") / 9) - F.ceil(4 * F.col("most") / 5) + 1  # least_meetings
-    return met.filter(F.col("m") >= need).select("a", "b")
+    sure = met.filter(F.col("m") >= need).select("a", "b")
+    way = lambda x, y: met.select(F.col(x).alias("fp"), F.col(y).alias("leader"), "m")
+    both = way("a", "b").unionByName(way("b", "a"))
+    popular = both.groupBy("leader").agg(F.count("*").alias("met")).filter(F.col("met") >= GROUP)
+    best = both.join(popular, "leader").groupBy("fp").agg(F.max(F.struct("m", "met", "leader")).alias("best"))
+    close = best.select(F.least("fp", "best.leader").alias("a"), F.greatest("fp", "best.leader").alias("b"))
+    return sure.unionByName(close).distinct()
 
 
-def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
+def _labels(overlaps: DataFrame, classes: DataFrame) -> DataFrame:
     """(fp, component, leader, n, extra) of all classes.
 
-    A set's leader is the linked set with the most links, if it has more than
-    the set itself; extra is the number of the set's shingles that the leader lacks.
+    A set refers to the similar set that most sets are similar to, if it is more
+    than the set itself; extra is the number of the set's shingles that it lacks.
     """
-    way = lambda x, y: links.select(F.col(x).alias("fp"), F.col(y).alias("leader"), F.col(f"n{x}").alias("n"), (F.col(f"n{x}") - F.col("o")).alias("extra"))
+    near = overlaps.filter(SIMILAR)
+    way = lambda x, y: near.select(F.col(x).alias("fp"), F.col(y).alias("leader"), F.col(f"n{x}").alias("n"), (F.col(f"n{x}") - F.col("o")).alias("extra"))
     both = way("a", "b").unionByName(way("b", "a"))
     degree = both.groupBy("fp").agg(F.count("*").alias("degree"))
     to = degree.select(F.col("fp").alias("leader"), F.struct("degree", F.col("fp").alias("id")).alias("rank"))
     ranked = both.join(to, "leader").groupBy("fp").agg(F.max(F.struct("rank", "leader", "n", "extra")).alias("best"))
     own = degree.select("fp", F.struct("degree", F.col("fp").alias("id")).alias("own"))
     chosen = ranked.join(own, "fp").filter(F.col("best.rank") > F.col("own")).select("fp", "best.leader", "best.n", "best.extra")
+    links = overlaps.filter(LINKED)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "fp")
     return (
         classes.join(found, "fp", "left")
@@ -386,6 +408,157 @@ def _labels(links: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _questions(labels: DataFrame, asked: DataFrame) -> DataFrame:
+    """(fp, target): whether any set that refers to target, or target itself, links with fp; open after all bounds.
+
+    Within a star: every set that isn't of its leader's component.  Between two
+    stars: the sets of the one with fewer.
+    """
+    members = labels.filter("fp != leader").select("fp", "leader", "component", "n", "extra")
+    # 9 |y \\ leader| - 4 |y| at its largest in each star: what a set may add to 9 o - 4 |x|.
+    stars = members.groupBy("leader").agg(F.max(9 * F.col("extra") - 4 * F.col("n")).alias("gain"), F.count("*").alias("size"))
+    heads = labels.select(F.col("fp").alias("leader"), F.col("component").alias("of"))
+    inside = (
+        members.join(stars, "leader").join(heads, "leader")
+        .filter((F.col("component") != F.col("of")) & (9 * (F.col("n") - F.col("extra")) - 4 * F.col("n") + F.col("gain") >= 0))
+        .select("fp", F.col("leader").alias("target"))
+    )
+    star = lambda c: stars.select(F.col("leader").alias(c), F.col("gain").alias(f"g{c}"), F.col("size").alias(f"s{c}"))
+    may = lambda c: F.greatest(F.coalesce(f"g{c}", -4 * F.col(f"n{c}")), -4 * F.col(f"n{c}"))
+    both = asked.join(star("a"), "a", "left").join(star("b"), "b", "left")
+    opened = both.filter((F.coalesce("sa", "sb").isNotNull()) & (9 * F.col("o") + may("a") + may("b") >= 0))
+    swap = F.coalesce("sa", F.lit(0)) > F.coalesce("sb", F.lit(0))
+    pick = lambda x, y: F.when(swap, x).otherwise(y)
+    sides = opened.select(
+        pick(F.col("b"), F.col("a")).alias("from"), pick(F.col("nb"), F.col("na")).alias("n"),
+        pick(F.col("a"), F.col("b")).alias("target"), pick(may("a"), may("b")).alias("gain"), "o",
+    )
+    everyone = members.select(F.col("leader").alias("from"), "fp", F.col("n").alias("m"), "extra")
+    theirs = sides.join(everyone, "from").filter(9 * (F.col("o") + F.col("extra")) - 4 * F.col("m") + F.col("gain") >= 0)
+    own = sides.filter(9 * F.col("o") - 4 * F.col("n") + F.col("gain") >= 0).select(F.col("from").alias("fp"), "target")
+    return inside.unionByName(theirs.select("fp", "target")).unionByName(own)
+
+
+_BLOCKS = "star long, part int, ask int, kind int, fp long, n long, component long, plus binary, minus binary, packed binary"
+
+
+def _differences(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(star, fp, n, component, plus, minus): what each set has and lacks against its leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, len(batch), 256):
+                part = batch.slice(begin, 256)
+                leaders = part.column(0).to_pylist()
+                first = {fp: i for i, fp in reversed(list(enumerate(leaders)))}
+                heads = dict(zip(first, shingle_sets(*unpack(part.column(3).take(pa.array(list(first.values()))))), strict=True))
+                plus, minus, sizes = [], [], []
+                for leader, s in zip(leaders, shingle_sets(*unpack(part.column(4))), strict=True):
+                    plus.append(np.setdiff1d(s, heads[leader], assume_unique=True).tobytes())
+                    minus.append(np.setdiff1d(heads[leader], s, assume_unique=True).tobytes())
+                    sizes.append(len(s))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), part.column(2), pa.array(plus, pa.binary()), pa.array(minus, pa.binary())],
+                    ["star", "fp", "n", "component", "plus", "minus"],
+                )
+
+    rows = members.join(texts.select(F.col("fp").alias("leader"), F.col("packed").alias("head")), "leader").join(texts, "fp")
+    rows = rows.select("leader", "fp", "component", "head", "packed")
+    return rows.mapInArrow(run, "star long, fp long, n long, component long, plus binary, minus binary")
+
+
+def _derived(labels: DataFrame, questions: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
+    """(a, b): links that answer the questions, one for each component that a set links with in a block.
+
+    Blocks of a star's sets meet blocks of its questions.  A question's overlap
+    with the leader is computed; with the others it follows from the differences.
+    """
+    spark = labels.sparkSession
+    asked = spark.read.parquet(write_table(questions, "join-questions"))
+    sizes = asked.groupBy(F.col("target").alias("star")).agg((F.floor(F.count("*") / BLOCK_SETS) + 1).cast("int").alias("asks"))
+    used = labels.filter("fp != leader").select("leader", "fp", "component").join(sizes.select(F.col("star").alias("leader")), "leader")
+    counted = used.groupBy(F.col("leader").alias("star")).agg((F.floor(F.count("*") / BLOCK_SETS) + 1).cast("int").alias("parts"))
+    shape = sizes.join(counted, "star", "left").select("star", "asks", F.coalesce("parts", F.lit(1)).alias("parts"))
+    shape = spark.read.parquet(write_table(shape, "join-shape", fewer(spark)))
+    place = lambda c, n: F.pmod(F.xxhash64(c, F.lit("block")), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = {"n": "long", "component": "long", "plus": "binary", "minus": "binary", "packed": "binary"}
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        df = df.withColumns({c: F.lit(None).cast(t) for c, t in none.items() if c not in df.columns}).withColumn("kind", F.lit(kind))
+        return df.select(*(c.split()[0] for c in _BLOCKS.split(", ")))
+
+    of = labels.select("fp", "component")
+    heads = shape.join(texts.withColumnRenamed("fp", "star"), "star").join(of.withColumnRenamed("fp", "star"), "star")
+    heads = heads.withColumn("part", each("parts")).withColumn("ask", each("asks")).withColumn("fp", F.col("star"))
+    sets = _differences(used, texts).join(shape, "star").withColumn("part", place("fp", "parts")).withColumn("ask", each("asks"))
+    asks = asked.withColumnRenamed("target", "star").join(shape, "star").join(texts, "fp").join(of, "fp")
+    asks = asks.withColumn("ask", place("fp", "asks")).withColumn("part", each("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, head, block = None, None, None
+        for batch in batches:
+            found = []
+            for star, part, ask, kind, fp, n, component, plus, minus, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (star, part, ask) != current:
+                    current, head, block = (star, part, ask), None, _Block()
+                if kind == 1:
+                    block.add(fp, n, component, plus, minus)
+                    continue
+                data = zstandard.ZstdDecompressor().decompress(packed)
+                s = next(shingle_sets(data, np.array([0, len(data)])))
+                if kind == 0:
+                    head = s
+                    block.lead(fp, len(s), component)
+                else:
+                    found += [(fp, other) for other in block.links(s, overlap(s, head), component) if other != fp]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    dealt = rows(heads, 0).unionByName(rows(sets, 1)).unionByName(rows(asks, 2))
+    dealt = dealt.repartition(partitions, "star", "part", "ask").sortWithinPartitions("star", "part", "ask", "kind")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+class _Block:
+    """Sets of one star by their differences from its leader."""
+
+    def __init__(self) -> None:
+        self.fp: list[int] = []
+        self.n: list[int] = []
+        self.component: list[int] = []
+        self.plus: list[np.ndarray] = []
+        self.minus: list[np.ndarray] = []
+        self.ready = None
+
+    def lead(self, fp: int, n: int, component: int) -> None:
+        self.add(fp, n, component, b"", b"")
+
+    def add(self, fp: int, n: int, component: int, plus: bytes, minus: bytes) -> None:
+        self.fp.append(fp)
+        self.n.append(n)
+        self.component.append(component)
+        self.plus.append(np.frombuffer(plus, np.uint64))
+        self.minus.append(np.frombuffer(minus, np.uint64))
+        self.ready = None
+
+    def links(self, s: np.ndarray, shared: int, component: int) -> list[int]:
+        """Sets that link with s, one of each other component."""
+        if self.ready is None:
+            rows = np.arange(len(self.fp))
+            self.ready = (
+                np.concatenate(self.plus), np.repeat(rows, [len(x) for x in self.plus]),
+                np.concatenate(self.minus), np.repeat(rows, [len(x) for x in self.minus]),
+                np.array(self.n), np.array(self.component),
+            )
+        plus, plus_of, minus, minus_of, n, components_ = self.ready
+        has = lambda v: s[np.minimum(np.searchsorted(s, v), len(s) - 1)] == v
+        o = shared + np.bincount(plus_of[has(plus)], minlength=len(n)) - np.bincount(minus_of[has(minus)], minlength=len(n))
+        at = np.flatnonzero(linked(o, n + len(s)) & (components_ != component))
+        _, first = np.unique(components_[at], return_index=True)
+        return [self.fp[i] for i in at[first].tolist()]
+
+
 def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every row.
 
@@ -410,38 +583,17 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "join-texts",
     )
     discard(spark)
-    stars = write_table(_overlaps(_met_often(read(star).filter("kind = 1")), read(texts)).filter(LINKED), "join-stars", few)
-    near = write_table(_labels(read(stars), wanted), "join-near", few)
+    first = write_table(_overlaps(_met_often(read(star).filter("kind = 1")), read(texts)), "join-first", few)
+    near = write_table(_labels(read(first), wanted), "join-near", few)
     again = _more_star_pairs(entries.join(read(near).select("fp", "component"), "fp"), partitions)
-    more = write_table(_overlaps(_met_often(again), read(texts)).filter(LINKED).unionByName(read(stars)), "join-stars", few)
-    labels = write_table(_labels(read(more), wanted), "join-near", few)
+    second = write_table(_overlaps(_met_often(again), read(texts)), "join-second", few)
+    both = read(first).unionByName(read(second)).distinct()
+    labels = write_table(_labels(both, wanted), "join-labels", few)
     labelled = entries.join(read(labels).select("fp", "leader", "component"), "fp").select("token", "n", "pos", "leader", "component")
-    members = write_table(read(labels).filter("fp != leader").select("leader", "fp", "n", "extra"), "join-members", few)
     cross = write_table(_cross_pairs(labelled, partitions).filter("a != b"), "join-cross", few)
     asked = write_table(_overlaps(read(cross), read(texts)), "join-asked", few)
-
-    # 9 |y \\ leader| - 4 |y| at its largest in each star: what members may add to 9 o - 4 (na + nb).
-    gain = read(members).groupBy("leader").agg(F.max(9 * F.col("extra") - 4 * F.col("n")).alias("gain"))
-    gains = lambda c: gain.select(F.col("leader").alias(c), F.col("gain").alias(f"g{c}"))
-    may = lambda c: F.greatest(F.coalesce(f"g{c}", -4 * F.col(f"n{c}")), -4 * F.col(f"n{c}"))
-    apart = read(asked).filter(f"NOT ({LINKED})")
-    opened = apart.join(gains("a"), "a", "left").join(gains("b"), "b", "left").filter(9 * F.col("o") + may("a") + may("b") >= 0)
-    everyone = read(members).select("leader", "fp", "n", "extra")
-
-    def side(c: str) -> DataFrame:
-        return everyone.select(F.col("leader").alias(c), F.struct("fp", "n", "extra").alias(f"m{c}"))
-
-    own = lambda c: F.struct(F.col(c).alias("fp"), F.col(f"n{c}").alias("n"), F.lit(0).cast("long").alias("extra"))
-    some = opened.select("a", "b", "na", "nb", "o")
-    left = some.join(side("a"), "a").unionByName(some.withColumn("ma", own("a")))
-    whole = left.join(side("b"), "b").unionByName(left.withColumn("mb", own("b")))
-    open_pairs = whole.filter(
-        linked(F.col("o") + F.col("ma.extra") + F.col("mb.extra"), F.col("ma.n") + F.col("mb.n"))
-        & ((F.col("ma.fp") != F.col("a")) | (F.col("mb.fp") != F.col("b")))
-    ).select(F.col("ma.fp").alias("a"), F.col("mb.fp").alias("b"))
-    settled = _overlaps(open_pairs.distinct(), read(texts))
-    late = read(asked).unionByName(settled).filter(LINKED)
-    links = read(more).select("a", "b").unionByName(late.select("a", "b"))
+    derived = write_table(_derived(read(labels), _questions(read(labels), read(asked)), read(texts), partitions), "join-derived", few)
+    links = both.unionByName(read(asked)).filter(LINKED).select("a", "b").unionByName(read(derived))
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     known = docs.filter("fp IS NOT NULL")
@@ -450,7 +602,7 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     joined = write_table(joined, "join-classes", few)
     least = read(joined).groupBy("component").agg(F.min("class_id").alias("component_id"))
     answer = write_table(read(joined).join(least, "component").select("fp", "class_id", "component_id"), "join-answer", few)
-    discard(spark, star, texts, stars, near, more, labels, members, cross, asked, joined)
+    discard(spark, star, texts, first, near, second, labels, cross, asked, derived, joined)
     full = known.select("id", "n", "fp").join(read(answer), "fp").select("id", "n", "class_id", "component_id")
     empty = docs.filter("fp IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
