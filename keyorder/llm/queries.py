@@ -44,6 +44,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import warc
+
+    served = warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+    return warc.derivatives(served, "page_id", "record").select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "source_payload_digest", "block_digest", "n_links",
+        F.octet_length("block").cast("long").alias("content_length"),
+        F.sha2("block", 256).alias("block_sha256"),
+        F.sha2("record", 256).alias("record_sha256"),
+    )
+
+
+def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyorder.llm import ngrams
+
+    return ngrams.score(documents(spark, sf_dir), "doc_id", "text")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyorder.llm import jaccard
 
@@ -114,7 +132,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_warc_derivatives": op3_warc_derivatives,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_stupid_backoff": op5_stupid_backoff,
         "op6_vector_packing": op6_vector_packing,
         "op7_sampled_splitters": op7_sampled_splitters,
         "op8_chat_fingerprints": op8_chat_fingerprints,
