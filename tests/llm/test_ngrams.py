@@ -1,0 +1,67 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from keyorder.llm import ngrams, queries
+
+
+def brute(rows, order=3):
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    counts = [Counter(tuple(w[i : i + k]) for w in texts for i in range(len(w) - k + 1)) for k in range(1, order + 1)]
+    total = sum(counts[0].values())
+
+    def score(words, i, history):
+        history = min(history, i)
+        if not history:
+            return math.log(counts[0][(words[i],)] / total)
+        gram = tuple(words[i - history : i + 1])
+        seen = counts[history][gram]
+        if seen >= ngrams.MIN_COUNT:
+            return math.log(seen / counts[history - 1][gram[:-1]])
+        return math.log(ngrams.BACKOFF) + score(words, i, history - 1)
+
+    return [(key, len(w), sum(score(w, i, order - 1) for i in range(len(w)))) for (key, _), w in zip(rows, texts, strict=True)]
+
+
+def check(df, rows, order=3):
+    found = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_words, r.log_score, r.mean_log_score) for r in ngrams.score(df, "doc_id", "text", order).collect())
+    expected = sorted((k if k is not None else -1, n, s) for k, n, s in brute(rows, order))
+    assert [f[:2] for f in found] == [e[:2] for e in expected]
+    for f, e in zip(found, expected, strict=True):
+        assert math.isclose(f[2], e[2], rel_tol=1e-9, abs_tol=1e-9)
+        assert (f[3] is None) == (f[1] == 0)
+
+
+def test_query(spark, data):
+    docs = [(r.doc_id, r.text) for r in queries.documents(spark, data).collect()]
+    found = {r.doc_id: r for r in queries.op5_stupid_backoff(spark, data).collect()}
+    for key, n, score in brute(docs):
+        assert found[key].n_words == n and math.isclose(found[key].log_score, score, rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("chunk", [40, 8 << 20])
+def test_orders_and_chunks(spark, monkeypatch, order, chunk):
+    monkeypatch.setattr(ngrams, "CHUNK_BYTES", chunk)
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choice("abcdE") for _ in range(rng.randrange(12)))) for i in range(60)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, order)
+
+
+def test_nulls_ties_long_texts_and_more_columns(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (4, "a"), (None, "a b"), (5, "w " * 60_000), (6, "A b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS chunk", "2 AS words", "3 AS n_words")
+    check(df, rows)
+    assert ngrams.score(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_packing_of_hashes():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 1000):
+        for top in (1 << 63, 1 << 40):
+            values = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+            assert ngrams._unpack(ngrams._pack(values)).tolist() == values.tolist()
