@@ -59,6 +59,14 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, files))
 
 
+def write_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> str:
+    """Write ``df`` in the shared folder as a table bucketed by ``column``; joins on it don't shuffle it. Its name."""
+    table = f"keyorder_{name}_{uuid.uuid4().hex}"
+    writer = df.write.option("path", f"{shared_dir(df.sparkSession)}/{table}").format("parquet")
+    writer.bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+    return table
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables and let Spark drop the shuffle files of finished steps."""
     jvm = spark.sparkContext._jvm

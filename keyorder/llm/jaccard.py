@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyorder.llm.common import discard, fewer, slices, text_buffer, write_table
+from keyorder.llm.common import discard, fewer, shared_dir, slices, text_buffer, write_bucketed, write_table
 from keyorder.llm.components import components
 from keyorder.llm.shingles import mix, overlap, shingle_sets
 
@@ -48,7 +48,7 @@ BUCKET_BITS = 16
 #: Entries of an index list that are skipped or looked at together.
 BLOCK = 64
 #: Leaders that the sets of a list are compared with, in each of two rounds.
-LEADERS = 8
+LEADERS = 4
 #: Sets that a leader must meet for others of the group to be held against it in any case.
 GROUP = 16
 #: Sets of a star, and questions about it, that meet in one block.
@@ -578,21 +578,22 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     discard(spark)
     entries = read(star).filter("kind = 0").select("token", "fp", "n", "pos")
     wanted = entries.select("fp").distinct()
-    texts = write_table(
+    named = write_bucketed(
         docs.filter("packed IS NOT NULL").select("fp", "packed").join(wanted, "fp").groupBy("fp").agg(F.first("packed").alias("packed")),
-        "join-texts",
-    )
+        "texts", "fp", partitions,
+    )
+    texts = spark.table(named)
     discard(spark)
-    first = write_table(_overlaps(_met_often(read(star).filter("kind = 1")), read(texts)), "join-first", few)
+    first = write_table(_overlaps(_met_often(read(star).filter("kind = 1")), texts), "join-first", few)
     near = write_table(_labels(read(first), wanted), "join-near", few)
     again = _more_star_pairs(entries.join(read(near).select("fp", "component"), "fp"), partitions)
-    second = write_table(_overlaps(_met_often(again), read(texts)), "join-second", few)
+    second = write_table(_overlaps(_met_often(again), texts), "join-second", few)
     both = read(first).unionByName(read(second)).distinct()
     labels = write_table(_labels(both, wanted), "join-labels", few)
     labelled = entries.join(read(labels).select("fp", "leader", "component"), "fp").select("token", "n", "pos", "leader", "component")
     cross = write_table(_cross_pairs(labelled, partitions).filter("a != b"), "join-cross", few)
-    asked = write_table(_overlaps(read(cross), read(texts)), "join-asked", few)
-    derived = write_table(_derived(read(labels), _questions(read(labels), read(asked)), read(texts), partitions), "join-derived", few)
+    asked = write_table(_overlaps(read(cross), texts), "join-asked", few)
+    derived = write_table(_derived(read(labels), _questions(read(labels), read(asked)), texts, partitions), "join-derived", few)
     links = both.unionByName(read(asked)).filter(LINKED).select("a", "b").unionByName(read(derived))
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -602,7 +603,8 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     joined = write_table(joined, "join-classes", few)
     least = read(joined).groupBy("component").agg(F.min("class_id").alias("component_id"))
     answer = write_table(read(joined).join(least, "component").select("fp", "class_id", "component_id"), "join-answer", few)
-    discard(spark, star, texts, first, near, second, labels, cross, asked, derived, joined)
+    spark.sql(f"DROP TABLE IF EXISTS {named}")
+    discard(spark, star, f"{shared_dir(spark)}/{named}", first, near, second, labels, cross, asked, derived, joined)
     full = known.select("id", "n", "fp").join(read(answer), "fp").select("id", "n", "class_id", "component_id")
     empty = docs.filter("fp IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
