@@ -23,18 +23,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't outliers of their language and source.
 
-    Counts are taken again where the verdict is needed, so no text is shuffled.
+    Documents are written with their counts, so these are taken once and no text is shuffled.
     """
-    counted = quality.statistics(docs)
-    counts = materialize(counted.select("lang", "source", *quality.COUNTS, "base_failed"), "pipeline-counts")
-    return quality.judge(counted, quality.fit(counts)).filter("kept").select(docs.columns)
+    counted = materialize(quality.statistics(docs), "pipeline-counted")
+    return quality.judge(counted, quality.fit(counted)).filter("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of similar documents."""
-    found = jaccard.join(docs, "doc_id", "text")
-    gone = found.filter("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document, that of the smallest id, of each component of similar documents.
+
+    Rows that repeat an id and its text are one document.
+    """
+    found = materialize(jaccard.join(docs, "doc_id", "text"), "pipeline-near")
+    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -276,7 +276,10 @@ def fit(rows: DataFrame, lang_col: str = "lang", source_col: str = "source") ->
 
 
 def judge(rows: DataFrame, estimates: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """rows with ``distance`` (squared; null where no estimate exists) and ``kept``."""
+    """rows with ``distance`` (squared; null where no estimate exists) and ``kept``.
+
+    rows should be written ones: a filter on ``kept`` would else repeat the counting for every use of a count.
+    """
     small = estimates.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     rows = rows.drop("distance", "kept")
     placed = _placed(rows, estimates, lang_col, source_col, small)
