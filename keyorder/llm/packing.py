@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyorder.llm.common import slices
+from keyorder.llm.common import released, slices
 
-CHUNK_BYTES = 4 << 20
-#: Words whose ids a Python worker keeps; beyond it words are encoded as they come.
-CACHE_WORDS = 600_000
+CHUNK_BYTES = 1 << 20
+#: Words whose ids a Python worker keeps, from their second occurrence on; beyond it words are encoded as they come.
+CACHE_WORDS = 250_000
+#: Flags, by hash, of the words that a worker has met.
+MET_FLAGS = 1 << 22
 CACHE_WORD_CHARS = 64
 
 
@@ -58,10 +60,10 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-@lru_cache(maxsize=2)
-def word_cache(path: str) -> dict[str, bytes]:
-    """Word to packed ids; lives as long as the Python worker, so later tasks find it filled."""
-    return {"": b""}
+@lru_cache(maxsize=1)
+def word_cache(path: str) -> tuple[dict[str, bytes], bytearray]:
+    """Word to packed ids, and flags of words met; lives as long as the Python worker, so later tasks find it filled."""
+    return {"": b""}, bytearray(MET_FLAGS)
 
 
 class WordCoder:
@@ -74,7 +76,7 @@ class WordCoder:
     def __init__(self, path: str, closing_id: int | None):
         self.tokenizer = load_tokenizer(path)
         self.closing = b"" if closing_id is None else np.array([closing_id], "<u4").tobytes()
-        self.words = word_cache(path)
+        self.words, self.met = word_cache(path)
 
     def _look_up(self, new: list[str]) -> dict[str, bytes]:
         """Packed ids of words that the cache lacks, a thousand words to a call."""
@@ -92,12 +94,19 @@ class WordCoder:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = self.words
-        met = self._look_up(list({w for parts in split for w in parts if w not in words}))
+        used = set().union(*split)
+        rest = self._look_up(list(used.difference(words)))
+        table = {w: words[w] for w in used if w in words} | rest if rest else words
         if len(words) < CACHE_WORDS:
-            words.update((w, ids) for w, ids in met.items() if len(w) <= CACHE_WORD_CHARS)
+            met, last = self.met, MET_FLAGS - 1
+            for w, ids in rest.items():
+                at = hash(w) & last
+                if not met[at]:  # most words that are met once aren't met again
+                    met[at] = 1
+                elif len(w) <= CACHE_WORD_CHARS:
+                    words[w] = ids
         for parts in split:
-            ids = b"".join([words[w] if w in words else met[w] for w in parts])
-            yield np.frombuffer(ids + self.closing, "<u4")
+            yield np.frombuffer(b"".join(map(table.__getitem__, parts)) + self.closing, "<u4")
 
 
 @dataclass
@@ -263,4 +272,4 @@ def pack(
             yield out(rows)
 
     schema = T.StructType([df.schema[id_col], *(T.StructField(n, t) for n, t in SCHEMA)])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
