@@ -36,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = materialize(jaccard.join(docs, "doc_id", "text"), "pipeline-near")
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # A merge at every size: the list of what goes grows with the input.
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept

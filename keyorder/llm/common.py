@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch that hold whole texts.
+BATCH_ROWS = 2000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -33,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows to an Arrow batch for what runs meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Written(str):
     """Path of a table in the shared folder."""
 
@@ -42,15 +60,17 @@ def fewer(spark: SparkSession) -> int:
     return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
-def write_table(df: DataFrame, name: str, files: int | None = None) -> Written:
+def write_table(df: DataFrame, name: str, files: int | None = None, texts: bool = False) -> Written:
     """Write ``df`` as Parquet in the shared folder: cuts lineage, survives lost executors.
 
     ``files`` gathers a small table into so many files; each writer holds buffers of its own.
+    ``texts``: the rows on the way there hold whole texts.
     """
     if files:
         df = df.repartition(files)
     path = Written(f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    with small_batches(df.sparkSession) if texts else contextlib.nullcontext():
+        df.write.parquet(path)
     return path
 
 
@@ -76,6 +96,20 @@ def discard(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving the memory it has freed back to the system: Python workers outlive their tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def text_buffer(column: pa.Array) -> tuple[bytes, np.ndarray]:
     """UTF-8 bytes of a whole string or binary column and its n + 1 offsets; null is empty."""
     if column.null_count:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyorder.llm.common import discard, fewer, write_table
+from keyorder.llm.common import discard, fewer, released, write_table
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     read = lambda path: spark.read.parquet(path)
     few = fewer(spark)
-    left = write_table(edges.filter("u != v").select("u", "v").mapInArrow(_joined, "u long, v long"), "cc-edges", few)
+    left = write_table(edges.filter("u != v").select("u", "v").mapInArrow(released(_joined), "u long, v long"), "cc-edges", few)
     named = None  # (node, component) so far
     while read(left).limit(1).count():
         e = read(left)
@@ -54,7 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
         of = lambda c: read(labels).select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
         shrunk = e.join(of("u"), "u").join(of("v"), "v").filter("lu != lv")
         pairs = shrunk.select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct()
-        left_next = write_table(pairs.mapInArrow(_joined, "u long, v long"), "cc-edges", few)
+        left_next = write_table(pairs.mapInArrow(released(_joined), "u long, v long"), "cc-edges", few)
         if named is None:
             named_next = labels
         else:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyorder.llm.common import discard, fewer, shared_dir, slices, text_buffer, write_bucketed, write_table
+from keyorder.llm.common import discard, fewer, released, shared_dir, slices, text_buffer, write_bucketed, write_table
 from keyorder.llm.components import components
 from keyorder.llm.shingles import mix, overlap, shingle_sets
 
@@ -119,7 +119,7 @@ def _profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         )
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "kind int, id long, n long, fp long, packed binary")
+    return source.mapInArrow(released(run), "kind int, id long, n long, fp long, packed binary")
 
 
 def unpack(packed: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -147,7 +147,7 @@ def _entries(packed: DataFrame, counts: np.ndarray) -> DataFrame:
                     columns = [np.concatenate(tokens).view(np.int64), *(np.concatenate(c) for c in (prints, sizes, places))]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "fp", "n", "pos"])
 
-    return packed.select("fp", "packed").mapInArrow(run, "token long, fp long, n int, pos int")
+    return packed.select("fp", "packed").mapInArrow(released(run), "token long, fp long, n int, pos int")
 
 
 def _lists(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
@@ -269,7 +269,7 @@ def _star_pairs(entries: DataFrame, partitions: int) -> DataFrame:
                 yield _pair_batch(pairs, met)
 
     dealt = entries.select("token", "n", "fp", "pos").repartition(partitions, "token").sortWithinPartitions("token", "n", "fp", "pos")
-    return dealt.mapInArrow(run, _STAR)
+    return dealt.mapInArrow(released(run), _STAR)
 
 
 def _mate(n: np.ndarray, pos: np.ndarray, mated: np.ndarray) -> None:
@@ -298,7 +298,7 @@ def _more_star_pairs(labelled: DataFrame, partitions: int) -> DataFrame:
                     yield _pair_batch(pairs, met)
 
     dealt = labelled.select("token", "n", "fp", "pos", "component").repartition(partitions, "token").sortWithinPartitions("token", "n", "fp", "pos")
-    return dealt.mapInArrow(run, _STAR)
+    return dealt.mapInArrow(released(run), _STAR)
 
 
 def _cross_pairs(entries: DataFrame, partitions: int) -> DataFrame:
@@ -328,7 +328,7 @@ def _cross_pairs(entries: DataFrame, partitions: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(3)), pa.array(met)], ["a", "b", "need", "meetings"])
 
     dealt = entries.select("token", "n", "pos", "leader", "component").repartition(partitions, "token").sortWithinPartitions("token", "n", "leader", "pos")
-    met = dealt.mapInArrow(run, "a long, b long, need long, meetings long")
+    met = dealt.mapInArrow(released(run), "a long, b long, need long, meetings long")
     return met.groupBy("a", "b").agg(F.sum("meetings").alias("m"), F.min("need").alias("need")).filter("m >= need").select("a", "b")
 
 
@@ -358,7 +358,7 @@ def _overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     of = lambda c: texts.select(F.col("fp").alias(c), F.col("packed").alias(f"p{c}"))
     with_texts = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "pa", "pb")
-    return with_texts.mapInArrow(run, "a long, b long, na long, nb long, o long")
+    return with_texts.mapInArrow(released(run), "a long, b long, na long, nb long, o long")
 
 
 LINKED = "9 * o >= 4 * (na + nb)"
@@ -464,7 +464,7 @@ def _differences(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     rows = members.join(texts.select(F.col("fp").alias("leader"), F.col("packed").alias("head")), "leader").join(texts, "fp")
     rows = rows.select("leader", "fp", "component", "head", "packed")
-    return rows.mapInArrow(run, "star long, fp long, n long, component long, plus binary, minus binary")
+    return rows.mapInArrow(released(run), "star long, fp long, n long, component long, plus binary, minus binary")
 
 
 def _derived(labels: DataFrame, questions: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
@@ -517,7 +517,7 @@ def _derived(labels: DataFrame, questions: DataFrame, texts: DataFrame, partitio
 
     dealt = rows(heads, 0).unionByName(rows(sets, 1)).unionByName(rows(asks, 2))
     dealt = dealt.repartition(partitions, "star", "part", "ask").sortWithinPartitions("star", "part", "ask", "kind")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(released(run), "a long, b long")
 
 
 class _Block:
@@ -568,7 +568,7 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     read = spark.read.parquet
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = fewer(spark)
-    profile = write_table(_profile(df, id_col, text_col), "join-profile")
+    profile = write_table(_profile(df, id_col, text_col), "join-profile", texts=True)
     docs = read(profile).filter("kind = 0")
     # 2 ** BUCKET_BITS rows at most.
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -584,16 +584,16 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     texts = spark.table(named)
     discard(spark)
-    first = write_table(_overlaps(_met_often(read(star).filter("kind = 1")), texts), "join-first", few)
+    first = write_table(_overlaps(_met_often(read(star).filter("kind = 1")), texts), "join-first", few, texts=True)
     near = write_table(_labels(read(first), wanted), "join-near", few)
     again = _more_star_pairs(entries.join(read(near).select("fp", "component"), "fp"), partitions)
-    second = write_table(_overlaps(_met_often(again), texts), "join-second", few)
+    second = write_table(_overlaps(_met_often(again), texts), "join-second", few, texts=True)
     both = read(first).unionByName(read(second)).distinct()
     labels = write_table(_labels(both, wanted), "join-labels", few)
     labelled = entries.join(read(labels).select("fp", "leader", "component"), "fp").select("token", "n", "pos", "leader", "component")
     cross = write_table(_cross_pairs(labelled, partitions).filter("a != b"), "join-cross", few)
-    asked = write_table(_overlaps(read(cross), texts), "join-asked", few)
-    derived = write_table(_derived(read(labels), _questions(read(labels), read(asked)), texts, partitions), "join-derived", few)
+    asked = write_table(_overlaps(read(cross), texts), "join-asked", few, texts=True)
+    derived = write_table(_derived(read(labels), _questions(read(labels), read(asked)), texts, partitions), "join-derived", few, texts=True)
     links = both.unionByName(read(asked)).filter(LINKED).select("a", "b").unionByName(read(derived))
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
@@ -605,6 +605,9 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     answer = write_table(read(joined).join(least, "component").select("fp", "class_id", "component_id"), "join-answer", few)
     spark.sql(f"DROP TABLE IF EXISTS {named}")
     discard(spark, star, f"{shared_dir(spark)}/{named}", first, near, second, labels, cross, asked, derived, joined)
-    full = known.select("id", "n", "fp").join(read(answer), "fp").select("id", "n", "class_id", "component_id")
+    rows = write_table(docs.select("id", "n", "fp"), "join-rows")
+    discard(spark, profile)  # the packed texts have done their work
+    docs = read(rows)
+    full = docs.filter("fp IS NOT NULL").join(read(answer), "fp").select("id", "n", "class_id", "component_id")
     empty = docs.filter("fp IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")

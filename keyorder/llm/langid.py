@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyorder.llm.common import slices, text_buffer
+from keyorder.llm.common import released, slices, text_buffer
 
 #: Documents in the sample of a language.
 SAMPLE_DOCS = 512
@@ -36,7 +36,7 @@ MIN_MARGIN = 0.003
 #: Languages whose counts are broadcast while the sample is drawn.
 BROADCAST_LANGS = 10_000
 UNDETERMINED = "und"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -132,4 +132,4 @@ def identify(df: DataFrame, text_col: str, dictionaries: dict[str, bytes], keep:
                     [*names, *(f.name for f in made)],
                 )
 
-    return source.mapInArrow(run, T.StructType([*(df.schema[c] for c in names), *made]))
+    return source.mapInArrow(released(run), T.StructType([*(df.schema[c] for c in names), *made]))
