@@ -8,7 +8,9 @@ accepted.
 
 Fitting takes a bounded sample (``SAMPLE_DOCS`` documents a language, at most
 ``SAMPLE_BYTES`` of each); counts of languages and predictions cover all rows
-and whole texts.  Null texts and texts without a letter are ``und`` and rejected.
+and whole texts.  No dictionary depends on another language's texts; one of few
+texts is small and explains less, so its language may lose texts to a related
+larger one.  Null texts and texts without a letter are ``und`` and rejected.
 With no labelled text at all, every text is ``und``.
 """
 
@@ -68,10 +70,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     found: dict[tuple[int, str], list[str]] = {}
     for row in sample(labelled, id_col, text_col, lang_col).collect():
         found.setdefault((-row["n"], row["lang"]), []).append(row["piece"].lower())
-    # The same amount for every language: what a dictionary explains grows with its size.
-    joined = {lang: "\n".join(sorted(pieces)) for (_, lang), pieces in sorted(found.items())}
-    least = min((len(t) for t in joined.values() if len(t) >= SAMPLE_BYTES), default=SAMPLE_BYTES)
-    return {lang: text[: 2 * least].encode() for lang, text in joined.items()}
+    # Each in full: a language with few texts must not set the size of the others.
+    return {lang: "\n".join(sorted(pieces)).encode() for (_, lang), pieces in sorted(found.items())}
 
 
 class Identifier:

@@ -43,3 +43,21 @@ def test_prediction_sees_only_the_text(spark):
     plain = langid.identify(docs.select("doc_id", "text"), "text", model, keep=["doc_id"])
     mixed = langid.identify(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None)), "text", model, keep=["doc_id"])
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, mixed.collect()))
+
+
+def test_a_language_of_one_document_leaves_the_others(spark):
+    docs = queries.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    fifth = "zwylka brontu mefisk olondra quaspe tirvun hexalo dremmik pozhna ulvetti " * 10
+    one = spark.createDataFrame([(10_000_000, fifth, "xx")], docs.schema)
+    seen = docs.filter(~queries.held_out())
+    plain, more = langid.fit(seen), langid.fit(seen.unionByName(one))
+    assert set(more) == {*plain, "xx"}
+    assert {lang: more[lang] for lang in plain} == plain
+    held = docs.filter(queries.held_out())
+
+    def verdicts(model):
+        found = langid.identify(held, "text", model, keep=["doc_id"])
+        return {r.doc_id: (r.lang_pred, r.accepted) for r in found.collect()}
+
+    assert verdicts(more) == verdicts(plain)
+    assert langid.identify(one, "text", more).first().lang_pred == "xx"
