@@ -187,9 +187,11 @@ def resource_sorted_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    events = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+def _sides(spark: SparkSession, sf_dir: str, whole: bool) -> list[DataFrame]:
+    """Inputs of the joins: whole tables, or urgent orders and purchases, then the whole other two."""
+    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    if not whole:
+        orders, events = orders.filter(F.col("o_orderpriority") == "1-URGENT"), events.filter(F.col("event_type") == "purchase")
     return [
         orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")),
         events.select(F.col("user_id").alias("k"), F.col("event_id").alias("v")),
@@ -198,9 +200,9 @@ def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     ]
 
 
-def _join(how: str, n: int) -> Callable[[SparkSession, str], DataFrame]:
+def _join(how: str, n: int, whole: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = sorted_join(how, *_sides(spark, sf_dir)[:n], keys="k")
+        found = sorted_join(how, *_sides(spark, sf_dir, whole)[:n], keys="k")
         found = found.select("k", *(F.col(c)["v"].alias(f"{c}v") for c in "abcd"[:n]))
         if how != "full":
             return found
@@ -211,9 +213,13 @@ def _join(how: str, n: int) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def join_full_3_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sorted_join("full", *_sides(spark, sf_dir)[:3], keys="k", num_partitions=4, partition_id=F.pmod("k", F.lit(4)).cast("int"))
-    return found.select("k", *(F.col(c)["v"].alias(f"{c}v") for c in "abc"))
+def _placed(whole: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sides = _sides(spark, sf_dir, whole)[:3]
+        found = sorted_join("full", *sides, keys="k", num_partitions=4, partition_id=F.pmod("k", F.lit(4)).cast("int"))
+        return found.select("k", *(F.col(c)["v"].alias(f"{c}v") for c in "abc"))
+
+    return query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -234,7 +240,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resource_prepared_py": resource_prepared_py,
         "resource_sorted_by": resource_sorted_by,
         **{f"join_{how}_{n}": _join(how, n) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
-        "join_full_3_placed": join_full_3_placed,
+        "join_full_3_placed": _placed(whole=False),
+        **{f"join_whole_{how}_{n}": _join(how, n, whole=True) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
+        "join_whole_full_3_placed": _placed(whole=True),
     }
 
 
@@ -283,30 +291,37 @@ c AS (SELECT conv_id AS k, turn AS cv FROM conversations),
 d AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS dv FROM customer)
 """
 
+_WHOLE_SIDES = """
+WITH a AS (SELECT o_custkey AS k, o_orderkey AS av FROM orders),
+b AS (SELECT user_id AS k, event_id AS bv FROM events),
+c AS (SELECT conv_id AS k, turn AS cv FROM conversations),
+d AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS dv FROM customer)
+"""
+
 
-def _join_sql(how: str, n: int) -> str:
+def _join_sql(how: str, n: int, tables: str = _SIDES) -> str:
     sides = "abcd"[:n]
     values = ", ".join(f"{s}v" for s in sides)
     if how == "right":  # left joins from the last table
         order = sides[::-1]
         chain = order[0] + "".join(f" LEFT JOIN {s} ON {s}.k = {order[0]}.k" for s in order[1:])
-        return f"{_SIDES} SELECT {order[0]}.k, {values} FROM {chain}"
+        return f"{tables} SELECT {order[0]}.k, {values} FROM {chain}"
     if how == "left":
         chain = "a" + "".join(f" LEFT JOIN {s} ON {s}.k = a.k" for s in sides[1:])
-        return f"{_SIDES} SELECT a.k, {values} FROM {chain}"
+        return f"{tables} SELECT a.k, {values} FROM {chain}"
     kind = "FULL JOIN" if how == "full" else "JOIN"
     chain = "a" + "".join(f" {kind} {s} USING (k)" for s in sides[1:])
     plain = f"SELECT k, {values} FROM {chain}"
     if how == "inner":
-        return _SIDES + plain
+        return tables + plain
     order = ", ".join(f"{s}v NULLS FIRST" for s in sides)
-    return f"{_SIDES} SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY {order}) - 1 AS BIGINT) AS pos FROM ({plain})"
+    return f"{tables} SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY {order}) - 1 AS BIGINT) AS pos FROM ({plain})"
 
 
 def oracle_sql() -> dict[str, str]:
     events = _groups_sql("event_id", "events", "user_id", "ts, event_id")
     lines = ", ".join(LINE)
-    full_3 = _SIDES + "SELECT k, av, bv, cv FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)"
+    full_3 = "SELECT k, av, bv, cv FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)"
     return {
         "sorted_groups": events,
         "sorted_groups_natural": _groups_sql("event_type, event_id", "events", "user_id", "event_type, event_id"),
@@ -326,5 +341,7 @@ def oracle_sql() -> dict[str, str]:
         "resource_prepared_py": _RESOURCE.format(sign="-"),
         "resource_sorted_by": _RESOURCE_SORTED,
         **{f"join_{how}_{n}": _join_sql(how, n) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
-        "join_full_3_placed": full_3,
+        "join_full_3_placed": _SIDES + full_3,
+        **{f"join_whole_{how}_{n}": _join_sql(how, n, _WHOLE_SIDES) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
+        "join_whole_full_3_placed": _WHOLE_SIDES + full_3,
     }

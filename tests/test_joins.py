@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyorder.operators import sorted_join
+from keyorder.plans import queries as core
 
 R1 = [("a", "1a"), ("b", "1b"), ("d", "1d1"), ("d", "1d2")]
 R2 = [("b", "2b"), ("c", "2c"), ("d", "2d")]
@@ -127,3 +128,22 @@ def test_wrong_calls(spark):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+@pytest.mark.parametrize("how", KINDS)
+def test_whole_tables_are_joined(spark, data, how, n):
+    read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{data}/{name}.parquet").select(*columns).collect()]
+    sides = [read("orders", "o_custkey", "o_orderkey"), read("events", "user_id", "event_id"), read("conversations", "conv_id", "turn")]
+    sides = [*sides, read("customer", "c_custkey", "c_nationkey")][:n]
+    values = [f"{c}v" for c in "abcd"[:n]]
+    found = core.queries()[f"join_whole_{how}_{n}"](spark, data).select("k", *values).collect()
+    held = [{} for _ in sides]
+    for h, rows in zip(held, sides):
+        for k, v in rows:
+            h.setdefault(k, []).append(v)
+    needed = {"full": [], "inner": held, "left": held[:1], "right": held[-1:]}[how]
+    keys = [k for k in {k for h in held for k in h} if all(k in h for h in needed)]
+    expected = [(k, *row) for k in keys for row in itertools.product(*(h.get(k, [None]) for h in held))]
+    by = lambda row: [(x is not None, x or 0) for x in row]
+    assert sorted(map(tuple, found), key=by) == sorted(expected, key=by)
