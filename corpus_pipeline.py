@@ -32,15 +32,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of similar documents.
 
-    Rows that repeat an id and its text are one document.
+    Rows that repeat an id and its text are one document; rows that repeat an id
+    with another text are documents of their own.
     """
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        return _near_duplicate_rows(docs)
     found = materialize(jaccard.join(docs, "doc_id", "text"), "pipeline-near")
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     # A merge at every size: the list of what goes grows with the input.
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def _near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """As ``near_duplicates`` where ids repeat or are null: rows are numbered, and what stays is decided for each row."""
+    rows = docs.dropDuplicates(["doc_id", "text"]).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows, "pipeline-rows")  # so a row's number stays
+    found = materialize(jaccard.join(rows, "_row", "text"), "pipeline-near").select("_row", "component_id")
+    ranked = found.join(rows.select("_row", "doc_id").hint("merge"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = ranked.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(stay.hint("merge"), "_row", "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

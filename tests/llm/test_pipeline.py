@@ -58,3 +58,14 @@ def test_repeated_rows_are_one_document(spark):
     rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, text, "en", "s", 5), (3, "other", "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_repeated_ids_with_other_texts(spark):
+    shared, unique = (" ".join(f"{w}{i}" for i in range(200)) for w in ("a", "b"))
+    near = " ".join(f"c{i}" for i in range(200))
+    rows = [(1, shared), (5, shared), (5, unique), (7, near), (7, f"{near} end"), (None, shared), (None, "seven words that no other row has"), (8, "x"), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sum(i == 7 for i, _ in found) == 1
+    left = [x for x in found if x[0] != 7]
+    assert sorted(left, key=str) == sorted([rows[0], rows[2], *rows[6:]], key=str)
