@@ -2,7 +2,7 @@
 
 A record is its exact bytes.  Each response gives two records that refer to it:
 ``metadata`` (JSON of the record's and the HTTP message's headers, the page's
-title, meta tags and links) and ``conversion`` (its text).  Both carry the
+title, meta tags and links; a list of values where a name repeats) and ``conversion`` (its text).  Both carry the
 source's target, date and payload digest; their own blocks have digests too.
 
 A null page is an empty payload; a null address leaves out its header.  Records
@@ -83,6 +83,14 @@ def _headers(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def _values(pairs: list[tuple[str, str]]) -> dict[str, str | list[str]]:
+    """The value of each name; a list of them, in order, where the name repeats."""
+    found: dict[str, list[str]] = {}
+    for name, value in pairs:
+        found.setdefault(name, []).append(value)
+    return {name: values if len(values) > 1 else values[0] for name, values in found.items()}
+
+
 def parse(record: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Headers and block of a record."""
     head, found, rest = record.partition(b"\r\n\r\n")
@@ -111,7 +119,7 @@ def read_html(page: str) -> dict:
     """Text, title, meta tags and links of a page, in one pass over its markup."""
     text: list[str] = []
     links: list[dict] = []
-    meta: dict[str, str] = {}
+    meta: list[tuple[str, str]] = []
     title: list[str] = []
     in_title, link, at = False, None, 0
     for m in _MARKUP.finditer(page):
@@ -140,7 +148,7 @@ def read_html(page: str) -> dict:
         elif bare == "meta" and not closing:
             attributes = _attributes(m["rest"])
             if (key := attributes.get("name") or attributes.get("property") or ("charset" if "charset" in attributes else None)) is not None:
-                meta[key] = attributes.get("content", attributes.get("charset", ""))
+                meta.append((key, attributes.get("content", attributes.get("charset", ""))))
     (title if in_title else text).append(page[at:])
     for x in links:
         if "text" in x:
@@ -148,7 +156,7 @@ def read_html(page: str) -> dict:
     head = " ".join(html.unescape("".join(title)).split())
     lines = (_SPACE.sub(" ", line).strip() for line in html.unescape("".join(text)).split("\n"))
     body = "\n".join(line for line in lines if line)
-    return {"title": head, "meta": meta, "links": links, "text": "\n".join(x for x in (head, body) if x)}
+    return {"title": head, "meta": _values(meta), "links": links, "text": "\n".join(x for x in (head, body) if x)}
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -183,10 +191,10 @@ def derive(record: bytes | None) -> list[dict]:
         shared.append(("WARC-Refers-To", refers))
     about = {
         "Envelope": {
-            "WARC-Header-Metadata": dict(source),
+            "WARC-Header-Metadata": _values(source),
             "Payload-Metadata": {
                 "HTTP-Response-Metadata": {
-                    "Response-Message": status, "Headers": dict(http), "Entity-Length": len(payload), "Entity-Digest": sha1(payload),
+                    "Response-Message": status, "Headers": _values(http), "Entity-Length": len(payload), "Entity-Digest": sha1(payload),
                     "HTML-Metadata": {"Head": {"Title": page["title"], "Metas": page["meta"]}, "Links": page["links"]},
                 }
             },

@@ -79,3 +79,13 @@ def test_nulls_repeated_rows_and_more_columns(spark):
     assert len(found) == 8
     assert {r.target_uri for r in found if r.page_id == 1} == {None} and all(r.refers_to for r in found)
     assert warc.derivatives(warc.responses(df.limit(0), "page_id", "url", "html"), "page_id", "record").collect() == []
+
+
+def test_repeated_headers_and_metas_are_kept():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nVia: x\r\nSet-Cookie: b=2\r\n\r\n<meta name=k content=1><meta name=k content=2><meta name=l content=3>"
+    source = [("WARC-Type", "response"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>")]
+    about = json.loads(warc.derive(warc.build(source, block))[0]["block"])["Envelope"]
+    assert about["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"]
+    http = about["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert http["Headers"] == {"Set-Cookie": ["a=1", "b=2"], "Via": "x"}
+    assert http["HTML-Metadata"]["Head"]["Metas"] == {"k": ["1", "2"], "l": "3"}
