@@ -22,18 +22,18 @@ def data_type(kind: str | T.DataType) -> T.DataType:
 def sorted_fold(
     df: DataFrame, keys: str | Sequence[str], order_by: Sequence[Ordering] | Ordering | None, init: Any,
     op: Callable[[Column, Column], Column], result_type: str | T.DataType, *,
-    values: Sequence[str] | None = None, num_partitions: int | None = None, into: str = "result",
+    values: Sequence[str] | None = None, num_partitions: int | None = None, partition_id: Column | None = None, into: str = "result",
 ) -> DataFrame:
     """One row a key: the fold of ``op(accumulator, value struct)`` from ``init`` over its values in order.
 
     ``op`` is made of columns, so all of it runs inside Spark.  A key's values
-    are gathered for it; for keys whose values don't fit in memory, or a
-    placement by ``partition_id``, use ``sorted_fold_py``.
+    are gathered for it; for keys whose values don't fit in memory use
+    ``sorted_fold_py``.
     """
     keyed = Keyed.of(df, keys, values)
     kind = data_type(result_type)
     start = (init if isinstance(init, Column) else F.lit(init)).cast(kind)
-    grouped = collected(keyed, order_by, Placement(num_partitions))
+    grouped = collected(keyed, order_by, Placement(num_partitions, partition_id))
     folded = F.aggregate(f"{RESERVED}values", start, lambda acc, v: op(acc, v).cast(kind))
     return grouped.select(*keyed.keys, folded.alias(into)).sortWithinPartitions(*keyed.keys)
 
@@ -56,8 +56,11 @@ def sorted_fold_py(
             self.key, self.state = key, init() if callable(init) else copy.deepcopy(init)
             return ()
 
-        def row(self, value):
-            self.state = op(self.state, value)
+        def rows(self, rows):
+            state = self.state
+            for (value,) in rows:
+                state = op(state, value)
+            self.state = state
             return ()
 
         def close(self):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyorder.functions.order import Order, comparator
-from keyorder.operators import arrow
 from keyorder.operators.spec import RESERVED, Keyed, Ordering, Placement, orderable
 
 VALUE = f"{RESERVED}v"
@@ -33,10 +32,8 @@ def sorted_values(rows: Column, named: list, value_type: T.StructType) -> Column
 def collected(keyed: Keyed, order_by: Sequence[Ordering] | Ordering | None, placement: Placement) -> DataFrame:
     """Keys and ``__ko_values``: one exchange, one aggregate."""
     slim, named = keyed.slim(keyed.orders(order_by))
-    if placement.num_partitions is not None:
-        slim = placement.apply(slim, keyed.keys)
     rows = F.collect_list(F.struct(*(n for n, _ in named), VALUE))
-    return slim.groupBy(*keyed.keys).agg(sorted_values(rows, named, keyed.value_type()).alias(f"{RESERVED}values"))
+    return placement.spread(slim, keyed.keys).groupBy(*keyed.keys, *placement.by).agg(sorted_values(rows, named, keyed.value_type()).alias(f"{RESERVED}values"))
 
 
 def laid_out(keyed: Keyed, order_by: Sequence[Ordering] | Ordering | None, placement: Placement) -> DataFrame:
@@ -47,19 +44,6 @@ def laid_out(keyed: Keyed, order_by: Sequence[Ordering] | Ordering | None, place
     return placed.sortWithinPartitions(*keyed.keys, *(o.sort_column(F.col(n)) for n, o in named), *ties).select(*keyed.keys, VALUE)
 
 
-class _Collect(arrow.Group):
-    def open(self, key):
-        self.key, self.values = key, []
-        return ()
-
-    def row(self, value):
-        self.values.append(value)
-        return ()
-
-    def close(self):
-        return ((*self.key, self.values),)
-
-
 def sorted_groups(
     df: DataFrame, keys: str | Sequence[str], order_by: Sequence[Ordering] | Ordering | None = None, *,
     values: Sequence[str] | None = None, num_partitions: int | None = None, partition_id: Column | None = None, into: str = "values",
@@ -70,13 +54,8 @@ def sorted_groups(
     with null values are kept, and null keys are one group.  Partitions hold
     their keys in ascending order.  ``num_partitions`` gives exactly so many
     partitions; ``partition_id``, a column that depends on the key alone,
-    chooses the partition (and takes the Arrow path, as Spark can't know that
-    such rows are already together).
+    chooses the partition.
     """
     keyed = Keyed.of(df, keys, values)
-    placement = Placement(num_partitions, partition_id)
-    if partition_id is not None:
-        schema = T.StructType([*(df.schema[k] for k in keyed.keys), T.StructField(into, T.ArrayType(keyed.value_type()))])
-        return arrow.run(laid_out(keyed, order_by, placement), len(keyed.keys), _Collect, schema)
-    grouped = collected(keyed, order_by, placement).withColumnRenamed(f"{RESERVED}values", into)
-    return grouped.sortWithinPartitions(*keyed.keys)
+    grouped = collected(keyed, order_by, Placement(num_partitions, partition_id))
+    return grouped.select(*keyed.keys, F.col(f"{RESERVED}values").alias(into)).sortWithinPartitions(*keyed.keys)

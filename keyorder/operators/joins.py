@@ -11,13 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from keyorder.operators import arrow
+from keyorder.operators.groups import VALUE
 from keyorder.operators.spec import RESERVED, Keyed, Placement, orderable
 
 KINDS = ("full", "inner", "left", "right")
@@ -48,60 +46,35 @@ def sorted_join(
     out_keys = sides[0].keys
     kinds = [sides[0].df.schema[k].dataType for k in out_keys]
     placement = Placement(num_partitions, partition_id)
-    if partition_id is not None:
-        return _merged(how, sides, names, out_keys, kinds, placement)
+    on = [KEY, *placement.by]
 
     def side(i: int) -> DataFrame:
         """The key as one struct, which is never null and equals itself, and the values as another."""
         keyed = sides[i]
-        key = F.struct(*(F.col(k).cast(t).alias(o) for k, t, o in zip(keyed.keys, kinds, out_keys, strict=True)))
-        slim = keyed.df.select(key.alias(KEY), keyed.value().alias(names[i]))
-        return slim if num_partitions is None else slim.repartition(num_partitions, KEY)
+        keys = [F.col(k).cast(t).alias(o) for k, t, o in zip(keyed.keys, kinds, out_keys, strict=True)]
+        slim = keyed.df.select(*keys, keyed.value().alias(VALUE))
+        return slim.select(*out_keys, F.struct(*out_keys).alias(KEY), VALUE)
+
+    def placed(rows: DataFrame, *columns: Column | str) -> DataFrame:
+        by = out_keys if partition_id is not None else [KEY]
+        return placement.spread(rows, by).select(*on, *columns)
+
+    def values(i: int) -> DataFrame:
+        return placed(side(i), F.col(VALUE).alias(names[i]))
 
     n = len(tables)
     if how == "inner":
-        joined = reduce(lambda x, i: x.join(side(i), KEY, "inner"), range(1, n), side(0))
+        joined = reduce(lambda x, i: x.join(values(i), on, "inner"), range(1, n), values(0))
     elif how == "left":
-        joined = reduce(lambda x, i: x.join(side(i), KEY, "left"), range(1, n), side(0))
+        joined = reduce(lambda x, i: x.join(values(i), on, "left"), range(1, n), values(0))
     elif how == "right":
-        joined = reduce(lambda x, i: x.join(side(i), KEY, "left"), reversed(range(n - 1)), side(n - 1))
+        joined = reduce(lambda x, i: x.join(values(i), on, "left"), reversed(range(n - 1)), values(n - 1))
     elif n == 2:
-        joined = side(0).join(side(1), KEY, "full")
+        joined = values(0).join(values(1), on, "full")
     else:
         # All keys once, then left joins on the same partitioning: full joins in
         # a row would lose it with every coalesced key.
-        every = reduce(DataFrame.unionByName, [side(i).select(KEY) for i in range(n)])
-        every = every.distinct() if num_partitions is None else every.repartition(num_partitions, KEY).distinct()
-        joined = reduce(lambda x, i: x.join(side(i), KEY, "left"), range(n), every)
+        every = placed(reduce(DataFrame.unionByName, [side(i).select(*out_keys, KEY) for i in range(n)])).distinct()
+        joined = reduce(lambda x, i: x.join(values(i), on, "left"), range(n), every)
     flat = joined.select(*(F.col(KEY)[k].alias(k) for k in out_keys), *names)
     return flat.sortWithinPartitions(*out_keys, *names)
-
-
-def _merged(how: str, sides: list[Keyed], names: Sequence[str], out_keys: Sequence[str], kinds: list, placement: Placement) -> DataFrame:
-    """Placed by the caller: one tagged stream, sorted by key, side and value; the product is made as keys pass."""
-    tag = f"{RESERVED}tag"
-    rows = None
-    for i, keyed in enumerate(sides):
-        keys = [F.col(k).cast(t).alias(o) for k, t, o in zip(keyed.keys, kinds, out_keys, strict=True)]
-        mine = keyed.df.select(*keys, F.lit(i).alias(tag), keyed.value().alias(names[i]))
-        rows = mine if rows is None else rows.unionByName(mine, allowMissingColumns=True)
-    count = len(sides)
-    required = {"full": (), "inner": range(count), "left": (0,), "right": (count - 1,)}[how]
-
-    class Product(arrow.Group):
-        def open(self, key):
-            self.key, self.held = key, [[] for _ in range(count)]
-            return ()
-
-        def row(self, which, *values):
-            self.held[which].append(values[which])
-            return ()
-
-        def close(self):
-            if all(self.held[i] for i in required):
-                for row in product(*(h or [None] for h in self.held)):
-                    yield (*self.key, *row)
-
-    laid = placement.apply(rows, out_keys).sortWithinPartitions(*out_keys, tag, *names).select(*out_keys, tag, *names)
-    schema = T.StructType([*(T.StructField(k, t) for k, t in zip(out_keys, kinds, strict=True)), *(T.StructField(n, s.value_type()) for n, s in zip(names, sides, strict=True))])
-    return arrow.run(laid, len(out_keys), Product, schema)

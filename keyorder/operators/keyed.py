@@ -33,11 +33,11 @@ from keyorder.operators.spec import RESERVED, Keyed, Ordering, Placement, ordera
 
 TAG, SIDE = f"{RESERVED}tag", f"{RESERVED}side"
 
-NO_START = "Must provide a starting value for every key"
-TWO_STARTS = "Start values cannot have duplicated keys"
-NO_RESOURCE = "Must provide a resource for every key"
-TWO_RESOURCES = "Resources cannot have duplicated keys"
-NO_VALUES = "Must provide a value for every key"
+NO_START = "values without a start value"
+TWO_STARTS = "more than one start value"
+NO_RESOURCE = "values without a resource"
+TWO_RESOURCES = "more than one resource"
+NO_VALUES = "a resource without values"
 
 
 def _tagged(keyed: Keyed, side: Keyed, order_by: Sequence[Ordering] | Ordering | None) -> tuple[DataFrame, list]:
@@ -56,7 +56,7 @@ def _key_text(keys: Sequence[str]) -> Column:
 
 
 def _failed(message: str, keys: Sequence[str]) -> Column:
-    return F.raise_error(F.concat(F.lit(f"{message}: "), _key_text(keys))).cast("boolean")
+    return F.raise_error(F.concat(F.lit(f"{message}: key "), _key_text(keys))).cast("boolean")
 
 
 def _layout(tagged: DataFrame, named: list, keyed: Keyed, placement: Placement) -> DataFrame:
@@ -69,17 +69,17 @@ def _layout(tagged: DataFrame, named: list, keyed: Keyed, placement: Placement)
 def fold_from_keyed_start(
     df: DataFrame, starts: DataFrame, keys: str | Sequence[str], order_by: Sequence[Ordering] | Ordering | None,
     op: Callable[[Column, Column], Column], result_type: str | T.DataType, *, start: str | None = None,
-    start_keys: str | Sequence[str] | None = None, values: Sequence[str] | None = None, num_partitions: int | None = None, into: str = "result",
+    start_keys: str | Sequence[str] | None = None, values: Sequence[str] | None = None, num_partitions: int | None = None,
+    partition_id: Column | None = None, into: str = "result",
 ) -> DataFrame:
     """As ``sorted_fold``, each key from its own start: column ``start`` of its row in ``starts`` (all its value columns as a struct without one)."""
     keyed = Keyed.of(df, keys, values)
     side = Keyed.of(starts, keyed.keys if start_keys is None else start_keys, [start] if start else None)
     kind = data_type(result_type)
     tagged, named = _tagged(keyed, side, order_by)
-    if num_partitions is not None:
-        tagged = Placement(num_partitions).apply(tagged, keyed.keys)
+    placement = Placement(num_partitions, partition_id)
     is_value = F.col(TAG) == 1
-    gathered = tagged.groupBy(*keyed.keys).agg(
+    gathered = placement.spread(tagged, keyed.keys).groupBy(*keyed.keys, *placement.by).agg(
         F.count_if(~is_value).alias(f"{RESERVED}starts"),
         F.first(F.when(~is_value, F.struct(SIDE)), ignorenulls=True).alias(f"{RESERVED}start"),
         sorted_values(F.collect_list(F.when(is_value, F.struct(*(n for n, _ in named), VALUE))), named, keyed.value_type()).alias(f"{RESERVED}values"),
@@ -110,15 +110,16 @@ def fold_from_keyed_start_py(
             self.key, self.begun = key, False
             return ()
 
-        def row(self, tag, first, value):
-            if tag == 0:
-                if self.begun:
-                    raise ValueError(f"{TWO_STARTS}: {self.key}")
-                self.begun, self.state = True, first[start] if start else first
-            elif not self.begun:
-                raise ValueError(f"{NO_START}: {self.key}")
-            else:
-                self.state = op(self.state, value)
+        def rows(self, rows):
+            for tag, first, value in rows:
+                if tag == 0:
+                    if self.begun:
+                        raise ValueError(f"{TWO_STARTS}: key {self.key}")
+                    self.begun, self.state = True, first[start] if start else first
+                elif not self.begun:
+                    raise ValueError(f"{NO_START}: key {self.key}")
+                else:
+                    self.state = op(self.state, value)
             return ()
 
         def close(self):
@@ -133,14 +134,13 @@ def map_with_resource(
     df: DataFrame, resources: DataFrame, keys: str | Sequence[str], order_by: Sequence[Ordering] | Ordering | None,
     op: Callable[[Column, Column], Column], *, prepare: Callable[[Column], Column] | None = None,
     resource_keys: str | Sequence[str] | None = None, values: Sequence[str] | None = None,
-    num_partitions: int | None = None, into: str = "result",
+    num_partitions: int | None = None, partition_id: Column | None = None, into: str = "result",
 ) -> DataFrame:
     """One row a value: keys and ``op(resource struct, value struct)``, sorted by key and value order.
 
     ``prepare`` is applied to the resource struct before the tables meet, once a
     resource.  Resources are neither broadcast nor copied to each value: running
     windows over the sorted stream hand a key's resource on from row to row.
-    For a placement by ``partition_id`` use ``map_with_resource_py``.
     """
     keyed = Keyed.of(df, keys, values)
     side = Keyed.of(resources, keyed.keys if resource_keys is None else resource_keys)
@@ -148,9 +148,10 @@ def map_with_resource(
         ready = side.df.select(*side.keys, prepare(side.value()).alias(f"{RESERVED}r"))
         side = Keyed(ready, side.keys, (f"{RESERVED}r",))
     tagged, named = _tagged(keyed, side, order_by)
-    placed = Placement(num_partitions).apply(tagged, keyed.keys)
+    placement = Placement(num_partitions, partition_id)
+    placed = placement.apply(tagged, keyed.keys)
     ties = [VALUE] if orderable(keyed.value_type()) else []
-    w = Window.partitionBy(*keyed.keys).orderBy(TAG, *(o.sort_column(F.col(n)) for n, o in named), *ties)
+    w = Window.partitionBy(*keyed.keys, *placement.by).orderBy(TAG, *(o.sort_column(F.col(n)) for n, o in named), *ties)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     walked = placed.withColumns(
         {
@@ -192,21 +193,22 @@ def map_with_resource_py(
             self.key, self.apply, self.used = key, None, False
             return ()
 
-        def row(self, tag, resource, value):
-            if tag == 0:
-                if self.apply is not None:
-                    raise ValueError(f"{TWO_RESOURCES}: {self.key}")
-                ready = resource if prepare is None else prepare(resource)
-                self.apply = op(ready) if curried else lambda v: op(ready, v)
-                return ()
-            if self.apply is None:
-                raise ValueError(f"{NO_RESOURCE}: {self.key}")
-            self.used = True
-            return ((*self.key, self.apply(value)),)
+        def rows(self, rows):
+            for tag, resource, value in rows:
+                if tag == 0:
+                    if self.apply is not None:
+                        raise ValueError(f"{TWO_RESOURCES}: key {self.key}")
+                    ready = resource if prepare is None else prepare(resource)
+                    self.apply = op(ready) if curried else lambda v, ready=ready: op(ready, v)
+                    continue
+                if self.apply is None:
+                    raise ValueError(f"{NO_RESOURCE}: key {self.key}")
+                self.used = True
+                yield (*self.key, self.apply(value))
 
         def close(self):
             if not self.used:
-                raise ValueError(f"{NO_VALUES}: {self.key}")
+                raise ValueError(f"{NO_VALUES}: key {self.key}")
             return ()
 
     rows = _layout(tagged, named, keyed, Placement(num_partitions, partition_id)).select(*keyed.keys, TAG, SIDE, VALUE)

@@ -13,6 +13,8 @@ from keyorder.functions.order import Order, as_order
 
 #: Names of the engine's own columns; inputs may not use them.
 RESERVED = "__ko_"
+#: Column of the partition that the caller has chosen.
+PLACE = f"{RESERVED}place"
 
 Ordering = Order | Column | str
 
@@ -38,9 +40,20 @@ class Placement:
         if self.partition_id is not None and self.num_partitions is None:
             raise ValueError("partition_id needs num_partitions")
 
+    @property
+    def by(self) -> tuple[str, ...]:
+        """What else to group or join by: a chosen partition counts as clustering by key only if it is named there."""
+        return () if self.partition_id is None else (PLACE,)
+
+    def spread(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """As ``apply``; left to the aggregate or join that follows where the caller has no wish."""
+        return df if self.num_partitions is None else self.apply(df, keys)
+
     def apply(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         if self.partition_id is not None:
-            return df.repartitionById(self.num_partitions, self.partition_id)
+            # The second term keeps a constant from being folded away, and with it the clustering.
+            chosen = F.coalesce(self.partition_id.cast("int"), F.lit(0)) + F.hash(*keys).bitwiseAND(F.lit(0))
+            return df.withColumn(PLACE, chosen).repartitionById(self.num_partitions, PLACE)
         if self.num_partitions is not None:
             return df.repartition(self.num_partitions, *keys)
         return df.repartition(*keys)

@@ -8,15 +8,15 @@ from keyorder.operators import arrow
 
 class Log(arrow.Group):
     def open(self, key):
-        self.key, self.rows = key, []
+        self.key, self.seen = key, []
         return ()
 
-    def row(self, *columns):
-        self.rows.append(columns)
+    def rows(self, rows):
+        self.seen += rows
         return ()
 
     def close(self):
-        return ((self.key, self.rows),)
+        return ((self.key, self.seen),)
 
 
 def batches(*parts):
@@ -44,3 +44,15 @@ def test_keys_that_return_are_new_groups():
 @pytest.mark.parametrize("a, b, same", [((1,), (1,), True), ((None,), (None,), True), ((math.nan,), (math.nan,), True), ((None,), (0,), False), ((math.nan,), (0.0,), False), ((0.0,), (-0.0,), True)])
 def test_same_key(a, b, same):
     assert arrow.same_key(a, b) is same
+
+
+@pytest.mark.parametrize(
+    "kind, values",
+    [
+        (pa.float64(), [None, None, math.nan, math.nan, -0.0, 0.0, 1.0]), (pa.string(), ["", None, None, "a", "a", "b"]), (pa.int32(), [1]),
+        (pa.bool_(), [False, False, None, True]), (pa.struct([("x", pa.int8())]), [None, {"x": None}, {"x": None}, {"x": 1}]), (pa.list_(pa.int8()), [[], [], None, [1]]),
+    ],
+)
+def test_changes_are_those_of_same_key(kind, values):
+    column = pa.array(values, kind)
+    assert arrow.changed(column).tolist() == [not arrow.same_key((a,), (b,)) for a, b in zip(values, values[1:])]

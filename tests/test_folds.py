@@ -16,8 +16,7 @@ def append_py(acc, v):
 
 @pytest.fixture
 def values(spark):
-    rows = [("key1", 1), ("key1", 2), ("key1", 3), ("key2", 4), ("key2", 5)]
-    random.Random(47).shuffle(rows)
+    rows = [("oak", 8), ("elm", 12), ("oak", 3), ("oak", 40), ("elm", -6), ("oak", 21)]
     return spark.createDataFrame(rows, "key string, value int")
 
 
@@ -29,7 +28,7 @@ def result(df):
 def test_fold_appends_in_order(values, n):
     native = sorted_fold(values, "key", None, F.array(), APPEND, "array<int>", num_partitions=n)
     python = sorted_fold_py(values, "key", None, [], append_py, "array<int>", num_partitions=n)
-    assert result(native) == result(python) == {"key1": [1, 2, 3], "key2": [4, 5]}
+    assert result(native) == result(python) == {"oak": [3, 8, 21, 40], "elm": [-6, 12]}
     if n:
         assert native.rdd.getNumPartitions() == python.rdd.getNumPartitions() == n
 
@@ -37,15 +36,16 @@ def test_fold_appends_in_order(values, n):
 def test_fold_order_by(values):
     native = sorted_fold(values, "key", [desc("value")], F.array(), APPEND, "array<int>")
     python = sorted_fold_py(values, "key", [-F.col("value")], list, append_py, "array<int>")
-    assert result(native) == result(python) == {"key1": [3, 2, 1], "key2": [5, 4]}
+    assert result(native) == result(python) == {"oak": [40, 21, 8, 3], "elm": [12, -6]}
 
 
-def test_fold_placed_by_id(values):
-    found = sorted_fold_py(
-        values, "key", None, [], append_py, "array<int>", num_partitions=3, partition_id=F.pmod(F.hash("key"), F.lit(3))
-    )
+@pytest.mark.parametrize("fold, init, op", [(sorted_fold, F.array, APPEND), (sorted_fold_py, list, append_py)])
+def test_fold_placed_by_id(values, fold, init, op):
+    init = init() if fold is sorted_fold else init
+    found = fold(values, "key", None, init, op, "array<int>", num_partitions=3, partition_id=F.length("key") % 2)
     assert found.rdd.getNumPartitions() == 3
-    assert result(found) == {"key1": [1, 2, 3], "key2": [4, 5]}
+    assert {r["p"] for r in found.withColumn("p", F.spark_partition_id()).collect()} == {1}
+    assert result(found) == {"oak": [3, 8, 21, 40], "elm": [-6, 12]}
 
 
 def test_fold_start_of_another_type(spark):
@@ -87,32 +87,42 @@ def starts(spark, *rows):
 @BOTH
 @pytest.mark.parametrize("n", [None, 7])
 def test_keyed_start(spark, values, fold, op, n):
-    s = starts(spark, ("key1", [-1]), ("key2", [-2]))
+    s = starts(spark, ("oak", [0]), ("elm", [99]))
     found = fold(values, s, "key", None, op, "array<int>", start="start", num_partitions=n)
-    assert result(found) == {"key1": [-1, 1, 2, 3], "key2": [-2, 4, 5]}
+    assert result(found) == {"oak": [0, 3, 8, 21, 40], "elm": [99, -6, 12]}
     if n:
         assert found.rdd.getNumPartitions() == n
 
 
+@BOTH
+def test_keyed_start_placed_by_id(spark, values, fold, op):
+    s = starts(spark, ("oak", [0]), ("elm", [99]))
+    place = F.when(F.col("key") == "oak", 2).otherwise(0)
+    found = fold(values, s, "key", None, op, "array<int>", start="start", num_partitions=4, partition_id=place)
+    assert found.rdd.getNumPartitions() == 4
+    assert {r["key"]: r["p"] for r in found.withColumn("p", F.spark_partition_id()).collect()} == {"oak": 2, "elm": 0}
+    assert result(found) == {"oak": [0, 3, 8, 21, 40], "elm": [99, -6, 12]}
+
+
 @BOTH
 def test_start_without_values_is_the_result(spark, values, fold, op):
-    s = starts(spark, ("key1", [-1]), ("key2", [-2]))
-    found = fold(values.filter("key = 'key1'"), s, "key", None, op, "array<int>", start="start")
-    assert result(found) == {"key1": [-1, 1, 2, 3], "key2": [-2]}
+    s = starts(spark, ("oak", [0]), ("elm", [99]))
+    found = fold(values.filter("key = 'oak'"), s, "key", None, op, "array<int>", start="start")
+    assert result(found) == {"oak": [0, 3, 8, 21, 40], "elm": [99]}
 
 
 @BOTH
 def test_values_without_start_fail(spark, values, fold, op):
-    found = fold(values, starts(spark, ("key1", [-1])), "key", None, op, "array<int>", start="start")
+    found = fold(values, starts(spark, ("oak", [0])), "key", None, op, "array<int>", start="start")
     for action in (found.collect, found.count):
-        with pytest.raises(Exception, match="starting value for every key.*key2"):
+        with pytest.raises(Exception, match="values without a start value.*elm"):
             action()
 
 
 @BOTH
 def test_two_starts_fail(spark, values, fold, op):
-    s = starts(spark, ("key1", [-1]), ("key1", [-100]), ("key2", [-2]))
-    with pytest.raises(Exception, match="duplicated keys.*key1"):
+    s = starts(spark, ("oak", [0]), ("oak", [7]), ("elm", [99]))
+    with pytest.raises(Exception, match="more than one start value.*oak"):
         fold(values, s, "key", None, op, "array<int>", start="start").collect()
 
 

@@ -38,6 +38,25 @@ def test_one_exchange(spark, lines):
     assert exchanges(map_with_resource(lines, starts, "l_orderkey", None, lambda r, v: r["s"], values=values)) == 1
 
 
+def test_one_exchange_where_the_caller_places(spark, lines):
+    values = ["l_linenumber", "l_partkey"]
+    step = lambda acc, v: acc + v["l_partkey"]
+    starts = spark.range(10).select(F.col("id").alias("l_orderkey"), F.lit(0).cast("bigint").alias("s"))
+    for chosen in (F.pmod("l_orderkey", F.lit(3)).cast("int"), F.lit(1)):
+        place = {"values": values, "num_partitions": 3, "partition_id": chosen}
+        for found in (
+            sorted_groups(lines, "l_orderkey", **place),
+            sorted_fold(lines, "l_orderkey", None, 0, step, "bigint", **place),
+            fold_from_keyed_start(lines, starts, "l_orderkey", None, step, "bigint", start="s", **place),
+            map_with_resource(lines, starts, "l_orderkey", None, lambda r, v: r["s"], **place),
+        ):
+            assert exchanges(found) == 1 and found.rdd.getNumPartitions() == 3 and "Python" not in plan(found) and "MapInArrow" not in plan(found)
+        side = [lines.select("l_orderkey", c) for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")]
+        for how, most in (("inner", 4), ("left", 4), ("right", 4), ("full", 5)):
+            found = sorted_join(how, *side, keys="l_orderkey", num_partitions=3, partition_id=chosen)
+            assert exchanges(found) == most and found.rdd.getNumPartitions() == 3 and "MapInArrow" not in plan(found)
+
+
 def test_columns_are_pruned(lines):
     found = plan(sorted_fold_py(lines, "l_orderkey", None, 0, lambda a, v: a, "bigint", values=["l_partkey"]))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in found

@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,13 +9,12 @@ LOOK_UP = lambda r, v: r["m"][v["value"]]
 
 @pytest.fixture
 def values(spark):
-    rows = [("key1", 1), ("key1", 2), ("key2", 3), ("key2", 4)]
-    random.Random(47).shuffle(rows)
+    rows = [("sea", 6), ("fen", 5), ("sea", 2), ("fen", 9)]
     return spark.createDataFrame(rows, "key string, value int").coalesce(1)
 
 
 def resources(spark, *keys):
-    maps = {"key1": {1: 10, 2: 20}, "key2": {3: -30, 4: -40}}
+    maps = {"sea": {2: 14, 6: 42}, "fen": {5: 1, 9: 0}}
     return spark.createDataFrame([(k, maps[k]) for k in keys], "key string, m map<int,int>").coalesce(1)
 
 
@@ -46,26 +43,28 @@ def by_key(df):
 @BOTH
 @pytest.mark.parametrize("n", [None, 7])
 def test_applied_in_order(spark, values, apply, n):
-    found = apply(values, resources(spark, "key1", "key2"), num_partitions=n)
-    assert by_key(found) == {"key1": [10, 20], "key2": [-30, -40]}
+    found = apply(values, resources(spark, "sea", "fen"), num_partitions=n)
+    assert by_key(found) == {"sea": [14, 42], "fen": [1, 0]}
     if n:
         assert found.rdd.getNumPartitions() == n
 
 
-def test_placed_by_id(spark, values):
-    found = python(values, resources(spark, "key1", "key2"), num_partitions=3, partition_id=F.pmod(F.hash("key"), F.lit(3)))
+@BOTH
+def test_placed_by_id(spark, values, apply):
+    found = apply(values, resources(spark, "sea", "fen"), num_partitions=3, partition_id=F.when(F.col("key") == "fen", 2).otherwise(1))
     assert found.rdd.getNumPartitions() == 3
-    assert by_key(found) == {"key1": [10, 20], "key2": [-30, -40]}
+    assert {(r["key"], r["p"]) for r in found.withColumn("p", F.spark_partition_id()).collect()} == {("sea", 1), ("fen", 2)}
+    assert by_key(found) == {"sea": [14, 42], "fen": [1, 0]}
 
 
 def test_prepared(spark, values):
-    res = resources(spark, "key1", "key2")
+    res = resources(spark, "sea", "fen")
     negate = lambda r: F.transform_values(r["m"], lambda _, x: -x)
-    assert by_key(map_with_resource(values, res, "key", None, lambda r, v: r[v["value"]], prepare=negate)) == {"key1": [-10, -20], "key2": [30, 40]}
+    assert by_key(map_with_resource(values, res, "key", None, lambda r, v: r[v["value"]], prepare=negate)) == {"sea": [-14, -42], "fen": [-1, 0]}
     found = map_with_resource_py(
         values, res, "key", None, lambda r, v: r[v["value"]], "int", prepare=lambda r: {k: -x for k, x in dict(r["m"]).items()}
     )
-    assert by_key(found) == {"key1": [-10, -20], "key2": [30, 40]}
+    assert by_key(found) == {"sea": [-14, -42], "fen": [-1, 0]}
 
 
 def test_prepared_once_a_key(spark):
@@ -87,31 +86,31 @@ def test_curried_and_order(spark, values):
         seen = []
         return lambda v: (seen.append(v["value"]), list(seen))[1]
 
-    found = map_with_resource_py(values, resources(spark, "key1", "key2"), "key", [desc("value")], ready, "array<int>", curried=True)
-    assert by_key(found) == {"key1": [[2], [2, 1]], "key2": [[4], [4, 3]]}
+    found = map_with_resource_py(values, resources(spark, "sea", "fen"), "key", [desc("value")], ready, "array<int>", curried=True)
+    assert by_key(found) == {"sea": [[6], [6, 2]], "fen": [[9], [9, 5]]}
 
 
 @BOTH
 def test_values_without_resource_fail(spark, values, apply):
-    for kept in ("key1", "key2"):
+    for kept in ("sea", "fen"):
         found = apply(values, resources(spark, kept))
         for action in (found.collect, found.count):
-            with pytest.raises(Exception, match="resource for every key"):
+            with pytest.raises(Exception, match="values without a resource"):
                 action()
 
 
 @BOTH
 def test_resource_without_values_fails(spark, values, apply):
-    for kept in ("key1", "key2"):
-        with pytest.raises(Exception, match="value for every key"):
-            apply(values.filter(F.col("key") == kept), resources(spark, "key1", "key2")).count()
+    for kept in ("sea", "fen"):
+        with pytest.raises(Exception, match="a resource without values"):
+            apply(values.filter(F.col("key") == kept), resources(spark, "sea", "fen")).count()
 
 
 @BOTH
 def test_two_resources_fail_even_without_values(spark, values, apply):
     for rows in (values, values.limit(0)):
-        with pytest.raises(Exception, match="duplicated keys"):
-            apply(rows, resources(spark, "key1", "key1", "key2")).collect()
+        with pytest.raises(Exception, match="more than one resource"):
+            apply(rows, resources(spark, "fen", "fen", "sea")).collect()
 
 
 @BOTH
