@@ -28,6 +28,34 @@ LINE = ["l_linenumber", "l_partkey", "l_suppkey"]
 MODULUS = 1_000_003
 
 
+#: Orders that differ from the natural one of ``LINE``, made when a query runs (columns need a session), and their SQL.
+ORDERS: dict[str, Callable[[], list | None]] = {
+    "natural": lambda: None,
+    "by_expr": lambda: [-F.col("l_extendedprice"), *LINE],
+    "desc": lambda: [desc("l_extendedprice"), desc("l_linenumber"), "l_partkey", "l_suppkey"],
+    "desc_line": lambda: [desc("l_linenumber"), "l_partkey", "l_suppkey"],
+}
+ORDERS_SQL = {
+    "natural": "l_linenumber, l_partkey, l_suppkey",
+    "by_expr": "-l_extendedprice, l_linenumber, l_partkey, l_suppkey",
+    "desc": "l_extendedprice DESC NULLS LAST, l_linenumber DESC, l_partkey, l_suppkey",
+    "desc_line": "l_linenumber DESC, l_partkey, l_suppkey",
+}
+
+
+def _by_count(_: str) -> dict:
+    return {"num_partitions": 7}
+
+
+def _by_id(key: str) -> dict:
+    """The caller's own partitioner: a partition id that depends on the key."""
+    return {"num_partitions": 3, "partition_id": F.pmod(key, F.lit(3)).cast("int")}
+
+
+#: Suffix of a query's name: how its result is placed, given its key.
+PLACED: dict[str, Callable[[str], dict]] = {"": lambda _: {}, "_n": _by_count, "_placed": _by_id}
+
+
 def _cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -37,47 +65,33 @@ def _positions(groups: DataFrame, key: str, *fields: str) -> DataFrame:
     return rows.select(key, F.col("pos").cast("bigint").alias("pos"), *(F.col("v")[f].alias(f) for f in fields))
 
 
-def sorted_groups_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return _positions(sorted_groups(events, "user_id", ["ts", "event_id"], values=["ts", "event_id"]), "user_id", "event_id")
-
-
-def sorted_groups_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return _positions(sorted_groups(events, "user_id", values=["event_type", "event_id"]), "user_id", "event_type", "event_id")
-
+def _groups(order: list | None, values: list[str], shown: list[str], where: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = table(spark, sf_dir, "events")
+        return _positions(sorted_groups(events, "user_id", order, values=values, **PLACED[where]("user_id")), "user_id", *shown)
 
-def sorted_groups_by_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    order = [-F.col("l_extendedprice"), *LINE]
-    return _positions(sorted_groups(lines, "l_orderkey", order, values=LINE), "l_orderkey", *LINE)
+    return query
 
 
-def sorted_groups_desc_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    order = [desc("l_extendedprice"), desc("l_linenumber"), "l_partkey", "l_suppkey"]
-    return _positions(sorted_groups(lines, "l_orderkey", order, values=LINE, num_partitions=7), "l_orderkey", *LINE)
+def _line_groups(order: str, where: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = table(spark, sf_dir, "lineitem")
+        return _positions(sorted_groups(lines, "l_orderkey", ORDERS[order](), values=LINE, **PLACED[where]("l_orderkey")), "l_orderkey", *LINE)
 
+    return query
 
-def sorted_groups_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    found = sorted_groups(
-        events, "user_id", ["ts", "event_id"], values=["ts", "event_id"], num_partitions=3,
-        partition_id=F.pmod("user_id", F.lit(3)).cast("int"),
-    )
-    return _positions(found, "user_id", "event_id")
 
+def _hash_step(acc, v):
+    """For columns and for Python values alike."""
+    return (acc * 31 + v["l_partkey"] * 7 + v["l_linenumber"]) % MODULUS
 
-def fold_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    step = lambda acc, v: (acc * 31 + v["l_partkey"] * 7 + v["l_linenumber"]) % MODULUS
-    return sorted_fold(lines, "l_orderkey", LINE, 1, step, "bigint", values=LINE, into="h")
 
+def _fold(order: str, where: str = "", fold: Callable = sorted_fold) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = table(spark, sf_dir, "lineitem")
+        return fold(lines, "l_orderkey", ORDERS[order](), 1, _hash_step, "bigint", values=LINE, into="h", **PLACED[where]("l_orderkey"))
 
-def fold_hash_py(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    step = lambda acc, v: (acc * 31 + v["l_partkey"] * 7 + v["l_linenumber"]) % MODULUS
-    return sorted_fold_py(lines, "l_orderkey", LINE, 1, step, "bigint", values=LINE, into="h")
+    return query
 
 
 def fold_floor_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,18 +126,13 @@ def _with_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(_starts(spark, sf_dir).select("l_orderkey"), "l_orderkey", "left_semi")
 
 
-def fold_keyed_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = lambda acc, v: (acc * 31 + v["l_partkey"]) % MODULUS
-    return fold_from_keyed_start(
-        _with_starts(spark, sf_dir), _starts(spark, sf_dir), "l_orderkey", LINE, step, "bigint", start="start", values=LINE, into="h"
-    )
-
+def _keyed_fold(order: str, where: str = "", fold: Callable = fold_from_keyed_start) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines, starts = _with_starts(spark, sf_dir), _starts(spark, sf_dir)
+        place = PLACED[where]("l_orderkey")
+        return fold(lines, starts, "l_orderkey", ORDERS[order](), lambda acc, v: (acc * 31 + v["l_partkey"]) % MODULUS, "bigint", start="start", values=LINE, into="h", **place)
 
-def fold_keyed_start_py(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = lambda acc, v: (acc * 31 + v["l_partkey"]) % MODULUS
-    return fold_from_keyed_start_py(
-        _with_starts(spark, sf_dir), _starts(spark, sf_dir), "l_orderkey", LINE, step, "bigint", start="start", values=LINE, into="h"
-    )
+    return query
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,41 +145,61 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CUSTOMER = ["c_custkey"]
+_RICHEST_SQL = "CAST(round(c_acctbal * 100) AS BIGINT) DESC NULLS LAST, c_custkey"
+_FOUND = "struct<c_custkey:bigint,x:bigint>"
 
 
-def _resource_result(found: DataFrame) -> DataFrame:
-    return found.select("c_nationkey", F.col("r.c_custkey").alias("c_custkey"), F.col("r.x").alias("x"))
+def _richest() -> list:
+    """Order of the values of a key where a query gives one."""
+    return [desc("cents"), "c_custkey"]
 
 
-def resource_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    op = lambda r, v: F.struct(v["c_custkey"].alias("c_custkey"), (r["lookup"][(v["c_custkey"] % 2).cast("int")] + v["c_custkey"]).alias("x"))
-    customers = table(spark, sf_dir, "customer")
-    return _resource_result(map_with_resource(customers, _nations(spark, sf_dir), "c_nationkey", None, op, values=_CUSTOMER, into="r"))
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", _cents("c_acctbal").alias("cents"))
 
 
-def resource_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    negated = lambda r: F.transform_values(r["lookup"], lambda _, x: -x)
-    op = lambda r, v: F.struct(v["c_custkey"].alias("c_custkey"), (r[(v["c_custkey"] % 2).cast("int")] + v["c_custkey"]).alias("x"))
-    customers = table(spark, sf_dir, "customer")
-    return _resource_result(
-        map_with_resource(customers, _nations(spark, sf_dir), "c_nationkey", None, op, prepare=negated, values=_CUSTOMER, into="r")
-    )
+def _with_place(found: DataFrame, key: str) -> DataFrame:
+    """``found`` with the place of each row among those of its key, as the operator put it."""
+    at = found.withColumn("at", F.monotonically_increasing_id())
+    return at.withColumn("pos", F.col("at") - F.min("at").over(Window.partitionBy(key))).drop("at")
+
+
+def _resource(prepared: bool, ordered: bool = False, where: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    """Each customer's number plus what its nation's map, or the prepared map of negated values, has for it."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def op(r: Column, v: Column) -> Column:
+            lookup = r if prepared else r["lookup"]
+            return F.struct(v["c_custkey"].alias("c_custkey"), (lookup[(v["c_custkey"] % 2).cast("int")] + v["c_custkey"]).alias("x"))
+
+        found = map_with_resource(
+            _customers(spark, sf_dir), _nations(spark, sf_dir), "c_nationkey", _richest() if ordered else ["c_custkey"], op,
+            prepare=(lambda r: F.transform_values(r["lookup"], lambda _, x: -x)) if prepared else None,
+            values=["c_custkey", "cents"], into="r", **PLACED[where]("c_nationkey"),
+        )
+        return _with_place(found.select("c_nationkey", F.col("r.c_custkey").alias("c_custkey"), F.col("r.x").alias("x")), "c_nationkey")
+
+    return query
+
+
+def _resource_sql(prepared: bool, ordered: bool = False) -> str:
+    return f"""
+SELECT c_nationkey, c_custkey,
+  {"-" if prepared else ""} CASE c_custkey % 2 WHEN 0 THEN n_regionkey::BIGINT ELSE n_nationkey::BIGINT * 10 END + c_custkey AS x,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY {_RICHEST_SQL if ordered else "c_custkey"}) - 1 AS pos
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 
 def resource_prepared_py(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare = lambda r: {k: -x for k, x in r["lookup"]}
     op = lambda r, v: {"c_custkey": v["c_custkey"], "x": r[v["c_custkey"] % 2] + v["c_custkey"]}
-    customers = table(spark, sf_dir, "customer")
-    return _resource_result(
-        map_with_resource_py(
-            customers, _nations(spark, sf_dir), "c_nationkey", None, op, "struct<c_custkey:bigint,x:bigint>",
-            prepare=prepare, values=_CUSTOMER, into="r",
-        )
-    )
+    found = map_with_resource_py(
+        _customers(spark, sf_dir), _nations(spark, sf_dir), "c_nationkey", ["c_custkey"], op, _FOUND, prepare=prepare, values=["c_custkey", "cents"], into="r"
+    )
+    return _with_place(found.select("c_nationkey", "r.c_custkey", "r.x"), "c_nationkey")
 
 
-def resource_sorted_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _curried(ordered: bool = False, where: str = "") -> Callable[[SparkSession, str], DataFrame]:
     """Python resources count the values they have seen, so the order of values shows."""
 
     def ready(r: dict):
@@ -178,71 +207,70 @@ def resource_sorted_by(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = dict(r["lookup"])[1]
         return lambda v: {"c_custkey": v["c_custkey"], "x": base * 100_000 + next(seen)}
 
-    customers = table(spark, sf_dir, "customer").withColumn("cents", _cents("c_acctbal"))
-    return _resource_result(
-        map_with_resource_py(
-            customers, _nations(spark, sf_dir), "c_nationkey", [desc("cents"), "c_custkey"], ready, "struct<c_custkey:bigint,x:bigint>",
-            curried=True, values=["c_custkey", "cents"], into="r",
-        )
-    )
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = map_with_resource_py(
+            _customers(spark, sf_dir), _nations(spark, sf_dir), "c_nationkey", _richest() if ordered else None, ready, _FOUND,
+            curried=True, values=["c_custkey", "cents"], into="r", **PLACED[where]("c_nationkey"),
+        )
+        return found.select("c_nationkey", F.col("r.c_custkey").alias("c_custkey"), F.col("r.x").alias("x"))
+
+    return query
+
+
+def _curried_sql(ordered: bool = False) -> str:
+    return f"""
+SELECT c_nationkey, c_custkey, c_nationkey::BIGINT * 10 * 100000
+  + row_number() OVER (PARTITION BY c_nationkey ORDER BY {_RICHEST_SQL if ordered else "c_custkey"}) - 1 AS x
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 
-def _sides(spark: SparkSession, sf_dir: str, whole: bool) -> list[DataFrame]:
-    """Inputs of the joins: whole tables, or urgent orders and purchases, then the whole other two."""
-    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
-    if not whole:
-        orders, events = orders.filter(F.col("o_orderpriority") == "1-URGENT"), events.filter(F.col("event_type") == "purchase")
+def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [
-        orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")),
-        events.select(F.col("user_id").alias("k"), F.col("event_id").alias("v")),
+        table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")),
+        table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("v")),
         table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("k"), F.col("turn").alias("v")),
         table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("bigint").alias("v")),
     ]
 
 
-def _join(how: str, n: int, whole: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def _join(how: str, n: int, where: str = "") -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = sorted_join(how, *_sides(spark, sf_dir, whole)[:n], keys="k")
-        found = found.select("k", *(F.col(c)["v"].alias(f"{c}v") for c in "abcd"[:n]))
-        if how != "full":
-            return found
-        # The place of a row among those of its key, as the operator put it.
-        at = found.withColumn("at", F.monotonically_increasing_id())
-        return at.withColumn("pos", F.col("at") - F.min("at").over(Window.partitionBy("k"))).drop("at")
+        found = sorted_join(how, *_sides(spark, sf_dir)[:n], keys="k", **PLACED[where]("k"))
+        return _with_place(found.select("k", *(F.col(c)["v"].alias(f"{c}v") for c in "abcd"[:n])), "k")
 
     return query
 
 
-def _placed(whole: bool) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sides = _sides(spark, sf_dir, whole)[:3]
-        found = sorted_join("full", *sides, keys="k", num_partitions=4, partition_id=F.pmod("k", F.lit(4)).cast("int"))
-        return found.select("k", *(F.col(c)["v"].alias(f"{c}v") for c in "abc"))
-
-    return query
+JOINS = [(how, n, where) for how in ("full", "inner", "left", "right") for n in (2, 3, 4) for where in PLACED]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "sorted_groups": sorted_groups_events,
-        "sorted_groups_natural": sorted_groups_natural,
-        "sorted_groups_by_expr": sorted_groups_by_expr,
-        "sorted_groups_desc_n": sorted_groups_desc_n,
-        "sorted_groups_placed": sorted_groups_placed,
-        "fold_hash": fold_hash,
-        "fold_hash_py": fold_hash_py,
+        "sorted_groups": _groups(["ts", "event_id"], ["ts", "event_id"], ["event_id"]),
+        **{f"sorted_groups_natural{w}": _groups(None, ["event_type", "event_id"], ["event_type", "event_id"], w) for w in PLACED},
+        **{f"sorted_groups_by_expr{w}": _line_groups("by_expr", w) for w in PLACED},
+        "sorted_groups_desc": _line_groups("desc"),
+        "sorted_groups_desc_n": _line_groups("desc", "_n"),
+        "sorted_groups_placed": _groups(["ts", "event_id"], ["ts", "event_id"], ["event_id"], "_placed"),
+        **{f"fold_hash{w}": _fold("natural", w) for w in PLACED},
+        **{f"fold_hash_py{w}": _fold("natural", w, sorted_fold_py) for w in ("", "_placed")},
+        **{f"fold_by_expr{w}": _fold("by_expr", w) for w in PLACED},
+        "fold_desc": _fold("desc"),
+        "fold_desc_n": _fold("desc", "_n"),
         "fold_floor_balance": fold_floor_balance,
         "fold_funnel_py": fold_funnel_py,
-        "fold_keyed_start": fold_keyed_start,
-        "fold_keyed_start_py": fold_keyed_start_py,
-        "resource_map": resource_map,
-        "resource_prepared": resource_prepared,
+        **{f"fold_keyed_start{w}": _keyed_fold("natural", w) for w in PLACED},
+        "fold_keyed_start_desc": _keyed_fold("desc_line"),
+        "fold_keyed_start_desc_n": _keyed_fold("desc_line", "_n"),
+        **{f"fold_keyed_start_py{w}": _keyed_fold("natural", w, fold_from_keyed_start_py) for w in ("", "_placed")},
+        **{f"resource_curried{w}": _curried(where=w) for w in PLACED},
+        **{f"resource_prepared{w}": _resource(True, where=w) for w in PLACED},
+        **{f"resource_map{w}": _resource(False, where=w) for w in PLACED},
+        **{f"resource_curried_sorted{w}": _curried(True, w) for w in PLACED},
+        **{f"resource_prepared_sorted{w}": _resource(True, True, w) for w in PLACED},
+        **{f"resource_map_sorted{w}": _resource(False, True, w) for w in PLACED},
         "resource_prepared_py": resource_prepared_py,
-        "resource_sorted_by": resource_sorted_by,
-        **{f"join_{how}_{n}": _join(how, n) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
-        "join_full_3_placed": _placed(whole=False),
-        **{f"join_whole_{how}_{n}": _join(how, n, whole=True) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
-        "join_whole_full_3_placed": _placed(whole=True),
+        **{f"join_{how}_{n}{w}": _join(how, n, w) for how, n, w in JOINS},
     }
 
 
@@ -250,12 +278,13 @@ def _groups_sql(select: str, source: str, key: str, order: str) -> str:
     return f"SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS BIGINT) AS pos, {select} FROM {source}"
 
 
-_FOLD_HASH = f"""
-SELECT l_orderkey, list_reduce(
-  list(l_partkey * 7 + l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey),
+def _fold_sql(order: str) -> str:
+    return f"""
+SELECT l_orderkey, list_reduce(list(l_partkey * 7 + l_linenumber ORDER BY {order}),
   lambda acc, x: (acc * 31 + x) % {MODULUS}, 1::BIGINT) AS h
 FROM lineitem GROUP BY l_orderkey"""
 
+
 _FLOOR = """
 SELECT user_id, list_reduce(
   list(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END * CAST(round(value * 100) AS BIGINT) ORDER BY ts, event_id),
@@ -268,30 +297,17 @@ SELECT user_id, list_reduce(
   lambda acc, x: CASE WHEN x <> acc % 10 THEN acc WHEN x = 2 THEN acc - 2 + 10 ELSE acc + 1 END, 0::BIGINT) AS funnel
 FROM events GROUP BY user_id"""
 
-_KEYED = f"""
+
+def _keyed_sql(order: str) -> str:
+    return f"""
 WITH starts AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) % {MODULUS} AS start FROM orders),
-lists AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY 1)
+lists AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY {order}) AS parts FROM lineitem GROUP BY 1)
 SELECT k AS l_orderkey, CASE WHEN parts IS NULL THEN start
   ELSE list_reduce(parts, lambda acc, x: (acc * 31 + x) % {MODULUS}, start) END AS h
 FROM starts LEFT JOIN lists USING (k)"""
 
-_RESOURCE = """
-SELECT c_nationkey, c_custkey, {sign} CASE c_custkey % 2 WHEN 0 THEN n_regionkey::BIGINT ELSE n_nationkey::BIGINT * 10 END + c_custkey AS x
-FROM customer JOIN nation ON c_nationkey = n_nationkey"""
-
-_RESOURCE_SORTED = """
-SELECT c_nationkey, c_custkey, c_nationkey::BIGINT * 10 * 100000
-  + row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(round(c_acctbal * 100) AS BIGINT) DESC NULLS LAST, c_custkey) - 1 AS x
-FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 _SIDES = """
-WITH a AS (SELECT o_custkey AS k, o_orderkey AS av FROM orders WHERE o_orderpriority = '1-URGENT'),
-b AS (SELECT user_id AS k, event_id AS bv FROM events WHERE event_type = 'purchase'),
-c AS (SELECT conv_id AS k, turn AS cv FROM conversations),
-d AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS dv FROM customer)
-"""
-
-_WHOLE_SIDES = """
 WITH a AS (SELECT o_custkey AS k, o_orderkey AS av FROM orders),
 b AS (SELECT user_id AS k, event_id AS bv FROM events),
 c AS (SELECT conv_id AS k, turn AS cv FROM conversations),
@@ -299,49 +315,45 @@ d AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS dv FROM customer)
 """
 
 
-def _join_sql(how: str, n: int, tables: str = _SIDES) -> str:
+def _join_sql(how: str, n: int) -> str:
     sides = "abcd"[:n]
     values = ", ".join(f"{s}v" for s in sides)
-    if how == "right":  # left joins from the last table
-        order = sides[::-1]
-        chain = order[0] + "".join(f" LEFT JOIN {s} ON {s}.k = {order[0]}.k" for s in order[1:])
-        return f"{tables} SELECT {order[0]}.k, {values} FROM {chain}"
-    if how == "left":
-        chain = "a" + "".join(f" LEFT JOIN {s} ON {s}.k = a.k" for s in sides[1:])
-        return f"{tables} SELECT a.k, {values} FROM {chain}"
-    kind = "FULL JOIN" if how == "full" else "JOIN"
-    chain = "a" + "".join(f" {kind} {s} USING (k)" for s in sides[1:])
-    plain = f"SELECT k, {values} FROM {chain}"
-    if how == "inner":
-        return tables + plain
+    if how in ("left", "right"):  # left joins from the first or from the last table
+        first, *rest = sides if how == "left" else sides[::-1]
+        plain = f"SELECT {first}.k AS k, {values} FROM {first}" + "".join(f" LEFT JOIN {s} ON {s}.k = {first}.k" for s in rest)
+    else:
+        kind = "FULL JOIN" if how == "full" else "JOIN"
+        plain = f"SELECT k, {values} FROM a" + "".join(f" {kind} {s} USING (k)" for s in sides[1:])
     order = ", ".join(f"{s}v NULLS FIRST" for s in sides)
-    return f"{tables} SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY {order}) - 1 AS BIGINT) AS pos FROM ({plain})"
+    return f"{_SIDES} SELECT *, row_number() OVER (PARTITION BY k ORDER BY {order}) - 1 AS pos FROM ({plain})"
 
 
 def oracle_sql() -> dict[str, str]:
     events = _groups_sql("event_id", "events", "user_id", "ts, event_id")
-    lines = ", ".join(LINE)
-    full_3 = "SELECT k, av, bv, cv FROM a FULL JOIN b USING (k) FULL JOIN c USING (k)"
+    natural = _groups_sql("event_type, event_id", "events", "user_id", "event_type, event_id")
+    by_lines = lambda order: _groups_sql(", ".join(LINE), "lineitem", "l_orderkey", ORDERS_SQL[order])
+    each = lambda name, sql, where=PLACED: {f"{name}{w}": sql for w in where}
     return {
         "sorted_groups": events,
-        "sorted_groups_natural": _groups_sql("event_type, event_id", "events", "user_id", "event_type, event_id"),
-        "sorted_groups_by_expr": _groups_sql(lines, "lineitem", "l_orderkey", f"-l_extendedprice, {lines}"),
-        "sorted_groups_desc_n": _groups_sql(
-            lines, "lineitem", "l_orderkey", "l_extendedprice DESC NULLS LAST, l_linenumber DESC, l_partkey, l_suppkey"
-        ),
         "sorted_groups_placed": events,
-        "fold_hash": _FOLD_HASH,
-        "fold_hash_py": _FOLD_HASH,
+        **each("sorted_groups_natural", natural),
+        **each("sorted_groups_by_expr", by_lines("by_expr")),
+        **each("sorted_groups_desc", by_lines("desc"), ("", "_n")),
+        **each("fold_hash", _fold_sql(ORDERS_SQL["natural"])),
+        **each("fold_hash_py", _fold_sql(ORDERS_SQL["natural"]), ("", "_placed")),
+        **each("fold_by_expr", _fold_sql(ORDERS_SQL["by_expr"])),
+        **each("fold_desc", _fold_sql(ORDERS_SQL["desc"]), ("", "_n")),
         "fold_floor_balance": _FLOOR,
         "fold_funnel_py": _FUNNEL,
-        "fold_keyed_start": _KEYED,
-        "fold_keyed_start_py": _KEYED,
-        "resource_map": _RESOURCE.format(sign=""),
-        "resource_prepared": _RESOURCE.format(sign="-"),
-        "resource_prepared_py": _RESOURCE.format(sign="-"),
-        "resource_sorted_by": _RESOURCE_SORTED,
-        **{f"join_{how}_{n}": _join_sql(how, n) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
-        "join_full_3_placed": _SIDES + full_3,
-        **{f"join_whole_{how}_{n}": _join_sql(how, n, _WHOLE_SIDES) for how in ("full", "inner", "left", "right") for n in (2, 3, 4)},
-        "join_whole_full_3_placed": _WHOLE_SIDES + full_3,
+        **each("fold_keyed_start", _keyed_sql(ORDERS_SQL["natural"])),
+        **each("fold_keyed_start_py", _keyed_sql(ORDERS_SQL["natural"]), ("", "_placed")),
+        **each("fold_keyed_start_desc", _keyed_sql(ORDERS_SQL["desc_line"]), ("", "_n")),
+        **each("resource_curried", _curried_sql()),
+        **each("resource_prepared", _resource_sql(True)),
+        **each("resource_map", _resource_sql(False)),
+        **each("resource_curried_sorted", _curried_sql(True)),
+        **each("resource_prepared_sorted", _resource_sql(True, True)),
+        **each("resource_map_sorted", _resource_sql(False, True)),
+        "resource_prepared_py": _resource_sql(True),
+        **{f"join_{how}_{n}{w}": _join_sql(how, n) for how, n, w in JOINS},
     }
