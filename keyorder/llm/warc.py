@@ -1,13 +1,20 @@
 """WARC derivatives: responses become linked metadata and plain-text conversion records.
 
-A record is its exact bytes.  Each response gives two records that refer to it:
-``metadata`` (JSON of the record's and the HTTP message's headers, the page's
-title, meta tags and links; a list of values where a name repeats) and ``conversion`` (its text).  Both carry the
-source's target, date and payload digest; their own blocks have digests too.
-
-A null page is an empty payload; a null address leaves out its header.  Records
-that can't be read as a response give a metadata record that says so and an
-empty conversion.  Repeated rows give repeated records.
+A record is its exact bytes, which may be one gzip member.  Each response gives
+two records that refer to it: ``metadata`` (JSON of the record's and the HTTP
+message's headers, a list of values where a name repeats, the page's title, meta
+tags and links) and ``conversion`` (its text).  Both carry the source's target,
+date and payload digest; their own blocks have digests too.  Chunked, gzip,
+deflate and zstd bodies are unpacked before they are read; digests are those of
+the bytes as stored.
+
+A null page is an empty payload; a null address leaves out its header.  Null and
+empty records, records of another type, broken ones and bodies that can't be
+unpacked (or would exceed ``MAX_BODY_BYTES``) give a metadata record that says
+so and an empty conversion.  Repeated rows give repeated records, an empty table
+none.  Only the named columns are read, whatever others are called.  Markup is
+read in one pass whose time is linear in the page, however broken it is; as in
+browsers, a tag that never ends swallows the rest of the page.
 """
 
 from __future__ import annotations
@@ -19,9 +26,11 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,13 +48,21 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title "
     "tr ul".split()
 )
-HIDDEN = "script|style|template|noscript"
+HIDDEN = frozenset("script style template noscript".split())
 
-_MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{HIDDEN})\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)|<(?P<name>/?[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
+# Charsets that pages on the web may name, as Python calls them.
+CHARSETS = frozenset(
+    "utf-8 utf-16 utf-16-le utf-16-be ascii iso8859-1 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6 iso8859-7 iso8859-8 iso8859-9 "
+    "iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 cp866 cp874 "
+    "koi8-r koi8-u mac-roman mac-cyrillic gb2312 gbk gb18030 big5 big5hkscs euc_jp iso2022_jp shift_jis cp932 euc_kr cp949".split()
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Bytes that an unpacked body may have.
+MAX_BODY_BYTES = 1 << 28
+
+_NAME = re.compile(r"[a-z][a-z0-9:-]*", re.IGNORECASE)
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_EQUALS = re.compile(r"\s*=\s*")
 _SPACE = re.compile(r"[ \t\r\f\v]+")
 
 
@@ -93,6 +110,8 @@ def _values(pairs: list[tuple[str, str]]) -> dict[str, str | list[str]]:
 
 def parse(record: bytes) -> tuple[list[tuple[str, str]], bytes]:
     """Headers and block of a record."""
+    if record[:2] == b"\x1f\x8b":
+        record = _inflated(record, 31)
     head, found, rest = record.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
@@ -115,21 +134,70 @@ def response(url: str | None, page: str | None, key: bytes = b"", date: str = DA
     return build(headers, block)
 
 
+def _tag(page: str, at: int) -> tuple[int, dict[str, str]]:
+    """(end, attributes) of a tag whose name ends at ``at``; the end of the page if it has none."""
+    attributes: dict[str, str] = {}
+    while True:
+        at = _BETWEEN.match(page, at).end()
+        if at >= len(page):
+            return at, attributes
+        if page[at] == ">":
+            return at + 1, attributes
+        m = _ATTRIBUTE.match(page, at)
+        name, at = m[1].lower(), m.end()
+        value = next((v for v in m.groups()[1:] if v is not None), None)
+        if value is None:
+            begun = _EQUALS.match(page, at)
+            at = begun.end() if begun else at
+            if begun and page[at : at + 1] in ("'", '"'):  # a quotation that never ends
+                return len(page), attributes
+        attributes.setdefault(name, html.unescape(value or ""))
+
+
+def _after_hidden(page: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+    return len(page) if end is None else _tag(page, end.end())[0]
+
+
+def markup(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """(text before it, name, attributes) of each tag; names of closing tags begin with "/", the last piece has none."""
+    begun = at = 0  # where the text that is still to be given begins, and where to look for a tag
+    while (at := page.find("<", at)) >= 0:
+        start, mark = at, page[at + 1 : at + 2]
+        named = _NAME.match(page, at + 1 + (mark == "/"))
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            yield page[begun:start], "", {}
+        elif named:
+            name = named[0].lower()
+            at, attributes = _tag(page, named.end())
+            if mark != "/" and name in HIDDEN:
+                at = _after_hidden(page, name, at)
+            yield page[begun:start], f"/{name}" if mark == "/" else name, attributes
+        elif mark and mark in "!?/":
+            end = page.find(">", at + 2)
+            at = len(page) if end < 0 else end + 1
+            yield page[begun:start], "", {}
+        else:  # a sign like any other
+            at += 1
+            continue
+        begun = at
+    yield page[begun:], "", {}
+
+
 def read_html(page: str) -> dict:
     """Text, title, meta tags and links of a page, in one pass over its markup."""
     text: list[str] = []
     links: list[dict] = []
     meta: list[tuple[str, str]] = []
     title: list[str] = []
-    in_title, link, at = False, None, 0
-    for m in _MARKUP.finditer(page):
-        said = page[at : m.start()]
-        at = m.end()
+    in_title, link = False, None
+    for said, name, attributes in markup(page):
         if said:
             (title if in_title else text).append(said)
             if link is not None:
-                link["text"] += said
-        name = (m["name"] or "").lower()
+                link["text"].append(said)
         closing, bare = name.startswith("/"), name.lstrip("/")
         if bare in BLOCKS:
             text.append("\n")
@@ -137,53 +205,117 @@ def read_html(page: str) -> dict:
             in_title = not closing
         elif bare == "a":
             link = None
-            if not closing and (url := _attributes(m["rest"]).get("href")) is not None:
-                link = {"path": "A@/href", "url": url, "text": ""}
+            if not closing and (url := attributes.get("href")) is not None:
+                link = {"path": "A@/href", "url": url, "text": []}
                 links.append(link)
         elif bare in ("img", "link", "iframe") and not closing:
-            attributes = _attributes(m["rest"])
             for a in ("src", "href"):
                 if a in attributes:
                     links.append({"path": f"{bare.upper()}@/{a}", "url": attributes[a]})
         elif bare == "meta" and not closing:
-            attributes = _attributes(m["rest"])
             if (key := attributes.get("name") or attributes.get("property") or ("charset" if "charset" in attributes else None)) is not None:
                 meta.append((key, attributes.get("content", attributes.get("charset", ""))))
-    (title if in_title else text).append(page[at:])
     for x in links:
         if "text" in x:
-            x["text"] = _SPACE.sub(" ", html.unescape(x["text"]).replace("\n", " ")).strip()
+            x["text"] = _SPACE.sub(" ", html.unescape("".join(x["text"])).replace("\n", " ")).strip()
     head = " ".join(html.unescape("".join(title)).split())
     lines = (_SPACE.sub(" ", line).strip() for line in html.unescape("".join(text)).split("\n"))
     body = "\n".join(line for line in lines if line)
     return {"title": head, "meta": _values(meta), "links": links, "text": "\n".join(x for x in (head, body) if x)}
 
 
-def _attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(next(v for v in m.groups()[1:] if v is not None)) for m in _ATTRIBUTE.finditer(rest)}
+def _named(headers: list[tuple[str, str]], name: str) -> str:
+    return next((v for k, v in headers if k.lower() == name), "")
 
 
 def _charset(headers: list[tuple[str, str]]) -> str:
-    kind = next((v for k, v in headers if k.lower() == "content-type"), "")
-    found = re.search(r"charset=\"?([\w-]+)", kind, re.IGNORECASE)
+    found = re.search(r"charset=[\"']?([\w-]+)", _named(headers, "content-type"), re.IGNORECASE | re.ASCII)
     try:
-        return codecs.lookup(found[1]).name if found else "utf-8"
+        name = codecs.lookup(found[1]).name if found else "utf-8"
     except LookupError:
         return "utf-8"
+    return name if name in CHARSETS else "utf-8"
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        line = body.find(b"\r\n", at)
+        size = body[at:line].split(b";")[0].strip() if line >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,12}", size):
+            raise ValueError("a chunk of the body has no size")
+        n, at = int(size, 16), line + 2
+        if not n:
+            return b"".join(out)
+        if at + n > len(body):
+            raise ValueError("the last chunk of the body is cut off")
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def _inflated(data: bytes, window: int) -> bytes:
+    """All members of a gzip body, or a deflate one."""
+    out, room = [], MAX_BODY_BYTES
+    try:
+        while data:
+            reader = zlib.decompressobj(window)
+            out.append(reader.decompress(data, room + 1))
+            room -= len(out[-1])
+            if room < 0 or reader.unconsumed_tail:
+                raise ValueError("the body unpacks to too many bytes")
+            if not reader.eof:
+                raise ValueError("the packed body is cut off")
+            data = reader.unused_data if window > 16 and reader.unused_data[:2] == b"\x1f\x8b" else b""
+    except zlib.error as e:
+        raise ValueError(f"the body can't be unpacked: {e}") from None
+    return b"".join(out)
+
+
+def _unzstd(data: bytes) -> bytes:
+    out, room = [], MAX_BODY_BYTES
+    reader = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
+    while part := reader.read(1 << 20):
+        out.append(part)
+        room -= len(part)
+        if room < 0:
+            raise ValueError("the body unpacks to too many bytes")
+    return b"".join(out)
+
+
+def unpacked(payload: bytes, http: list[tuple[str, str]]) -> bytes:
+    """The body of a message without its transfer and content codings."""
+    if "chunked" in _named(http, "transfer-encoding").lower():
+        payload = _unchunked(payload)
+    for coding in reversed([c.strip().lower() for c in _named(http, "content-encoding").split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            payload = _inflated(payload, 31)
+        elif coding == "deflate":
+            payload = _inflated(payload, 15 if payload[:1] in (b"\x08", b"\x18", b"\x28", b"\x38", b"\x48", b"\x58", b"\x68", b"\x78") else -15)
+        elif coding == "zstd":
+            try:
+                payload = _unzstd(payload)
+            except zstandard.ZstdError as e:
+                raise ValueError(f"the body can't be unpacked: {e}") from None
+        elif coding not in ("", "identity"):
+            raise ValueError(f"the body has an unknown coding: {coding}")
+    return payload
 
 
 def derive(record: bytes | None) -> list[dict]:
     """The metadata and the conversion record of a response."""
-    error, source, http, status, payload = None, [], [], "", b""
+    error, source, http, status, payload, body = None, [], [], "", b"", b""
     try:
         source, block = parse(record or b"")
+        if (kind := _named(source, "warc-type").lower()) != "response":
+            raise ValueError(f"not a response but a record of type {kind!r}")
         head, _, payload = block.partition(b"\r\n\r\n")
         first, _, rest = head.partition(b"\r\n")
         status, http = first.decode("utf-8", "replace"), _headers(rest)
+        body = unpacked(payload, http)
     except ValueError as e:
         error = str(e)
-    named = {k.lower(): v for k, v in source}
-    page = read_html(payload.decode(_charset(http), "replace")) if error is None else read_html("")
+    named = {k.lower(): v for k, v in reversed(source)}
+    page = read_html(body.decode(_charset(http), "replace"))
     refers = named.get("warc-record-id", "")
     payload_digest = named.get("warc-payload-digest") or sha1(payload)
     shared = [(k, named[k.lower()]) for k in ("WARC-Date", "WARC-Target-URI") if k.lower() in named]

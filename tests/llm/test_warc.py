@@ -1,6 +1,14 @@
 import base64
+import gzip
 import hashlib
+import itertools
 import json
+import re
+import time
+import zlib
+from html.parser import HTMLParser
+
+import zstandard
 
 from keyorder.llm import queries, warc
 
@@ -22,7 +30,7 @@ def test_html():
 
 
 def test_odd_html():
-    for page, text in [("", ""), ("a < b > c", "a < b > c"), ("<", "<"), ("<!-- open", ""), ("<p", "<p"), ("x" * 100_000, "x" * 100_000), ("<p>" * 20_000, "")]:
+    for page, text in [("", ""), ("a < b > c", "a < b > c"), ("<", "<"), ("<!-- open", ""), ("x <p", "x"), ("x <p title=\"y> z", "x"), ("<script>x", ""), ("x</3>y", "xy"), ("a <1> b", "a <1> b"), ("x" * 100_000, "x" * 100_000), ("<p>" * 20_000, "")]:
         assert warc.read_html(page)["text"] == text
 
 
@@ -61,15 +69,148 @@ def test_charset_of_the_header():
     assert warc.derive(warc.build([("WARC-Type", "response")], block))[1]["block"].decode() == "�"
 
 
-def test_query(spark, data):
+class Reader(HTMLParser):
+    """Another reading of pages, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.title, self.metas, self.links, self.inside, self.hidden = [""], "", [], [], None, 0
+        self.in_title = False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed([(k, v or "") for k, v in attrs]))
+        self.hidden += tag in ("script", "style", "template", "noscript")
+        self.in_title |= tag == "title"
+        if tag in warc.BLOCKS:
+            self.lines.append("")
+        if tag == "a":
+            self.inside = ["A@/href", attrs["href"], ""] if "href" in attrs else None
+            self.links += [self.inside] if self.inside else []
+        elif tag in ("img", "link", "iframe"):
+            self.links += [[f"{tag.upper()}@/{a}", attrs[a], None] for a in ("src", "href") if a in attrs]
+        elif tag == "meta":
+            name = attrs.get("name") or attrs.get("property") or ("charset" if "charset" in attrs else None)
+            self.metas += [(name, attrs.get("content", attrs.get("charset", "")))] if name is not None else []
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "template", "noscript")
+        self.in_title &= tag != "title"
+        if tag in warc.BLOCKS:
+            self.lines.append("")
+        if tag == "a":
+            self.inside = None
+
+    def handle_data(self, data):
+        if self.hidden:
+            return
+        if self.in_title:
+            self.title += data
+            return
+        first, *rest = data.split("\n")
+        self.lines[-1] += first
+        self.lines += rest
+        if self.inside:
+            self.inside[2] += data
+
+    def read(self):
+        tidy = lambda x: re.sub(r"[ \t\r\f\v]+", " ", x.replace("\n", " ")).strip()
+        body = [t for t in map(tidy, self.lines) if t]
+        title = " ".join(self.title.split())
+        links = [{"path": p, "url": u} | ({} if t is None else {"text": tidy(t)}) for p, u, t in self.links]
+        return title, self.metas, links, "\n".join([title] * bool(title) + body)
+
+
+def flat(metas):
+    return sorted((k, v) for k, vs in metas.items() for v in (vs if isinstance(vs, list) else [vs]))
+
+
+def test_query_equals_another_reading(spark, data):
     pages = {r.page_id: r for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     rows = queries.op3_warc_derivatives(spark, data).collect()
-    assert len(rows) == 2 * len(pages)
-    for r in rows:
-        made = {x["record_type"]: x for x in warc.derive(warc.response(pages[r.page_id].url, pages[r.page_id].html, str(r.page_id).encode()))}
-        assert r.block_sha256 == hashlib.sha256(made[r.record_type]["block"]).hexdigest()
-        assert r.record_sha256 == hashlib.sha256(made[r.record_type]["record"]).hexdigest()
-        assert r.source_payload_digest == digest((pages[r.page_id].html or "").encode())
+    assert len(rows) == 2 * len(pages) and len({r.record_id for r in rows}) == len(rows)
+    for key, of in itertools.groupby(sorted(rows, key=lambda r: (r.page_id, r.record_type)), lambda r: r.page_id):
+        conversion, metadata = of
+        page = (pages[key].html or "").encode()
+        _, _, links, text = Reader(page.decode()).read()
+        assert conversion.block_sha256 == hashlib.sha256(text.encode()).hexdigest() and conversion.content_length == len(text.encode())
+        assert conversion.block_digest == digest(text.encode())
+        assert metadata.refers_to == conversion.refers_to and metadata.refers_to.startswith("<urn:uuid:")
+        for r in (conversion, metadata):
+            assert r.source_payload_digest == digest(page) and r.n_links == len(links) and r.target_uri == pages[key].url
+        # The record, header by header.
+        lines = ["WARC/1.1", "WARC-Type: conversion", f"WARC-Record-ID: {conversion.record_id}", "WARC-Date: 1970-01-01T00:00:00Z"]
+        lines += [f"WARC-Target-URI: {pages[key].url}", f"WARC-Refers-To: {conversion.refers_to}", f"WARC-Source-Payload-Digest: {digest(page)}"]
+        lines += [f"WARC-Block-Digest: {digest(text.encode())}", "Content-Type: text/plain; charset=utf-8", f"Content-Length: {len(text.encode())}", "", text, "", ""]
+        assert conversion.record_sha256 == hashlib.sha256("\r\n".join(lines).encode()).hexdigest()
+
+
+def test_pages_equal_another_reading(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        title, metas, links, text = Reader(r.html or "").read()
+        found = warc.read_html(r.html or "")
+        assert (found["title"], flat(found["meta"]), found["links"], found["text"]) == (title, sorted(metas), links, text)
+
+
+def test_broken_markup_takes_linear_time():
+    for bad in ("<a ", '<a "', "<script ", "<!--", "<", "<a b=", "</", "<a = ", "<a b='", "<script>", "&", "<!", "<a href='x'>y"):
+        began = time.process_time()
+        warc.read_html(bad * (1_000_000 // len(bad)))
+        assert time.process_time() - began < 4, bad
+
+
+def message(*headers, body=b"<p>caf\xc3\xa9"):
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in headers) + b"\r\n" + body
+    return warc.build([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:a>")], block)
+
+
+def test_charsets_that_arent_of_texts():
+    for name in ("hex", "rot13", "zip", "base64", "idna", "punycode", "unicode_escape", "undefined", "mbcs", "é", "utf-7"):
+        assert warc.derive(message(("Content-Type", f"text/html; charset={name}")))[1]["block"].decode() == "café"
+    assert warc.derive(message(("Content-Type", "text/html; charset='utf-16le'"), body="hi".encode("utf-16le")))[1]["block"] == b"hi"
+
+
+def test_packed_bodies():
+    body = b"<p>caf\xc3\xa9" * 3
+    raw = zlib.compressobj(wbits=-15)
+    packings = {
+        "gzip": gzip.compress(body[:12]) + gzip.compress(body[12:]), "deflate": zlib.compress(body), "zstd": zstandard.compress(body), "identity": body,
+        "GZIP, zstd": zstandard.compress(gzip.compress(body)),
+    }
+    packed = [*packings.items(), ("deflate", raw.compress(body) + raw.flush())]
+    for coding, data in packed:
+        chunks = b"".join(b"%x;q=1\r\n%b\r\n" % (len(data[i : i + 7]), data[i : i + 7]) for i in range(0, len(data), 7)) + b"0\r\n\r\n"
+        for headers, stored in (([], data), ([("Transfer-Encoding", "chunked")], chunks)):
+            record = message(("Content-Encoding", coding), *headers, body=stored)
+            for given in (record, gzip.compress(record)):
+                metadata, conversion = warc.derive(given)
+                assert conversion["block"].decode() == "café\ncafé\ncafé" and metadata["source_payload_digest"] == digest(stored)
+                assert "Error" not in json.loads(metadata["block"])
+
+
+def test_what_cant_be_unpacked_is_reported(monkeypatch):
+    bad = [
+        message(("Content-Encoding", "gzip")), message(("Content-Encoding", "br")), message(("Content-Encoding", "zstd")), message(("Content-Encoding", "deflate")),
+        message(("Content-Encoding", "gzip"), body=gzip.compress(b"x" * 99)[:-9]), message(("Transfer-Encoding", "chunked")), message(("Transfer-Encoding", "chunked"), body=b"9\r\nshort"),
+        b"\x1f\x8bnot gzip",
+    ]
+    monkeypatch.setattr(warc, "MAX_BODY_BYTES", 1000)
+    bad += [message(("Content-Encoding", c), body=f(b"x" * 2000)) for c, f in (("gzip", gzip.compress), ("deflate", zlib.compress), ("zstd", zstandard.compress))]
+    for record in bad:
+        metadata, conversion = warc.derive(record)
+        assert "Error" in json.loads(metadata["block"]) and conversion["block"] == b""
+
+
+def test_other_types_arent_responses():
+    record = warc.build([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:r>")], b"GET / HTTP/1.1\r\nHost: x\r\n\r\n")
+    metadata, conversion = warc.derive(record)
+    about = json.loads(metadata["block"])
+    assert "request" in about["Error"] and about["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Response-Message"] == ""
+    assert conversion["block"] == b"" and conversion["refers_to"] == "<urn:r>"
 
 
 def test_nulls_repeated_rows_and_more_columns(spark):
