@@ -4,15 +4,20 @@ Every example is a vector of demands: tokens, one segment, loss-bearing tokens.
 A sequence is a bin with a limit on each.  One bin is open at a time; the
 example whose demands have the largest dot product with what the bin has left
 goes in, until none fits.  If more than ``max_padding`` tokens are then still
-free, an example is cut and its head fills the bin.
+free, the head with the largest dot product among all examples' heads that fit
+is cut off and fills the bin.
 
 Packing is local to a task: a task keeps a bounded window of examples, carries
 what is left into the next window, and cuts only its very last bin into powers
 of two, which need no padding.  So there is no shuffle, memory doesn't grow
 with the input, and a lost task is redone from its own split of the input.
 
-Null and empty texts hold only the closing id.  Repeated rows are packed as
-often as they occur.
+Null and empty texts hold only the closing id, null prompts nothing.  Repeated
+rows are packed as often as they occur, ties go to the example that came first,
+a text of any length is cut into as many pieces as it needs, an empty table
+gives no rows, and only the named columns are read, whatever others are called.
+Control strings of the vocabulary inside a text are ordinary text unless
+``control_ids`` is set: a document can't forge the end of another.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyorder.llm.common import released, slices
+from keyorder.llm.common import released, slices, text_buffer
 
 CHUNK_BYTES = 1 << 20
 #: Words whose ids a Python worker keeps, from their second occurrence on; beyond it words are encoded as they come.
 CACHE_WORDS = 250_000
 #: Flags, by hash, of the words that a worker has met.
 MET_FLAGS = 1 << 22
-CACHE_WORD_CHARS = 64
+CACHE_WORD_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -49,64 +55,129 @@ class Limits:
     #: Examples that wait for a place in a task.
     window: int = 2048
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss, self.window) < 1 or self.max_padding < 0:
+            raise ValueError(f"no example could ever be placed under {self}")
 
-@lru_cache(maxsize=2)
-def load_tokenizer(path: str):
+
+@lru_cache(maxsize=4)
+def load_tokenizer(path: str, control_ids: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not control_ids
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def closes_word(path: str) -> np.ndarray:
+    """Which ids end a word of letters: each such word has exactly one of them, its last."""
+    vocabulary = load_tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return out
+
+
 @lru_cache(maxsize=1)
-def word_cache(path: str) -> tuple[dict[str, bytes], bytearray]:
+def word_cache(path: str) -> tuple[dict[bytes, bytes], bytearray]:
     """Word to packed ids, and flags of words met; lives as long as the Python worker, so later tasks find it filled."""
-    return {"": b""}, bytearray(MET_FLAGS)
+    return {}, bytearray(MET_FLAGS)
 
 
-class WordCoder:
-    """Ids of texts by way of a cache of words.
-
-    The tokenizer's normaliser and splitter never join what a blank, tab or line
-    break separates, so a text's ids are those of its parts, one after the other.
+@lru_cache(maxsize=1)
+def _byte_kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes that are blanks, ASCII letters and digits, and ASCII signs but the apostrophe."""
+    code = np.arange(256)
+    plain = np.array([chr(c).isalnum() and c < 128 for c in code])
+    blank = np.isin(code, (9, 10, 13, 32))
+    return blank, plain, (code > 32) & (code < 127) & ~plain & (code != 39)
+
+
+def split_words(data: bytes, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Words of concatenated texts, and the n + 1 offsets of the texts' words.
+
+    Words end at blanks, tabs and line breaks, which the tokenizer's normaliser
+    and splitter never join across, and so does a single sign beside them that
+    touches an ASCII letter or digit.  ASCII letters are lower-cased, as the
+    normaliser would; only where combining marks occur, which may compose with
+    one case and not with the other, is that left to it.
     """
+    if b"\xcc" not in data and b"\xcd" not in data:
+        data = data.lower()
+    blank, plain, sign = _byte_kinds()
+    code = np.frombuffer(data, np.uint8)
+    heads = np.unique(at[1:-1])
+    # A blank before, between and after the texts: neighbours of each byte in its own text.
+    code = np.concatenate([[np.uint8(32)], np.insert(code, heads, np.uint8(32)), [np.uint8(32)]])
+    blanks, signs, plains = blank[code], sign[code], plain[code]
+    code[blanks] = 32
+    cut = np.zeros(len(code), bool)  # before which bytes a word ends though no blank stands there
+    cut[1:-1] = plains[:-2] & signs[1:-1] & blanks[2:]
+    cut[2:] |= blanks[:-2] & signs[1:-1] & plains[2:]
+    words = list(filter(None, np.insert(code, np.flatnonzero(cut), np.uint8(32)).tobytes().split(b" ")))
+    cut[1:] |= blanks[:-1] & ~blanks[1:]
+    return words, np.searchsorted(np.flatnonzero(cut), at + np.searchsorted(heads, at, side="right") + 1)
+
+
+class WordCoder:
+    """Ids of texts by way of a cache of words: a text's ids are those of its words, one after the other."""
 
-    def __init__(self, path: str, closing_id: int | None):
+    def __init__(self, path: str, closing_id: int | None, control_ids: bool = False):
         self.tokenizer = load_tokenizer(path)
         self.closing = b"" if closing_id is None else np.array([closing_id], "<u4").tobytes()
         self.words, self.met = word_cache(path)
+        self.closes = closes_word(path)
+        self.control = load_tokenizer(path, True) if control_ids else None
+        self.marks = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()) if control_ids else ()
 
-    def _look_up(self, new: list[str]) -> dict[str, bytes]:
+    def _look_up(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Packed ids of words that the cache lacks, a thousand words to a call."""
-        found = {}
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
+        found: dict[bytes, bytes] = {}
+        letters, others = [], []
+        for w in new:
+            (letters if w.isalpha() or (t := w.decode()).isalpha() else others).append(w)
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):  # letters that the normaliser takes apart
+                others += part
+                continue
+            data = ids.tobytes()
+            found.update(zip(part, [data[a:b] for a, b in pairwise([0, *(4 * ends).tolist()])], strict=True))
+        for at in range(0, len(others), 1000):
+            part = [w.decode() for w in others[at : at + 1000]]
             coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4").tobytes()
+            data = np.array(coded.ids, "<u4").tobytes()
             begins = np.array([a for a, _ in coded.offsets], np.int64)
             lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
             cuts = (4 * np.searchsorted(begins, np.cumsum(lengths) - lengths)).tolist()
-            found.update(zip(part, map(ids.__getitem__, map(slice, cuts, [*cuts[1:], len(ids)])), strict=True))
+            found.update(zip(others[at : at + 1000], [data[a:b] for a, b in pairwise([*cuts, len(data)])], strict=True))
         return found
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def encode(self, column: pa.Array, closed: bool = True) -> list[np.ndarray]:
+        """Ids of the texts of a string column, each with the closing id if ``closed``."""
+        data, at = text_buffer(column)
+        closing = self.closing if closed else b""
+        split, of = split_words(data, at)
         words = self.words
-        used = set().union(*split)
-        rest = self._look_up(list(used.difference(words)))
-        table = {w: words[w] for w in used if w in words} | rest if rest else words
-        if len(words) < CACHE_WORDS:
-            met, last = self.met, MET_FLAGS - 1
-            for w, ids in rest.items():
-                at = hash(w) & last
-                if not met[at]:  # most words that are met once aren't met again
-                    met[at] = 1
-                elif len(w) <= CACHE_WORD_CHARS:
-                    words[w] = ids
-        for parts in split:
-            yield np.frombuffer(b"".join(map(table.__getitem__, parts)) + self.closing, "<u4")
+        rest = self._look_up(list(set(split).difference(words)))
+        words.update(rest)
+        cuts = of.tolist()
+        out = [np.frombuffer(b"".join(map(words.__getitem__, split[a:b])) + closing, "<u4") for a, b in pairwise(cuts)]
+        if self.control is not None and any(m in data for m in self.marks):
+            for i, (a, b) in enumerate(pairwise(at.tolist())):
+                if any(m in data[a:b] for m in self.marks):
+                    ids = self.control.encode(data[a:b].decode(), add_special_tokens=False).ids
+                    out[i] = np.frombuffer(np.array(ids, "<u4").tobytes() + closing, "<u4")
+        met, last, full = self.met, MET_FLAGS - 1, len(words) - len(rest) >= CACHE_WORDS
+        for w in rest:
+            flag = hash(w) & last
+            if full or not met[flag] or len(w) > CACHE_WORD_BYTES:  # most words that are met once aren't met again
+                met[flag] = 1
+                del words[w]
+        return out
 
 
 @dataclass
@@ -205,7 +276,9 @@ class Packer:
         at = np.flatnonzero(free)
         can = np.minimum(length[at], int(room[0]))
         can = np.minimum(can, np.maximum(loss_from[at], start[at]) + int(room[2]) - start[at])
-        best = int(np.argmax(can))
+        size = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
+        share = room / size / size
+        best = int(np.argmax(can * share[0] + self._loss(start[at], start[at] + can, loss_from[at]) * share[2]))
         return int(at[best]), max(0, int(can[best]))
 
     def _close(self, placed: list[tuple[int, int, int]], examples: list[int], last: bool) -> Iterator[tuple]:
@@ -235,22 +308,24 @@ _ARROW = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(
 
 def pack(
     df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, *, closing_id: int | None = 1,
-    limits: Limits = Limits(), loss_from_col: str | None = None,
+    limits: Limits = Limits(), prompt_col: str | None = None, loss_from_col: str | None = None, control_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: where it comes from, its ids, and its place in a sequence.
 
-    ``loss_from_col``: index of each example's first loss-bearing token (the
-    length of its prompt); without it only a text's first token bears no loss.
+    ``prompt_col``: a text whose ids come before those of ``text_col`` and bear
+    no loss.  ``loss_from_col``: else, the index of each example's first
+    loss-bearing token.  With neither, only a text's first token bears none.
     Sequence ids are unique, with the number of the task above 40 bits.
     """
     source = df.select(
         F.col(id_col),
         F.col(text_col).cast("string").alias("_text"),
         (F.coalesce(F.col(loss_from_col), F.lit(0)) if loss_from_col else F.lit(1)).cast("long").alias("_loss_from"),
+        *([F.col(prompt_col).cast("string").alias("_prompt")] if prompt_col else []),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(tokenizer_path, closing_id)
+        coder = WordCoder(tokenizer_path, closing_id, control_ids)
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         kind = None
 
@@ -264,8 +339,11 @@ def pack(
             kind = batch.schema.field(0).type
             for begin, end in slices(batch.column(1), CHUNK_BYTES):
                 part = batch.slice(begin, end - begin)
-                ids = coder.encode(part.column(1).to_pylist())
-                rows = list(packer.add(list(zip(part.column(0).to_pylist(), ids, part.column(2).to_pylist(), strict=True))))
+                ids, loss_from = coder.encode(part.column(1)), part.column(2).to_pylist()
+                if prompt_col:
+                    prompts = coder.encode(part.column(3), closed=False)
+                    ids, loss_from = [np.concatenate(x) for x in zip(prompts, ids, strict=True)], list(map(len, prompts))
+                rows = list(packer.add(list(zip(part.column(0).to_pylist(), ids, loss_from, strict=True))))
                 if rows:
                     yield out(rows)
         if rows := list(packer.drain()):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyorder.llm import packing
 from keyorder.llm.common import documents
 
 
@@ -70,11 +71,22 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from keyorder.llm import packing
-
     return packed(packing.pack(documents(spark, sf_dir), "doc_id", "text", tokenizer_path("word_bpe_49k.json")))
 
 
+#: Few examples to a sequence, and a loss on at most half of its tokens.
+INSTRUCTIONS = packing.Limits(tokens=2048, segments=24, loss=1024)
+
+
+def packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn as an example whose prompt is the turn before it; here all three limits bind."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
+    examples = turns.withColumn("prompt", before).filter("role = 'assistant'")
+    made = packing.pack(examples, "conv_id", "text", tokenizer_path("word_bpe_49k.json"), limits=INSTRUCTIONS, prompt_col="prompt")
+    return made.select("conv_id", "start", "length", "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
 def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyorder.llm import sharding
 
@@ -140,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_fingerprints": op8_chat_fingerprints,
         "op9_robust_outliers": op9_robust_outliers,
         "op10_cross_polytope": op10_cross_polytope,
+        "packing_instructions": packing_instructions,
     }
 
 

@@ -2,6 +2,8 @@
 
 import zlib
 
+import pyarrow as pa
+
 import corpus_pipeline as pipeline
 from keyorder.llm import langid, packing, quality, queries
 from test_jaccard import brute as jaccard_brute
@@ -35,7 +37,7 @@ def test_stages_and_run(spark):
     rows = pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == kept["near_duplicates"]
     coder = packing.WordCoder(queries.tokenizer_path("word_bpe_49k.json"), 1)
-    ids = dict(zip(texts, coder.encode(list(texts.values())), strict=True))
+    ids = dict(zip(texts, coder.encode(pa.array(list(texts.values()), pa.string())), strict=True))
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
     assert sum(r.length for r in rows) == sum(len(ids[i]) for i in kept["near_duplicates"])
