@@ -1,21 +1,31 @@
 """Chat formatting by schema fingerprints, with DataFrame operations only.
 
-Records of any layout become variants.  The nested field paths of each record,
-without leaf types, are hashed; the hash picks one of the declared ``LAYOUTS``,
-which says where turns, roles and texts are.  Canonical turns are then written
-with a template whose control strings are escaped inside roles and texts, and
-every assistant text is marked by a span for the loss mask.
+Records of any layout become variants.  Each declared ``Layout`` names the
+nested field paths that it needs.  Those of them that a record has are hashed,
+and the layout whose own hash that equals is chosen: the one with most paths if
+several do, the first declared of equals.  It says where turns, roles and texts
+are; fields that it doesn't name are ignored, wherever they are.  Canonical
+turns are then written with a template whose control strings are escaped inside
+roles and texts, and every assistant text is marked by a span for the loss mask.
 
 A record of an undeclared layout, a null record and one that isn't JSON have a
-null ``layout`` and no turns, and keep their row.  Null roles and texts are empty.
+null ``layout``, no turns, and their content in ``unread``; they keep their row.
+Null roles and texts are empty, and so is a text that isn't there; a text that is
+itself an object or a list without texts is its JSON.  An empty list of turns is
+a conversation without turns.  Repeated rows are formatted as often as they
+occur.  An empty table gives no rows.  Only the named columns are read, whatever
+others are called.  A conversation is one row, however long.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -24,16 +34,18 @@ TURNS = "array<struct<role:string,text:string>>"
 class Layout:
     """Where one layout keeps its turns.
 
-    Either ``turns`` names an array with ``role`` and ``text`` in each element,
-    or ``said`` lists (role, fields): the fields' texts, joined by line breaks,
-    are one turn, which is left out when all are null or empty and it is ``optional``.
+    Either ``turns`` is the path of a list, with paths of ``role`` and ``text``
+    in its elements, or ``said`` lists (role, fields): the fields' texts, joined
+    by line breaks, are one turn, which is left out when all are null or empty
+    and it is ``optional``.  A path ends in "[]" where it leads into a list.
     """
 
     name: str
     paths: tuple[str, ...]
     turns: str | None = None
     role: str | None = None
-    text: str | None = None
+    #: The first that holds something counts.
+    text: tuple[str, ...] = ()
     said: tuple[tuple[str, tuple[str, ...]], ...] = ()
     optional: tuple[str, ...] = ("system",)
     roles: dict[str, str] = field(default_factory=dict)
@@ -43,8 +55,10 @@ class Layout:
 _SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 LAYOUTS = (
-    Layout("messages", ("messages[].content", "messages[].role"), turns="messages", role="role", text="content"),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), turns="conversations", role="from", text="value", roles=_SPEAKERS),
+    Layout("messages", ("messages[].content", "messages[].role"), turns="messages[]", role="role", text=("content",)),
+    Layout("message_parts", ("messages[]", "messages[].content[].text", "messages[].role"), turns="messages[]", role="role", text=("content[].text", "content")),
+    Layout("message_list", ("[].content", "[].role"), turns="[]", role="role", text=("content",)),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), turns="conversations[]", role="from", text=("value",), roles=_SPEAKERS),
     Layout("prompt_response", ("prompt", "response"), said=(("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("prompt_completion", ("prompt", "completion"), said=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("question_answer", ("question", "answer"), said=(("user", ("question",)), ("assistant", ("answer",)))),
@@ -56,7 +70,7 @@ LAYOUTS = (
 
 @dataclass(frozen=True)
 class TurnTable:
-    """Which columns of a table hold one turn a row."""
+    """Which columns, or fields of columns, of a table hold one turn a row."""
 
     name: str
     key: str
@@ -72,6 +86,7 @@ class TurnTable:
 TURN_TABLES = (
     TurnTable("conversation turns", "conv_id", "turn", "role", "text"),
     TurnTable("thread messages", "thread_id", "position", "author", "body"),
+    TurnTable("nested messages", "conversation_id", "index", "message.role", "message.content"),
 )
 
 
@@ -84,101 +99,103 @@ class Template:
     escape: str = "\\"
 
 
-def shape(paths: tuple[str, ...]) -> str:
-    """Paths as the nested shape that ``fingerprint`` hashes: ("a[].b", "c") is {a:[{b}],c}."""
-    tree: dict = {}
-    for path in paths:
-        at = tree
-        for part in path.split("."):
-            at = at.setdefault(part, {})
+def _inside(value: Column, part: str) -> tuple[Column, bool]:
+    """What one part of a path leads to in a variant, null if nothing; and whether that is a list of variants."""
+    many = part.endswith("[]")
+    name = part.removesuffix("[]")
+    return F.try_variant_get(value, f"$.{name}" if name else "$", "array<variant>" if many else "variant"), many
 
-    def show(node: dict) -> str:
-        parts = []
-        for key in sorted(node, key=lambda k: k.removesuffix("[]")):
-            inner = show(node[key]) if node[key] else ""
-            name = key.removesuffix("[]")
-            parts.append(f"{name}:[{inner}]" if key.endswith("[]") else f"{name}:{inner}" if inner else name)
-        return "{" + ",".join(parts) + "}"
 
-    return show(tree)
+def has(value: Column, path: str) -> Column:
+    """Whether a variant has a nested path: in a list, some element has the rest of it, or there is no element."""
+    part, _, rest = path.partition(".")
+    inner, many = _inside(value, part)
+    if not rest:
+        return inner.isNotNull()
+    return F.coalesce((F.size(inner) == 0) | F.exists(inner, lambda x: has(x, rest)) if many else has(inner, rest), F.lit(False))
 
 
-def shape_of(record: Column) -> Column:
-    """The shape of a variant: its schema, fields in order of their names, without leaf types."""
-    schema = F.schema_of_variant(record)
-    for pattern, by in (
-        (r"OBJECT<", "{"),
-        (r"ARRAY<", "["),
-        (r": (?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|VARIANT|VOID|DECIMAL\(\d+,\d+\))", ""),
-        (r"(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|VARIANT|VOID|DECIMAL\(\d+,\d+\))>", ">"),
-        (r": ", ":"),
-        (r", ", ","),
-    ):
-        schema = F.regexp_replace(schema, pattern, by)
-    # What closes is told by what opened; the shapes above are compared with '>' for both.
-    return schema
+def fingerprint(record: Column, paths: tuple[str, ...]) -> Column:
+    """Hash of those of the paths that the record has, in order of their names."""
+    return F.xxhash64(F.concat_ws("\n", *(F.when(has(record, p), F.lit(p)) for p in sorted(paths))))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(shape_of(record))
+def declared(layout: Layout) -> Column:
+    return F.xxhash64(F.lit("\n".join(sorted(layout.paths))))
 
 
-def declared(layout: Layout) -> Column:
-    return F.xxhash64(F.lit(shape(layout.paths).replace("}", ">").replace("]", ">")))
+def _text(value: Column, path: str) -> Column:
+    """The string at a path, null if nothing is there; the strings of a list are joined by line breaks."""
+    part, _, rest = path.partition(".")
+    inner, many = _inside(value, part)
+    if many:
+        return F.array_join(F.transform(inner, lambda x: _text(x, rest)), "\n")
+    return _text(inner, rest) if rest else F.try_variant_get(value, f"$.{part}", "string")
 
 
 def _turns(record: Column, layout: Layout) -> Column:
-    get = lambda path, kind: F.try_variant_get(record, path, kind)
+    nothing = F.lit("")
     if layout.turns:
-        rows = get(f"$.{layout.turns}", f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
 
-        def one(t: Column) -> Column:
-            role = F.coalesce(t[layout.role], F.lit(""))
+        def one(turn: Column) -> Column:
+            role = F.coalesce(_text(turn, layout.role), nothing)
             for old, new in layout.roles.items():
                 role = F.when(role == old, new).otherwise(role)
-            return F.struct(role.alias("role"), F.coalesce(t[layout.text], F.lit("")).alias("text"))
+            return F.struct(role.alias("role"), F.coalesce(*(_text(turn, p) for p in layout.text), nothing).alias("text"))
 
-        return F.transform(F.coalesce(rows, F.array().cast(rows_type(layout))), one)
+        return F.transform(_inside(record, layout.turns)[0], one)
     said = []
     for role, fields in layout.said:
-        parts = [F.nullif(get(f"$.{f}", "string"), F.lit("")) for f in fields]
-        text = F.concat_ws("\n", *parts)
+        text = F.concat_ws("\n", *(F.nullif(_text(record, f), nothing) for f in fields))
         turn = F.struct(F.lit(role).alias("role"), text.alias("text"))
         said.append(F.when(text == "", F.array().cast(TURNS)).otherwise(F.array(turn)) if role in layout.optional else F.array(turn))
     return F.concat(*said)
 
 
-def rows_type(layout: Layout) -> str:
-    return f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
-
-
 def canonical(records: DataFrame, id_col: str, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(id, layout, turns) of records: JSON texts, structs or variants of mixed layouts."""
+    """(id, layout, turns, unread) of records: JSON texts, structs or variants of mixed layouts."""
     kind = records.schema[record_col].dataType.typeName()
     value = F.col(record_col)
     variant = F.try_parse_json(value) if kind == "string" else value if kind == "variant" else F.to_variant_object(value)
-    with_print = records.select(id_col, variant.alias("_record")).withColumn("_print", fingerprint(F.col("_record")))
-    name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+    content = value if kind == "string" else F.to_json(variant)
+    with_record = records.select(id_col, variant.alias("_record"), content.alias("_content"))
+    record = F.col("_record")
+    matches = lambda x: record.isNotNull() & (fingerprint(record, x.paths) == declared(x))
+    chosen = F.coalesce(*(F.when(matches(x), x.name) for x in sorted(layouts, key=lambda x: -len(x.paths))))
+    named = with_record.withColumn("_layout", chosen)
+    turns = F.array().cast(TURNS)
     for layout in layouts:
-        same = F.col("_record").isNotNull() & (F.col("_print") == declared(layout))
-        name = F.when(same, layout.name).otherwise(name)
-        turns = F.when(same, _turns(F.col("_record"), layout)).otherwise(turns)
-    return with_print.select(id_col, name.alias("layout"), turns.alias("turns"))
+        turns = F.when(F.col("_layout") == layout.name, _turns(record, layout)).otherwise(turns)
+    unread = F.when(F.col("_layout").isNull(), F.col("_content"))
+    return named.select(id_col, F.col("_layout").alias("layout"), turns.alias("turns"), unread.alias("unread"))
+
+
+def schema_paths(schema: T.StructType, before: str = "") -> set[str]:
+    """Nested field paths of a table's columns."""
+    out: set[str] = set()
+    for f in schema.fields:
+        path, kind = before + f.name, f.dataType
+        while isinstance(kind, T.ArrayType):
+            path, kind = path + "[]", kind.elementType
+        out |= {path} | (schema_paths(kind, path + ".") if isinstance(kind, T.StructType) else set())
+    return out
+
+
+def _print(paths: set[str] | tuple[str, ...]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
 def gather(rows: DataFrame, tables: tuple[TurnTable, ...] = TURN_TABLES) -> DataFrame:
-    """(key, record) of a table with one turn a row: its column names, hashed, pick the ``TurnTable``.
+    """(key, record) of a table with one turn a row: its nested field paths, hashed, pick the ``TurnTable``.
 
     Columns that the layout doesn't name are ignored.  Turns of equal order are
     taken by role, then text.  A conversation becomes one record, as its
     formatted text must be one row; only its own turns meet in a task.
     """
-    names = set(rows.columns)
-    prints = {hash(frozenset(t.paths)): t for t in tables}
-    found = [t for h, t in prints.items() if h == hash(frozenset(names & set(t.paths)))]
-    if not found:
-        raise ValueError(f"no declared turn table has its columns among {sorted(names)}")
-    t = found[0]
+    paths = schema_paths(rows.schema)
+    t = next((t for t in tables if _print(paths & set(t.paths)) == _print(t.paths)), None)
+    if t is None:
+        raise ValueError(f"no declared turn table has its columns among {sorted(paths)}")
     turn = F.struct(F.col(t.order), F.coalesce(F.col(t.role), F.lit("")).alias("role"), F.coalesce(F.col(t.text), F.lit("")).alias("content"))
     messages = F.transform(F.sort_array(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return rows.groupBy(t.key).agg(F.struct(messages.alias("messages")).alias("record"))
@@ -194,8 +211,8 @@ def unescaped(text: Column, t: Template) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)" if t.escape == "\\" else rf"(?s)\Q{t.escape}\E(.)", "$1")
 
 
-def render(conversations: DataFrame, id_col: str, template: Template = Template()) -> DataFrame:
-    """(id, formatted, loss_spans): the text, and (start, length) in code points of each assistant text in it."""
+def render(conversations: DataFrame, id_col: str, template: Template = Template(), keep: Sequence[str] = ()) -> DataFrame:
+    """(id, columns to keep, formatted, loss_spans): the text, and (start, length) in code points of each assistant text in it."""
     t = template
 
     def parts(turn: Column) -> Column:
@@ -218,16 +235,17 @@ def render(conversations: DataFrame, id_col: str, template: Template = Template(
             F.when(p["loss"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
         )
 
-    made = conversations.select(id_col, F.transform("turns", parts).alias("_parts"))
+    made = conversations.select(id_col, *keep, F.transform("turns", parts).alias("_parts"))
     return made.select(
         id_col,
+        *keep,
         F.array_join(F.transform("_parts", lambda p: p["whole"]), "").alias("formatted"),
         F.aggregate("_parts", start, walk)["spans"].alias("loss_spans"),
     )
 
 
-def read_back(formatted: DataFrame, id_col: str, template: Template = Template()) -> DataFrame:
-    """(id, formatted, turns, loss_text), read from the formatted text and its spans alone."""
+def read_back(formatted: DataFrame, id_col: str, template: Template = Template(), keep: Sequence[str] = ()) -> DataFrame:
+    """(id, columns to keep, formatted, turns, loss_text), read from the formatted text and its spans alone."""
     t = template
     segments = F.split("formatted", rf"\Q{t.end}\E")
 
@@ -241,4 +259,4 @@ def read_back(formatted: DataFrame, id_col: str, template: Template = Template()
 
     turns = F.transform(F.slice(segments, F.lit(1), F.size(segments) - 1), turn)
     under = F.transform("loss_spans", lambda s: unescaped(F.substr("formatted", s["start"] + 1, s["length"]), t))
-    return formatted.select(id_col, "formatted", turns.alias("turns"), F.array_join(under, "").alias("loss_text"))
+    return formatted.select(id_col, *keep, "formatted", turns.alias("turns"), F.array_join(under, "").alias("loss_text"))

@@ -104,16 +104,50 @@ def op8_chat_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"),
         F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("response"))).alias("record"),
     )
-    formatted = chat.render(turns.unionByName(chat.canonical(probe, "conv_id", "record")), "conv_id")
+    return _formatted(turns.unionByName(chat.canonical(probe, "conv_id", "record"))).drop("layout")
+
+
+def _formatted(turns: DataFrame) -> DataFrame:
+    """Digest columns of canonical turns, written and read back."""
+    from keyorder.llm import chat
+
+    formatted = chat.render(turns, "conv_id", keep=["layout"])
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
-    return chat.read_back(formatted, "conv_id").select(
+    return chat.read_back(formatted, "conv_id", keep=["layout"]).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "layout",
+    )
+
+
+def chat_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, dealt to JSON records of every declared layout that can hold them, and formatted from those."""
+    from keyorder.llm import chat
+
+    turns = chat.canonical(chat.gather(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "conv_id", "record")
+    t, which = F.col("turns"), F.pmod("conv_id", F.lit(12))
+    as_list = lambda role, text, *more: F.transform(t, lambda x: F.struct(x["role"].alias(role), x["text"].alias(text), *more))
+    parts = F.transform(t, lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), x["text"].alias("text"))).alias("content")))
+    json = lambda *fields: F.to_json(F.struct(*fields))
+    pair = (F.size(t) == 2) & (F.get(t, 0)["role"] == "user") & (F.get(t, 1)["role"] == "assistant")
+    first, second, more = F.get(t, 0)["text"], F.get(t, 1)["text"], F.lit(1).alias("more")
+    record = (
+        F.when(pair & (which < 2), json(first.alias("prompt"), second.alias("response"), more))
+        .when(pair & (which < 4), json(first.alias("prompt"), second.alias("completion")))
+        .when(pair & (which < 6), json(more, first.alias("question"), second.alias("answer")))
+        .when(pair & (which < 8), json(first.alias("instruction"), F.lit("").alias("input"), second.alias("output")))
+        .when(pair & (which < 10), json(first.alias("instruction"), second.alias("output")))
+        .when(which % 5 == 0, json(as_list("role", "content", more).alias("messages"), more))
+        .when(which % 5 == 1, json(as_list("from", "value").alias("conversations"), more))
+        .when(which % 5 == 2, json(parts.alias("messages")))
+        .when(which % 5 == 3, F.to_json(as_list("role", "content")))
+        .otherwise(json(as_list("role", "content").alias("messages")))
     )
+    return _formatted(chat.canonical(turns.select("conv_id", record.alias("record")), "conv_id", "record"))
 
 
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +187,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_robust_outliers": op9_robust_outliers,
         "op10_cross_polytope": op10_cross_polytope,
         "packing_instructions": packing_instructions,
+        "chat_mixed_layouts": chat_mixed_layouts,
     }
 
 
+#: Digest columns of conversations by the default template: nine and eight characters around each turn, an escape
+#: sign before each of its own kind, inside each "<|", and before a line break of a role.
+_CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  {probe}
+), sized AS (
+  SELECT *, length(role) + length(text) + 18
+    + length(replace(role || text, '\', '\\')) - length(role || text)
+    + (length(role) - length(replace(role, '<|', ''))) // 2 + (length(text) - length(replace(text, '<|', ''))) // 2
+    + length(role) - length(replace(role, chr(10), '')) AS chars
+  FROM turns
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars,
+    list(role ORDER BY turn NULLS FIRST, role, text) AS roles
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars{more}
+FROM joined"""
+
+_PROBE_SQL = "UNION ALL SELECT -1, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(i, role)"
+
+_LAYOUT_SQL = """,
+  CASE WHEN roles = ['user', 'assistant'] AND conv_id % 12 < 10 THEN
+    CASE conv_id % 12 // 2 WHEN 0 THEN 'prompt_response' WHEN 1 THEN 'prompt_completion' WHEN 2 THEN 'question_answer'
+      WHEN 3 THEN 'instruction_input' ELSE 'instruction' END
+  ELSE CASE conv_id % 12 % 5 WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' WHEN 2 THEN 'message_parts' WHEN 3 THEN 'message_list'
+    ELSE 'messages' END END AS layout"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_chat_fingerprints": _CHAT_SQL.format(probe=_PROBE_SQL, more=""),
+        "chat_mixed_layouts": _CHAT_SQL.format(probe="", more=_LAYOUT_SQL),
+    }
