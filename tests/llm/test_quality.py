@@ -65,6 +65,93 @@ def test_outliers_of_their_group(spark, corpus):
     assert rejected == {0, 100, 200, 300, 400, 500}
 
 
+def plain_verdicts(rows):
+    """(id, lang, source, text) rows to id: kept, by one plain estimate after another."""
+    out, labelled = {}, {}
+    for i, lang, source, text in rows:
+        c = brute(text)
+        if c[0] < 10 or 100 * c[4] > 20 * c[0]:
+            out[i] = False
+        else:
+            labelled.setdefault((lang or "", source or ""), []).append((i, c))
+    rare = Counter()
+    for (lang, _), docs in labelled.items():
+        rare[lang] += len(docs) if len(docs) < quality.MIN_GROUP else 0
+    pools = {}
+    for (lang, source), docs in labelled.items():
+        pool = (lang, source) if len(docs) >= quality.MIN_GROUP else (lang,) if rare[lang] >= quality.MIN_GROUP else ()
+        pools.setdefault(pool, []).append(docs)
+    rank = lambda values, p: np.sort(values)[max(0, int(np.ceil(p * len(values))) - 1)]
+    floors = np.array(quality.FLOORS)
+    for labels in pools.values():
+        good = [d for docs in labels for d in docs]
+        if len(good) < quality.MIN_GROUP:
+            out |= {i: True for i, _ in good}
+            continue
+        c = np.array([c for _, c in good], float)
+        typical = np.average([rank([c[1] / c[0] for _, c in docs], 0.5) for docs in labels], weights=[len(docs) for docs in labels])
+        n, chars = c[:, 0] + 50, c[:, 1] + 50 * typical
+        x = np.stack([np.log(chars / n), np.log1p(1000 * c[:, 2] / chars), np.log1p(100 * c[:, 3] / n), np.log1p(100 * c[:, 4] / n)], 1)
+        middle = np.array([rank(v, 0.5) for v in x.T])
+        spread = np.maximum([(rank(v, 0.75) - rank(v, 0.25)) / 1.349 for v in x.T], floors)
+        squashed = np.tanh((x - middle) / spread)
+        ridge = np.diag(floors**2)
+
+        def distance(centre, cov):
+            d = x - centre
+            return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+
+        def moments(part, share):
+            factor = share / quality._chi2(quality._chi2_quantile(share, 4), 6)
+            return part.mean(0), np.cov(part.T, bias=True) * factor + ridge
+
+        best = None
+        for cov in (np.diag(spread**2), np.cov(squashed.T, bias=True) * np.outer(spread, spread)):
+            now, logdet = (middle, cov + ridge), np.inf
+            while True:
+                d2 = distance(*now)
+                step = moments(x[d2 <= rank(d2, 0.75)], 0.75)
+                fell = np.linalg.slogdet(step[1])[1] / 2
+                if logdet - fell <= 1e-4:
+                    break
+                now, logdet = step, fell
+            if best is None or logdet < best[0]:
+                best = logdet, now
+        d2 = distance(*best[1])
+        d2 = distance(*moments(x[d2 <= quality._chi2_quantile(0.975, 4)], 0.975))
+        out |= {i: bool(d <= quality._chi2_quantile(1 - quality.ALPHA, 4)) for (i, _), d in zip(good, d2)}
+    return out
+
+
+def test_verdicts_equal_plain_estimates(spark, corpus):
+    docs = corpus.filter("doc_id < 600").collect()
+    counts = quality.materialize(quality.statistics(corpus.filter("doc_id < 600")).drop("text"), "counts")
+    assert {r.doc_id: r.kept for r in quality.judge(counts, quality.fit(counts)).collect()} == plain_verdicts(map(tuple, docs))
+
+
+def test_query_equals_plain_counts_and_estimates(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = queries.documents(spark, sf).select("doc_id", "lang", "source", "text").collect()
+    found = {r.doc_id: r for r in queries.op9_robust_outliers(spark, sf).collect()}
+    assert len(found) == len(docs)
+    for d in docs:
+        n = brute(d.text)
+        assert tuple(found[d.doc_id][c] for c in quality.COUNTS) == n
+        assert found[d.doc_id].base_failed == (n[0] < 10 or 100 * n[4] > 20 * n[0])
+    assert {i: r.kept for i, r in found.items()} == plain_verdicts(map(tuple, docs))
+    assert 0 < sum(not r.kept and not r.base_failed for r in found.values()) < 0.1 * len(docs)
+
+
+def test_names_of_its_own_are_free(spark, corpus):
+    names = ["typical", "m0", "l00", "group", "_group", "lang_", "words", "lines", "row", "text", "pairs", "h1", "x0", "start", "k", "n", "d2", "old", "_n", "_words"]
+    wide = corpus.withColumn("body", F.col("text")).withColumns({c: F.lit(f"own {c}") for c in names})
+    counts = quality.materialize(quality.statistics(wide, "body").drop("body"), "counts")
+    assert [c for c in wide.columns if c != "body"] == [c for c in counts.columns if c not in (*quality.COUNTS, "base_failed")]
+    found = quality.judge(counts, quality.fit(counts)).collect()
+    assert {r.doc_id for r in found if not r.kept} == {0, 100, 200, 300, 400, 500}
+    assert all(r[c] == f"own {c}" for r in found for c in names)
+
+
 def test_verdict_does_not_depend_on_order_of_rows(spark, corpus):
     verdicts = []
     for part in (corpus, corpus.orderBy(F.desc("doc_id")).repartition(3)):
