@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,35 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 class Written(str):
     """Path of a table in the shared folder."""
 
+    #: Its name in the catalog, if it has one.
+    table: str | None = None
+
+
+_written = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables written meanwhile are deleted at the end, and where something fails, but for those that are given to the function it yields."""
+    outer, mine, kept = getattr(_written, "paths", None), [], []
+    _written.paths = mine
+    try:
+        yield lambda *paths: kept.extend(paths)
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _written.paths = outer
+        discard(spark, *(p for p in mine if p not in kept))
+        if outer is not None:
+            outer.extend(kept)
+
+
+def _noted(path: Written) -> Written:
+    if getattr(_written, "paths", None) is not None:
+        _written.paths.append(path)
+    return path
+
 
 def fewer(spark: SparkSession) -> int:
     """Files for a table much smaller than the shuffles around it."""
@@ -68,7 +98,7 @@ def write_table(df: DataFrame, name: str, files: int | None = None, texts: bool
     """
     if files:
         df = df.repartition(files)
-    path = Written(f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    path = _noted(Written(f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"))
     with small_batches(df.sparkSession) if texts else contextlib.nullcontext():
         df.write.parquet(path)
     return path
@@ -79,18 +109,22 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, files))
 
 
-def write_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> str:
-    """Write ``df`` in the shared folder as a table bucketed by ``column``; joins on it don't shuffle it. Its name."""
+def write_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> Written:
+    """Write ``df`` in the shared folder as a table bucketed by ``column``; joins on it don't shuffle it."""
     table = f"keyorder_{name}_{uuid.uuid4().hex}"
-    writer = df.write.option("path", f"{shared_dir(df.sparkSession)}/{table}").format("parquet")
+    path = Written(f"{shared_dir(df.sparkSession)}/{table}")
+    path.table = table
+    writer = df.write.option("path", _noted(path)).format("parquet")
     writer.bucketBy(buckets, column).sortBy(column).saveAsTable(table)
-    return table
+    return path
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate tables and let Spark drop the shuffle files of finished steps."""
     jvm = spark.sparkContext._jvm
     for path in paths:
+        if getattr(path, "table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {path.table}")
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     jvm.System.gc()

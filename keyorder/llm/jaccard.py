@@ -11,7 +11,9 @@ shingle buckets over the whole corpus), sorted by set size:
 * Answers are derived from those of similar sets.  In each list, sets of like
   size are compared with a few leaders.  A set refers to the leader that most
   sets are similar to, linked or not, and is held as what it has and lacks
-  against it.  Lists then name pairs of leaders only; their exact overlap bounds
+  against it.  Sets of one leader, component and size are then one entry of a
+  list, with the span of their positions, put together before lists are dealt;
+  lists name pairs of leaders only, whose exact overlap bounds
   that of any two sets that refer to them.  Where the bound leaves pairs open,
   and among sets of one leader that aren't connected yet, overlaps are derived
   from the differences, whole blocks of sets at a time.  One link is enough
@@ -23,8 +25,13 @@ no pair is ever a row of its own.  No link between different components is lost.
 of 64-bit hashes, which could only err if two shingles of one pair of texts
 collided (about n^2 / 2^65).
 
-Null and empty texts, and those without a word, have empty sets and link with
-nothing.  Rows that repeat an id or a text are of one class.
+Every row is a document.  Rows with equal sets are of one class, whatever their
+ids; an id that several rows share doesn't link them, so rows of one id with
+different texts have the classes and components of their own texts.  The least
+id of rows without any is null.  Null and empty texts, and those without a word,
+have empty sets and link with nothing.  Texts of any length are taken whole, an
+empty table gives no rows, ids are integers (others are cast to them), and only
+the named columns are read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -38,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyorder.llm.common import discard, fewer, released, shared_dir, slices, text_buffer, write_bucketed, write_table
+from keyorder.llm.common import discard, fewer, released, scratch, slices, text_buffer, write_bucketed, write_table
 from keyorder.llm.components import components
 from keyorder.llm.shingles import mix, overlap, shingle_sets
 
@@ -172,26 +179,30 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _fit(na, nb, pa_, pb) -> np.ndarray:
-    """Whether sets of these sizes, sharing a shingle at these positions, may link: by what can match before, at and after it."""
-    most = np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb)
+def _fit(na, nb, pa_, pb, to_a=None, to_b=None) -> np.ndarray:
+    """Whether sets of these sizes, sharing a shingle at these positions, may link: by what can match before, at and after it.
+
+    With ``to_a`` and ``to_b`` the positions are spans, and some pair of places in them is asked for.
+    """
+    to_a, to_b = pa_ if to_a is None else to_a, pb if to_b is None else to_b
+    most = np.minimum(np.minimum(na, nb), np.minimum(nb + to_a - pb, na + to_b - pa_))
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & linked(most, na + nb)
 
 
-def _block_pairs(n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of one list, sorted by n, that may link; blocks that can't are skipped."""
+def _block_pairs(n: np.ndarray, pos: np.ndarray, to: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of one list, sorted by n, with spans of positions, that may link; blocks that can't are skipped."""
     count = len(n)
     for a in range(0, count, BLOCK):
         ai = slice(a, min(a + BLOCK, count))
-        rest_a, most_a = int((n[ai] - pos[ai]).max()), int(pos[ai].max())
+        rest_a, most_a = int((n[ai] - pos[ai]).max()), int(to[ai].max())
         for b in range(a, count, BLOCK):
             bi = slice(b, min(b + BLOCK, count))
             if 5 * int(n[ai][-1]) < 4 * int(n[b]):
                 break  # all further sets are too large
             rest = min(rest_a, int((n[bi] - pos[bi]).max()))
-            if not linked(min(most_a, int(pos[bi].max())) + rest, int(n[a]) + int(n[b])):
+            if not linked(min(most_a, int(to[bi].max())) + rest, int(n[a]) + int(n[b])):
                 continue
-            i, j = np.nonzero(_fit(n[ai][:, None], n[bi][None, :], pos[ai][:, None], pos[bi][None, :]))
+            i, j = np.nonzero(_fit(n[ai, None], n[None, bi], pos[ai, None], pos[None, bi], to[ai, None], to[None, bi]))
             i, j = i + a, j + b
             ahead = i < j
             yield i[ahead], j[ahead]
@@ -281,7 +292,7 @@ def _mate(n: np.ndarray, pos: np.ndarray, mated: np.ndarray) -> None:
         if mated.all():
             return
     if len(n) > BLOCK:
-        for i, j in _block_pairs(n, pos):
+        for i, j in _block_pairs(n, pos, pos):
             mated[i] = mated[j] = True
 
 
@@ -309,14 +320,14 @@ def _cross_pairs(entries: DataFrame, partitions: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, pos, leader, component in _lists(batches, 5):
+        for token, n, pos, to, leader, component in _lists(batches, 6):
             starts, lengths = _bounds(token)
             mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
             found = []
             for a, length in zip(starts[mixed].tolist(), lengths[mixed].tolist(), strict=True):
                 m, c, s = n[a : a + length], component[a : a + length], leader[a : a + length]
                 here = []
-                for i, j in _block_pairs(m, pos[a : a + length]):
+                for i, j in _block_pairs(m, pos[a : a + length], to[a : a + length]):
                     apart = (c[i] != c[j]) & (s[i] != s[j])
                     if apart.any():
                         i, j = i[apart], j[apart]
@@ -327,7 +338,9 @@ def _cross_pairs(entries: DataFrame, partitions: int) -> DataFrame:
                 pairs, met = _least(np.concatenate(found))
                 yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(3)), pa.array(met)], ["a", "b", "need", "meetings"])
 
-    dealt = entries.select("token", "n", "pos", "leader", "component").repartition(partitions, "token").sortWithinPartitions("token", "n", "leader", "pos")
+    # Near copies that have one leader are one entry from here on: summed up in the tasks that hold them, so that no list is hot for their sake.
+    spans = entries.groupBy("token", "n", "leader", "component").agg(F.min("pos").alias("pos"), F.max("pos").alias("to"))
+    dealt = spans.select("token", "n", "pos", "to", "leader", "component").repartition(partitions, "token").sortWithinPartitions("token", "n", "leader", "pos")
     met = dealt.mapInArrow(released(run), "a long, b long, need long, meetings long")
     return met.groupBy("a", "b").agg(F.sum("meetings").alias("m"), F.min("need").alias("need")).filter("m >= need").select("a", "b")
 
@@ -565,6 +578,19 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     class_id: smallest id with the same set; component_id: smallest id reachable by links.
     """
     spark = df.sparkSession
+    with scratch(spark) as keep:
+        answer, rows = _answered(df, id_col, text_col)
+        keep(answer, rows)
+    docs = spark.read.parquet(rows)
+    answer = spark.read.parquet(answer)
+    full = docs.filter("fp IS NOT NULL").join(answer, "fp").select("id", "n", "class_id", "component_id")
+    empty = docs.filter("fp IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
+
+
+def _answered(df: DataFrame, id_col: str, text_col: str) -> tuple[str, str]:
+    """Tables (fp, class_id, component_id) of the classes and (id, n, fp) of the rows; all others may go."""
+    spark = df.sparkSession
     read = spark.read.parquet
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = fewer(spark)
@@ -582,7 +608,7 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         docs.filter("packed IS NOT NULL").select("fp", "packed").join(wanted, "fp").groupBy("fp").agg(F.first("packed").alias("packed")),
         "texts", "fp", partitions,
     )
-    texts = spark.table(named)
+    texts = spark.table(named.table)
     discard(spark)
     first = write_table(_overlaps(_met_often(read(star).filter("kind = 1")), texts), "join-first", few, texts=True)
     near = write_table(_labels(read(first), wanted), "join-near", few)
@@ -603,11 +629,6 @@ def join(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     joined = write_table(joined, "join-classes", few)
     least = read(joined).groupBy("component").agg(F.min("class_id").alias("component_id"))
     answer = write_table(read(joined).join(least, "component").select("fp", "class_id", "component_id"), "join-answer", few)
-    spark.sql(f"DROP TABLE IF EXISTS {named}")
-    discard(spark, star, f"{shared_dir(spark)}/{named}", first, near, second, labels, cross, asked, derived, joined)
+    discard(spark, named, star, first, near, second, labels, cross, asked, derived, joined)
     rows = write_table(docs.select("id", "n", "fp"), "join-rows")
-    discard(spark, profile)  # the packed texts have done their work
-    docs = read(rows)
-    full = docs.filter("fp IS NOT NULL").join(read(answer), "fp").select("id", "n", "class_id", "component_id")
-    empty = docs.filter("fp IS NULL").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
-    return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
+    return answer, rows

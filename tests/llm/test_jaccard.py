@@ -1,12 +1,14 @@
+import os
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from keyorder.llm import components, jaccard, queries, shingles
-from keyorder.llm.common import text_buffer
+from keyorder.llm.common import shared_dir, text_buffer
 
 
 def words_of(text):
@@ -101,7 +103,37 @@ def test_empty_null_and_repeated_ids(spark):
     assert answer(frame(spark, [(1, None), (2, "")])) == {1: (0, 1), 2: (0, 2)}
     rows = [(5, "one two three"), (5, "one two three"), (7, "one two three"), (None, "one two three"), (None, None)]
     found = sorted(((r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, rows), "doc_id", "text").collect())
-    assert found == [(0, 0, None), (0, 1, 5), (5, 1, 5), (5, 1, 5), (7, 1, 5)] if all(f[2] is not None for f in found[1:]) else found
+    assert found == [(0, 0, None), (0, 1, 5), (5, 1, 5), (5, 1, 5), (7, 1, 5)]
+
+
+def test_an_id_with_several_texts_does_not_link_them(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a), (5, a), (5, b), (7, b), (None, "x y z"), (None, "x y z"), (None, b)]
+    found = jaccard.join(frame(spark, rows), "doc_id", "text").collect()
+    assert sorted((str(r.doc_id), r.component_id, r.class_id) for r in found if r.component_id) == [("1", 1, 1), ("5", 1, 1), ("5", 5, 5), ("7", 5, 5), ("None", 5, 5)]
+    assert [(r.component_id, r.n_shingles) for r in found if r.component_id is None] == [(None, 1)] * 2
+
+
+def test_spans_of_positions_ask_for_any_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        na, nb = rng.integers(1, 40, 2)
+        (a, to_a), (b, to_b) = (np.sort(rng.integers(0, n, 2)) for n in (na, nb))
+        x, y = np.meshgrid(np.arange(a, to_a + 1), np.arange(b, to_b + 1))
+        most = (np.minimum(x, y) + np.minimum(na - x, nb - y)).max()
+        sizes = 5 * na >= 4 * nb and 5 * nb >= 4 * na
+        assert jaccard._fit(na, nb, a, b, to_a, to_b) == (sizes and jaccard.linked(most, na + nb))
+
+
+def test_intermediate_tables_are_deleted(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    jaccard.join(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")]), "doc_id", "text").collect()
+    made = set(os.listdir(shared_dir(spark))) - before
+    assert {m.rsplit("-", 1)[0] for m in made} == {"join-answer", "join-rows"}
+    broken = frame(spark, [(1, "a b c d e f")]).withColumn("text", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        jaccard.join(broken, "doc_id", "text")
+    assert set(os.listdir(shared_dir(spark))) - before == made
 
 
 def test_long_text(spark):
