@@ -7,11 +7,16 @@ labelled texts).  The margin to the runner-up decides whether the prediction is
 accepted.
 
 Fitting takes a bounded sample (``SAMPLE_DOCS`` documents a language, at most
-``SAMPLE_BYTES`` of each); counts of languages and predictions cover all rows
-and whole texts.  No dictionary depends on another language's texts; one of few
-texts is small and explains less, so its language may lose texts to a related
-larger one.  Null texts and texts without a letter are ``und`` and rejected.
-With no labelled text at all, every text is ``und``.
+``SAMPLE_BYTES`` of each, of the ``MAX_LANGS`` languages with most labelled
+texts); counts of languages and predictions cover all rows and whole texts.  No
+dictionary depends on another language's texts; one of few texts is small and
+explains less, so its language may lose texts to a related larger one.
+
+Null texts and texts without a letter are ``und`` and rejected.  With no
+labelled text at all, every text is ``und``.  A text of any length is compressed
+whole, repeated rows get the same answer each, an empty table gives no rows.
+Columns with the names of new ones are replaced; all others are kept, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ BLOCK_BYTES = 2048
 LEVEL = 6
 #: Least relative gain over the runner-up of an accepted prediction.
 MIN_MARGIN = 0.003
-#: Languages whose counts are broadcast while the sample is drawn.
-BROADCAST_LANGS = 10_000
+#: Languages that are learned: each costs a compression of every text and at most SAMPLE_DOCS * SAMPLE_BYTES in every worker.
+MAX_LANGS = 256
 UNDETERMINED = "und"
 CHUNK_BYTES = 1 << 20
 
@@ -51,9 +56,9 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
     known = labelled.filter(lang.isNotNull() & F.rlike(F.coalesce(text, F.lit("")), F.lit(r"\p{L}")))
     rows = known.select(lang.alias("_lang"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("_h"), text.alias("_text"))
     counts = labelled.filter(lang.isNotNull()).groupBy(lang.alias("_lang")).agg(F.count("*").alias("_n"))
-    few = counts.limit(BROADCAST_LANGS + 1).collect()
-    if len(few) <= BROADCAST_LANGS:  # so no text is shuffled; else the join deals rows by language
-        counts = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in few], "_lang string, _n long"))
+    most = counts.orderBy(F.desc("_n"), "_lang").limit(MAX_LANGS).collect()
+    # At most MAX_LANGS rows, so no text is shuffled.
+    counts = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in most], "_lang string, _n long"))
     chance = 4.0 * SAMPLE_DOCS / F.col("_n")
     place = F.pmod(F.xxhash64("_h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = rows.join(counts, "_lang").filter(place < chance)
@@ -111,25 +116,29 @@ def identify(df: DataFrame, text_col: str, dictionaries: dict[str, bytes], keep:
 
     score is the relative margin, 0 to 1.  Columns of ``df`` with the names of the new ones are replaced.
     """
-    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
-    names = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in made}]
+    new = ("lang_pred", "score", "accepted")
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     text = F.col(text_col).cast("string")
     letters = F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
-    source = df.select(*names, *([] if text_col in names else [text.alias(text_col)]), letters.alias("_letters"))
-    at_text = source.columns.index(text_col)
+    # The columns to keep as one, out of the way of all other names.
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    inside = names.index(text_col) if text_col in names and df.schema[text_col].dataType == T.StringType() else None
+    source = df.select(row, letters.alias("letters"), *([text.alias("text")] if inside is None else []))
+    learned = df.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Identifier(dictionaries)
+        model = Identifier(learned.value)
         for batch in batches:
-            for begin, end in slices(batch.column(at_text), CHUNK_BYTES):
+            texts = batch.column(2) if inside is None else batch.column(0).field(inside)
+            for begin, end in slices(texts, CHUNK_BYTES):
                 part = batch.slice(begin, end - begin)
-                data, at = text_buffer(part.column(at_text))
+                data, at = text_buffer(texts.slice(begin, end - begin))
                 cuts = at.tolist()
                 folded = [data[a:b].decode().lower().encode() for a, b in zip(cuts, cuts[1:])]
-                out = model.predict(folded, part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(names)], *(pa.array(c, t) for c, t in zip(out, (pa.string(), pa.float64(), pa.bool_()), strict=True))],
-                    [*names, *(f.name for f in made)],
-                )
+                out = model.predict(folded, part.column(1).to_pylist())
+                made = (pa.array(c, t) for c, t in zip(out, (pa.string(), pa.float64(), pa.bool_()), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["row", *new])
 
-    return source.mapInArrow(released(run), T.StructType([*(df.schema[c] for c in names), *made]))
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([source.schema["row"], *(T.StructField(n, t) for n, t in zip(new, kinds, strict=True))])
+    return source.mapInArrow(released(run), schema).select("row.*", *new)
