@@ -1,11 +1,14 @@
 """The stages against plain versions of what each must decide."""
 
+import os
 import zlib
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from keyorder.llm import langid, packing, quality, queries
+from keyorder.llm.common import shared_dir
 from test_jaccard import brute as jaccard_brute
 from test_quality import brute as word_counts
 
@@ -47,6 +50,36 @@ def written(df, name):
     return quality.materialize(df, f"test-{name}")
 
 
+def test_told_languages_judge_quality(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = queries.documents(spark, sf).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang")))
+    found = pipeline.language_id(spark, docs, sf)
+    told = {r.doc_id: r.lang_pred for r in langid.identify(docs, "text", langid.fit(docs)).collect()}
+    assert {r.doc_id: r.lang for r in found.collect()} == {r.doc_id: told[r.doc_id] for r in found.collect()} and None not in told.values()
+
+
+def test_columns_of_any_name_stay(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = queries.documents(spark, sf)
+    names = ["typical", "m0", "_group", "group", "row", "_letters", "lang_pred", "score", "accepted", "kept", "distance", "n_words", "component_id", "_row", "c0", "id", "start", "ids"]
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in names})
+    for name, stage in pipeline.STAGES:
+        plain, more = stage(spark, docs, sf), stage(spark, wide, sf)
+        if name == "packing":
+            assert plain.columns == more.columns and plain.count() > 0
+            break
+        assert more.columns == wide.columns
+        rows = more.collect()
+        assert all(r[c] == f"{c} {r.doc_id}" for r in rows for c in names)
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect())
+
+
+def test_stages_leave_one_table(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert {m.rsplit("-", 1)[0] for m in set(os.listdir(shared_dir(spark))) - before} == {"pipeline-packing"}
+
+
 def test_empty_and_odd_documents(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "same words in both of these", "en", "s", 5), (3, "same words in both of these", "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
