@@ -1,34 +1,45 @@
-"""Language-model scores by stupid backoff, over counts of the corpus itself.
+"""Language-model scores by stupid backoff, over count tables of a corpus.
 
 Texts are kept in chunks of some megabytes.  For each order a chunk sends its
-distinct n-grams, as hashes with their counts, to the partition of each hash;
-there the counts of all chunks are summed, and every chunk gets back the totals
-of the n-grams it sent.  A chunk then holds the counts of all its n-grams side
-by side, scores each word, and sums the scores of each document.  A frequent
-n-gram is one entry for each chunk, not one for each occurrence, so no hash is
-hot, and what is sent grows with the corpus.
+distinct n-grams, as hashes with their counts, to the range of each hash; there
+the counts of all chunks are summed into a count table, a row for each range of
+hashes.  To score texts, chunks send their n-grams once more, join the count
+table by range, and get the counts back; a chunk then holds the counts of all
+its n-grams side by side, scores each word, and sums the scores of each document.
+
+A frequent n-gram is one entry for each chunk, not one for each occurrence, so
+no hash is hot.  There is a range for every ``RANGE_WORDS`` words of the corpus:
+what a task holds doesn't grow with it.  Chunks and ranges exchange packed
+arrays of hashes, as a row for each n-gram and chunk takes about twice the disk.
 
 A word after history h scores count(h word) / count(h) if the n-gram occurs
 ``MIN_COUNT`` times; else ``BACKOFF`` times its score after a shorter history;
-and count(word) / words without any.  Words are what ``[^\\x20\\x09-\\x0D]+``
-matches, A-Z lower-cased.  N-grams are told apart by 64-bit hashes.
+and count(word) / words without any, where a word that the corpus lacks counts
+as one.  Words are what ``[^\\x20\\x09-\\x0D]+`` matches, A-Z lower-cased.  N-grams
+are told apart by 64-bit hashes.
 
-Null texts, and those without a word, have no words, score 0 and a null mean.
+Null texts, and those without a word, have no words and a null score; repeated
+rows count and score each, texts of any length are taken whole, an empty table
+gives no rows, ids may be of any type, and only the named columns are read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keyorder.llm.common import discard, slices, text_buffer, write_table
+from keyorder.llm.common import discard, released, scratch, slices, text_buffer, write_table
 from keyorder.llm.shingles import mix, word_hashes
 
 ORDER = 3
@@ -36,8 +47,9 @@ MIN_COUNT = 2
 BACKOFF = 0.4
 #: Text bytes of a chunk, about.
 CHUNK_BYTES = 8 << 20
-#: Hash ranges for each shuffle partition; a range's n-grams are summed at once.
-RANGES = 4
+#: Words of the corpus for each range of hashes, but at least RANGES ranges for each shuffle partition.
+RANGE_WORDS = 4 << 20
+RANGES = 2
 
 
 def _grams(words: np.ndarray, of: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +96,17 @@ def _chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words, _ = word_hashes(data, at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([chunk]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([packer.compress(data)]),
+                        pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, end - begin], pa.int32()), part.column(0)), pa.array([packer.compress(data)]),
                         pa.array([at.astype("<i8").tobytes()]), pa.array([len(words)], pa.int64()),
                     ],
                     ["chunk", "ids", "packed", "at", "words"],
                 )
                 chunk += 1
 
-    source = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return source.mapInArrow(run, "chunk long, ids array<long>, packed binary, at binary, words long")
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    ids = T.ArrayType(source.schema["id"].dataType)
+    kinds = (("chunk", T.LongType()), ("ids", ids), ("packed", T.BinaryType()), ("at", T.BinaryType()), ("words", T.LongType()))
+    return source.mapInArrow(released(run), T.StructType([T.StructField(n, t) for n, t in kinds]))
 
 
 def _words(packed: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -100,57 +114,126 @@ def _words(packed: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, np.frombuffer(at, "<i8"))
 
 
-def _totals(chunks: DataFrame, order: int, partitions: int) -> DataFrame:
-    """(chunk, place, counts): totals of a chunk's n-grams in a range of hashes, in the order of the hashes."""
-    ranges = 1 << max(1, (RANGES * partitions - 1).bit_length())
+@dataclass(frozen=True)
+class Counts:
+    """Count tables of a corpus: for each order, (place, grams, counts) of every range of hashes, hashes ascending.
+
+    Of orders above one only n-grams that occur ``MIN_COUNT`` times are kept: all others count as unseen.
+    """
+
+    tables: tuple[str, ...]
+    words: int
+    ranges: int
+
+
+_SENT = "place int, chunk long, grams binary, counts binary"
+
+
+def _sent(chunks: DataFrame, order: int, ranges: int) -> DataFrame:
+    """(place, chunk, grams, counts): the distinct n-grams of a chunk in each range of hashes, and how often it has them."""
     shift = np.uint64(64 - (ranges.bit_length() - 1))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(1)
         for batch in batches:
             for chunk, packed, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 grams, whole = _grams(*_words(packed, at), order)
                 values, counts = np.unique(grams[whole], return_counts=True)
-                cuts = np.searchsorted(values >> shift, np.arange(ranges + 1, dtype=np.uint64)).tolist()
-                places = [p for p in range(ranges) if cuts[p] < cuts[p + 1]]
-                if places:
-                    spans = [slice(cuts[p], cuts[p + 1]) for p in places]
+                where = values >> shift
+                cuts = [*np.flatnonzero(np.diff(where, prepend=np.uint64(ranges))).tolist(), len(values)]  # ranges that hold something
+                for lo in range(0, len(cuts) - 1, 4096):
+                    spans = [slice(a, b) for a, b in pairwise(cuts[lo : lo + 4097])]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(places), chunk)), pa.array(places, pa.int32()), pa.array([_pack(values[s]) for s in spans]),
-                            pa.array([packer.compress(counts[s].astype("<u4").tobytes()) for s in spans]),
+                            pa.array([int(where[s.start]) for s in spans], pa.int32()), pa.array([chunk] * len(spans), pa.int64()),
+                            pa.array([_pack(values[s]) for s in spans]), pa.array([packer.compress(counts[s].astype("<u8").tobytes()) for s in spans]),
                         ],
-                        ["chunk", "place", "grams", "counts"],
+                        ["place", "chunk", "grams", "counts"],
                     )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return chunks.select("chunk", "packed", "at").mapInArrow(released(run), _SENT)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _summed(sent: DataFrame, least: int, partitions: int) -> DataFrame:
+    """(place, grams, counts): what all chunks sent to a range, summed as it streams by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, reader = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 
-        def close(place: int, held: list) -> pa.RecordBatch:
-            grams = [_unpack(g) for _, g, _ in held]
-            values, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-            own = np.concatenate([np.frombuffer(reader.decompress(c), "<u4") for _, _, c in held])
-            totals = np.bincount(inverse, own, len(values)).astype("<u8")[inverse]
-            cuts = np.cumsum([0, *(len(g) for g in grams)]).tolist()
-            made = [packer.compress(totals[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _, _ in held], pa.int64()), pa.array([place] * len(held), pa.int32()), pa.array(made)], ["chunk", "place", "counts"]
+        def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
+            values, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            return values, np.bincount(inverse, np.concatenate([c for _, c in held]), len(values)).astype("<u8")
+
+        for place, rows in groupby(_rows(batches), key=itemgetter(0)):
+            held, waiting = [(np.empty(0, np.uint64), np.empty(0, "<u8"))], 0
+            for _, grams, counts in rows:
+                held.append((_unpack(grams), np.frombuffer(reader.decompress(counts), "<u8")))
+                waiting += len(held[-1][0])
+                if waiting > max(1 << 20, len(held[0][0])):  # so what is held is at most about twice the result
+                    held, waiting = [merged(held)], 0
+            values, totals = merged(held)
+            some = totals >= least
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([place], pa.int32()), pa.array([_pack(values[some])]), pa.array([packer.compress(totals[some].tobytes())])], ["place", "grams", "counts"]
             )
 
-        current, held = None, []
-        for batch in batches:
-            for place, chunk, grams, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if place != current and held:
-                    yield close(current, held)
-                    held = []
-                current = place
-                held.append((chunk, grams, counts))
-        if held:
-            yield close(current, held)
+    dealt = sent.repartition(partitions, "place").sortWithinPartitions("place").select("place", "grams", "counts")
+    return dealt.mapInArrow(released(run), "place int, grams binary, counts binary")
+
+
+def _joined(sent: DataFrame, table: DataFrame, partitions: int) -> DataFrame:
+    """(chunk, place, counts): counts in the table of the n-grams that a chunk sent to a range, in their order; zero where it has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, reader = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+        current, known, totals = None, np.empty(0, np.uint64), np.empty(0, "<u8")
+        for place, chunk, grams, counts in _rows(batches):
+            if place != current:
+                current, known, totals = place, np.empty(0, np.uint64), np.empty(0, "<u8")
+            values = _unpack(grams)
+            if chunk is None:
+                known, totals = values, np.frombuffer(reader.decompress(counts), "<u8")
+                continue
+            found = np.zeros(len(values), "<u8")
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                found = np.where(known[at] == values, totals[at], 0).astype("<u8")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([place], pa.int32()), pa.array([packer.compress(found.tobytes())])], ["chunk", "place", "counts"]
+            )
+
+    asked = sent.select("place", "chunk", "grams", F.lit(None).cast("binary").alias("counts"))
+    both = asked.unionByName(table.withColumn("chunk", F.lit(None).cast("long")))
+    # The table's row of a range, whose chunk is null, comes first.
+    dealt = both.repartition(partitions, "place").sortWithinPartitions("place", "chunk").select("place", "chunk", "grams", "counts")
+    return dealt.mapInArrow(released(run), "chunk long, place int, counts binary")
+
+
+def _counted(spark: SparkSession, chunks: str, order: int) -> Counts:
+    stored = spark.read.parquet(chunks)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = stored.agg(F.sum("words").alias("n")).first()["n"] or 0
+    ranges = 1 << max(1, (max(RANGES * partitions, words // RANGE_WORDS) - 1).bit_length())
+    tables = []
+    for k in range(1, order + 1):
+        tables.append(write_table(_summed(_sent(stored, k, ranges), 1 if k == 1 else MIN_COUNT, partitions), f"lm-counts-{k}"))
+        discard(spark)
+    return Counts(tuple(tables), words, ranges)
 
-    sent = chunks.select("chunk", "packed", "at").mapInArrow(send, "chunk long, place int, grams binary, counts binary")
-    dealt = sent.repartition(partitions, "place").sortWithinPartitions("place").select("place", "chunk", "grams", "counts")
-    return dealt.mapInArrow(add, "chunk long, place int, counts binary")
+
+def count_tables(df: DataFrame, text_col: str, order: int = ORDER) -> Counts:
+    """The count tables of a corpus, in the shared folder: a model that can score any texts."""
+    spark = df.sparkSession
+    texts = df.select(F.lit(None).cast("int").alias("id"), F.col(text_col).alias("text"))
+    with scratch(spark) as keep:
+        counts = _counted(spark, write_table(_chunks(texts, "id", "text"), "lm-chunks"), order)
+        keep(*counts.tables)
+    return counts
 
 
 def _scored(words: np.ndarray, of: np.ndarray, tables: list[np.ndarray], total: int) -> np.ndarray:
@@ -164,7 +247,7 @@ def _scored(words: np.ndarray, of: np.ndarray, tables: list[np.ndarray], total:
         _, inverse = np.unique(grams[whole], return_inverse=True)
         at[whole] = table[inverse]
         counts.append(at)
-    score = np.log(counts[0]) - math.log(total)
+    score = np.log(np.maximum(counts[0], 1)) - math.log(max(total, 1))
     for order in range(2, len(tables) + 1):
         seen = counts[order - 1] >= MIN_COUNT
         history = np.ones(len(words))  # the n-gram before the word is the shorter one that ends a word earlier
@@ -175,18 +258,32 @@ def _scored(words: np.ndarray, of: np.ndarray, tables: list[np.ndarray], total:
     return score
 
 
-def score(df: DataFrame, id_col: str, text_col: str, order: int = ORDER) -> DataFrame:
-    """(id, n_words, log_score, mean_log_score) of every row; ids are integers."""
+def score(df: DataFrame, id_col: str, text_col: str, counts: Counts | None = None) -> DataFrame:
+    """(id, n_words, log_score, total_log_score) of every row: the mean log of its words' scores, and their sum.
+
+    ``counts``: a model of ``count_tables``; without one, that of the rows themselves.
+    """
+    spark = df.sparkSession
+    with scratch(spark) as keep:
+        stored = write_table(_chunks(df, id_col, text_col), "lm-chunks")
+        known = counts or _counted(spark, stored, ORDER)
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = []
+        for k, table in enumerate(known.tables, 1):
+            sent = _sent(spark.read.parquet(stored), k, known.ranges)
+            found.append(write_table(_joined(sent, spark.read.parquet(table), partitions), f"lm-found-{k}"))
+            discard(spark, *(() if counts else (table,)))
+        keep(stored, *found)
+    return _summed_up(df, id_col, stored, found, known.words)
+
+
+def _summed_up(df: DataFrame, id_col: str, stored: str, tables: list[str], total: int) -> DataFrame:
     spark = df.sparkSession
     read = spark.read.parquet
+    order = len(tables)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = write_table(_chunks(df, id_col, text_col), "lm-chunks")
-    total = read(stored).agg(F.sum("words").alias("n")).first()["n"] or 0
-    tables = []
-    for k in range(1, order + 1):
-        tables.append(write_table(_totals(read(stored), k, partitions), "lm-counts"))
-        discard(spark)
-    none = {"ids": "array<long>", "packed": "binary", "at": "binary", "place": "int", "counts": "binary"}
+    ids = T.ArrayType(df.schema[id_col].dataType)
+    none = {"ids": ids, "packed": T.BinaryType(), "at": T.BinaryType(), "place": T.IntegerType(), "counts": T.BinaryType()}
     columns = ["chunk", "k", *none]
 
     def rows(part: DataFrame, k: int) -> DataFrame:
@@ -210,21 +307,24 @@ def score(df: DataFrame, id_col: str, text_col: str, order: int = ORDER) -> Data
             if some.any():
                 sums[some] = np.add.reduceat(scores, of[:-1][some])
             mean = pa.array(np.divide(sums, n, out=np.zeros(len(n)), where=some), mask=~some)
-            return pa.RecordBatch.from_arrays([pa.array(held["ids"], pa.int64()), pa.array(n), pa.array(sums), mean], [id_col, "n_words", "log_score", "mean_log_score"])
+            return pa.RecordBatch.from_arrays([held["ids"], pa.array(n), mean, pa.array(sums)], ["id", "n_words", "log_score", "total_log_score"])
 
         current, held = None, {}
         for batch in batches:
-            for chunk, k, ids, packed, at, _, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            lists = batch.column(2)
+            for i, (chunk, k, packed, at, _, counts) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6)), strict=True)):
                 if chunk != current:
                     if held:
                         yield close(held)
-                    current, held = chunk, {"counts": {i: [] for i in range(1, order + 1)}}
+                    current, held = chunk, {"counts": {o: [] for o in range(1, order + 1)}}
                 if k == 0:
-                    held |= {"ids": ids, "packed": packed, "at": at}
+                    held |= {"ids": lists[i].values, "packed": packed, "at": at}
                 else:
                     held["counts"][k].append(counts)
         if held:
             yield close(held)
 
     dealt = everything.repartition(partitions, "chunk").sortWithinPartitions("chunk", "k", "place")
-    return dealt.mapInArrow(run, f"`{id_col}` long, n_words long, log_score double, mean_log_score double")
+    kinds = (("n_words", T.LongType()), ("log_score", T.DoubleType()), ("total_log_score", T.DoubleType()))
+    schema = T.StructType([T.StructField("id", ids.elementType), *(T.StructField(n, t) for n, t in kinds)])
+    return dealt.mapInArrow(released(run), schema).select(F.col("id").alias(id_col), *(n for n, _ in kinds))

@@ -60,7 +60,9 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keyorder.llm import ngrams
 
-    return ngrams.score(documents(spark, sf_dir), "doc_id", "text")
+    found = ngrams.score(documents(spark, sf_dir), "doc_id", "text")
+    # Rounded, as sums of logarithms depend on the order of their terms in the last digits.
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("total_log_score", 4).alias("total_log_score"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +224,38 @@ _LAYOUT_SQL = """,
     ELSE 'messages' END END AS layout"""
 
 
+_BACKOFF_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), tokens AS (
+  SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM texts
+), grams AS (
+  SELECT doc_id, i, w AS w3, lag(w) OVER t AS w2, lag(w, 2) OVER t AS w1 FROM tokens WINDOW t AS (PARTITION BY doc_id ORDER BY i)
+), counted AS (
+  SELECT *, count(*) OVER () AS total,
+    count(*) OVER (PARTITION BY w3) AS c1, count(*) OVER (PARTITION BY w2, w3) AS c2, count(*) OVER (PARTITION BY w1, w2, w3) AS c3
+  FROM grams
+), ones AS (
+  SELECT w3 AS a, count(*) AS n FROM grams GROUP BY 1
+), twos AS (
+  SELECT w2 AS a, w3 AS b, count(*) AS n FROM grams WHERE w2 IS NOT NULL GROUP BY 1, 2
+), scored AS (
+  SELECT doc_id, ln(CASE
+    WHEN w1 IS NOT NULL AND c3 >= 2 THEN c3 / twos.n
+    WHEN w2 IS NOT NULL AND c2 >= 2 THEN CASE WHEN w1 IS NOT NULL THEN 0.4 ELSE 1 END * c2 / ones.n
+    ELSE CASE WHEN w1 IS NOT NULL THEN 0.16 WHEN w2 IS NOT NULL THEN 0.4 ELSE 1 END * c1 / total END::DOUBLE) AS score
+  FROM counted LEFT JOIN ones ON ones.a = w2 LEFT JOIN twos ON twos.a = w1 AND twos.b = w2
+), summed AS (
+  SELECT doc_id, sum(score) AS total FROM scored GROUP BY 1
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, round(total / len(words), 6) AS log_score, round(coalesce(total, 0), 4) AS total_log_score
+FROM texts LEFT JOIN summed USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_stupid_backoff": _BACKOFF_SQL,
         "op8_chat_fingerprints": _CHAT_SQL.format(probe=_PROBE_SQL, more=""),
         "chat_mixed_layouts": _CHAT_SQL.format(probe="", more=_LAYOUT_SQL),
     }

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from keyorder.llm import ngrams, queries
 
@@ -28,19 +29,66 @@ def brute(rows, order=3):
 
 
 def check(df, rows, order=3):
-    found = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_words, r.log_score, r.mean_log_score) for r in ngrams.score(df, "doc_id", "text", order).collect())
+    counts = None if order == 3 else ngrams.count_tables(df, "text", order)
+    found = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_words, r.total_log_score, r.log_score) for r in ngrams.score(df, "doc_id", "text", counts).collect())
     expected = sorted((k if k is not None else -1, n, s) for k, n, s in brute(rows, order))
     assert [f[:2] for f in found] == [e[:2] for e in expected]
     for f, e in zip(found, expected, strict=True):
         assert math.isclose(f[2], e[2], rel_tol=1e-9, abs_tol=1e-9)
-        assert (f[3] is None) == (f[1] == 0)
+        assert f[3] is None if f[1] == 0 else math.isclose(f[3], e[2] / e[1], rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_query(spark, data):
     docs = [(r.doc_id, r.text) for r in queries.documents(spark, data).collect()]
     found = {r.doc_id: r for r in queries.op5_stupid_backoff(spark, data).collect()}
     for key, n, score in brute(docs):
-        assert found[key].n_words == n and math.isclose(found[key].log_score, score, rel_tol=1e-9, abs_tol=1e-9)
+        assert found[key].n_words == n and math.isclose(found[key].total_log_score, score, abs_tol=1e-4)
+
+
+def table_of(spark, path):
+    """{hash: count} of a count table, with the range that each hash lies in."""
+    out = {}
+    for r in spark.read.parquet(path).collect():
+        counts = np.frombuffer(zstandard.decompress(r.counts), "<u8").tolist()
+        for g, c in zip(ngrams._unpack(bytes(r.grams)).tolist(), counts, strict=True):
+            assert g not in out
+            out[g] = c, r.place
+    return out
+
+
+def test_count_tables(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = ngrams.count_tables(df, "text")
+    texts = [t.split() for _, t in rows]
+    for k, path in enumerate(model.tables, 1):
+        plain = Counter(tuple(w[i : i + k]) for w in texts for i in range(len(w) - k + 1))
+        found = table_of(spark, path)
+        least = 1 if k == 1 else ngrams.MIN_COUNT
+        assert sorted(c for c, _ in found.values()) == sorted(c for c in plain.values() if c >= least)
+        assert all(g >> (65 - model.ranges.bit_length()) == place for g, (_, place) in found.items())
+    assert model.words == sum(map(len, texts))
+
+
+def test_a_model_scores_other_texts(spark):
+    corpus = [(i, "the cat sat on the mat") for i in range(3)] + [(9, "a dog ran")]
+    model = ngrams.count_tables(spark.createDataFrame(corpus, "doc_id long, text string"), "text")
+    rows = [("x", "the cat ran"), ("y", "unknown words"), ("z", None)]
+    found = {r.doc_id: r for r in ngrams.score(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text", model).collect()}
+    expected = [math.log(6 / 21), math.log(3 / 6), math.log(0.4 * 0.4 * 1 / 21)]
+    assert math.isclose(found["x"].total_log_score, sum(expected)) and math.isclose(found["x"].log_score, sum(expected) / 3)
+    assert math.isclose(found["y"].total_log_score, math.log(1 / 21) + math.log(0.4 / 21))
+    assert (found["z"].n_words, found["z"].log_score) == (0, None)
+
+
+def test_ranges_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "RANGE_WORDS", 50)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(40))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert ngrams.count_tables(df, "text").ranges >= 4000 // 50
+    check(df, rows)
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
