@@ -253,8 +253,33 @@ SELECT doc_id, len(words)::BIGINT AS n_words, round(total / len(words), 6) AS lo
 FROM texts LEFT JOIN summed USING (doc_id)"""
 
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM texts
+), named AS (
+  SELECT doc_id, s, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS class_id FROM sets
+), shingles AS (
+  SELECT class_id AS c, len(s) AS n, unnest(s) AS g FROM named WHERE doc_id = class_id
+), links AS (
+  SELECT a.c AS x, b.c AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT x, y FROM links UNION SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y
+), least AS (
+  SELECT x, min(y) AS y FROM reached GROUP BY x
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(class_id, coalesce(y, class_id)) AS component_id, class_id
+FROM named LEFT JOIN least ON x = class_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_ngram_jaccard": _JACCARD_SQL,
         "op5_stupid_backoff": _BACKOFF_SQL,
         "op8_chat_fingerprints": _CHAT_SQL.format(probe=_PROBE_SQL, more=""),
         "chat_mixed_layouts": _CHAT_SQL.format(probe="", more=_LAYOUT_SQL),
