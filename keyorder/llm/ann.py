@@ -1,79 +1,121 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector is rotated by three rounds of random signs and a fast Hadamard
-transform; its bucket in a table is the signed axis nearest to it.  A query
-probes, in each table, the buckets in the order of its own coordinates.  Rows
-of a probed bucket are scored exactly, in double precision on the original
-vectors, and the best of all tables and buckets are kept.
-
-The number of probes is the least that reaches ``TARGET`` on a sample of
-``TUNING_QUERIES`` queries, whose true neighbours are found among all rows; with
-all buckets probed the search is exact.  Buckets of more than ``PART_ROWS`` rows
-are split, and their queries go to every part.  A query that finds fewer
+transform; its hash is the signed axis nearest to it.  A bucket of a table is a
+combination of such hashes, of as many and with as many axes as leave about
+``BUCKET_ROWS`` rows to a bucket: hashes get longer as the logarithm of the
+rows grows.  A query probes, in each table, the buckets whose axes fall short of
+its own nearest axes by at most some sum.  Rows of a probed bucket are scored
+exactly, in double precision on the original vectors, and the best of all tables
+and buckets are kept.
+
+That sum is the least that reaches ``TARGET`` on a sample of ``TUNING_QUERIES``
+queries, whose true neighbours are found among all rows.  Buckets of more than
+``PART_ROWS`` rows are split, and their queries go to every part.  Buckets are
+dealt to tasks by hash, at most about ``TASK_BYTES`` to each, and a query goes
+once to each task that holds some of its buckets.  A query that finds fewer
 neighbours than asked for is searched again in all buckets.
 
 Inner products of vectors that aren't of one length are served by the usual
 extra coordinate.  Vectors that are null, zero, or hold null or non-finite
 components take no part; only vectors of equal dimension meet.  Rows that share
-an id are one candidate, and none for a query of that id.
+an id are one candidate, and none for a query of that id; ids are integers.
+An empty table gives no rows, and only the named columns are read, whatever
+others are called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keyorder.llm.common import materialize
+from keyorder.llm.common import materialize, released
 
-TABLES = 4
+TABLES = 2
 TARGET = 0.95
-TUNING_QUERIES = 64
-PART_ROWS = 32_768
+TUNING_QUERIES = 128
+BUCKET_ROWS = 256
+PART_ROWS = 8192
+TASK_BYTES = 64 << 20
 ROUNDS = 3
 SEED = 20
-#: Scores closer than this may be equal; what follows decides exactly.
-SLACK = 1e-9
+#: Rough scores closer than this, relative to the largest, may be equal in truth; exact scores decide.
+SLACK = {np.dtype(np.float32): 2e-6, np.dtype(np.float64): 1e-12}
+
+
+@lru_cache(maxsize=64)
+def _signs(dim: int, width: int, table: int, part: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim, table, part]).choice([-1.0, 1.0], (ROUNDS, width))
 
 
 @dataclass(frozen=True)
 class Rotations:
-    """Pseudo-rotations of vectors of one dimension; ``longest``: the largest norm, if norms differ."""
+    """Hashes of vectors of one dimension; ``longest``: the largest norm, if norms differ."""
 
     dim: int
-    tables: int
+    rows: int
     longest: float | None
 
     @property
     def width(self) -> int:
         return 1 << max(0, (self.dim + (self.longest is not None) - 1)).bit_length()
 
-    def coordinates(self, x: np.ndarray, table: int, query: bool) -> np.ndarray:
-        """Coordinates on the signed axes: column 2i is -axis i, column 2i + 1 is +axis i."""
-        out = np.zeros((len(x), self.width))
-        out[:, : self.dim] = x
+    @cached_property
+    def axes(self) -> tuple[int, ...]:
+        """Signed axes of each hash of a bucket; the last may use a part of the coordinates."""
+        out = [2 * self.width]
+        while (missing := self.rows / BUCKET_ROWS / np.prod(out)) > 1:
+            out.append(min(2 * self.width, max(2, 1 << int(np.ceil(np.log2(missing))))))
+        return tuple(out)
+
+    def coordinates(self, x: np.ndarray, table: int, query: bool) -> list[np.ndarray]:
+        """For each hash, coordinates on its signed axes: column 2i is -axis i, column 2i + 1 is +axis i."""
+        whole = np.zeros((len(x), self.width))
+        whole[:, : self.dim] = x
         if self.longest is not None:
-            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            norm = np.sqrt(np.einsum("ij,ij->i", whole, whole))
             if query:
-                out /= np.maximum(norm, 1e-300)[:, None]
+                whole /= np.maximum(norm, 1e-300)[:, None]
             else:
-                out /= self.longest
-                out[:, self.dim] = np.sqrt(np.maximum(0, 1 - (norm / self.longest) ** 2))
-        signs = np.random.default_rng([SEED, self.dim, table]).choice([-1.0, 1.0], (ROUNDS, self.width))
-        for s in signs:
-            out = hadamard(out * s)
-        return np.stack([-out, out], 2).reshape(len(x), 2 * self.width)
+                whole /= self.longest
+                whole[:, self.dim] = np.sqrt(np.maximum(0, 1 - (norm / self.longest) ** 2))
+        made = []
+        for part, axes in enumerate(self.axes):
+            out = whole
+            for s in _signs(self.dim, self.width, table, part):
+                out = hadamard(out * s)
+            out = out[:, : axes // 2]
+            made.append(np.stack([-out, out], 2).reshape(len(x), axes))
+        return made
+
+    def codes(self, x: np.ndarray, table: int) -> list[np.ndarray]:
+        return [np.argmax(c, 1) for c in self.coordinates(x, table, query=False)]
 
     def buckets(self, x: np.ndarray, table: int) -> np.ndarray:
-        return np.argmax(self.coordinates(x, table, query=False), 1)
+        out = np.zeros(len(x), np.int64)
+        for code, axes in zip(self.codes(x, table), self.axes, strict=True):
+            out = out * axes + code
+        return out
+
+    def shortfalls(self, x: np.ndarray, table: int) -> list[np.ndarray]:
+        """How far each axis of each hash falls short of the query's nearest one."""
+        return [c.max(1, keepdims=True) - c for c in self.coordinates(x, table, query=True)]
 
-    def probes(self, x: np.ndarray, table: int) -> np.ndarray:
-        """All buckets of the table, the most promising first."""
-        return np.argsort(-self.coordinates(x, table, query=True), axis=1, kind="stable")
+    def probes(self, shortfalls: list[np.ndarray], most: float) -> np.ndarray:
+        """Buckets of one query whose shortfalls sum up to ``most`` at most."""
+        code, total = np.zeros(1, np.int64), np.zeros(1)
+        for short, axes in zip(shortfalls, self.axes, strict=True):
+            sums = total[:, None] + short[None, :]
+            i, j = np.nonzero(sums <= most)
+            code, total = code[i] * axes + j, sums[i, j]
+        return code
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -91,8 +133,8 @@ def usable(vector: Column) -> Column:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    """List column of one dimension as doubles."""
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+    """List column of one dimension."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,232 +145,303 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield part.column(0).to_numpy(zero_copy_only=False), _vectors(part.column(1)), part.column(2).to_numpy(zero_copy_only=False)
 
 
-def _score(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of rows with q, the same for the same row wherever it stands."""
-    return np.add.reduce(x * q, axis=1)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best distinct ids: largest score first, ties to the smaller id."""
-    order = np.lexsort((ids, -scores))
-    _, first = np.unique(ids[order], return_index=True)
-    return order[np.sort(first)[:k]]
-
-
-def _top(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best rows for one query, from rough scores of all of them."""
-    rough = np.where(ids == own, -np.inf, rough)
-    at = np.flatnonzero(np.isfinite(rough))
-    if len(at) > 2 * k:
-        floor = np.partition(rough, len(rough) - k)[len(rough) - k] - SLACK * max(1.0, float(np.abs(rough[at]).max()))
-        # Rows that share an id may take several of the first k places.
-        while len(np.unique(ids[some := np.flatnonzero(rough >= floor)])) < k and len(some) < len(at):
-            k2 = min(len(rough), 2 * len(some))
-            floor = np.partition(rough, len(rough) - k2)[len(rough) - k2]
-        at = some[np.isfinite(rough[some])]
-    scores = _score(q, x[at])
-    best = _best(ids[at], scores, k)
-    return ids[at][best], scores[best]
-
-
-_GROUPED = "g long, kind int, id long, vector array<double>"
-
-
-def _spread(rows: DataFrame, rotations: dict[int, Rotations], probes: dict[int, int], parts: dict[tuple[int, int, int], int], tables: int) -> DataFrame:
-    """A row for each table in which a vector lies, and for each bucket part that a query probes."""
-
-    def group(dim: int, table: int, bucket: np.ndarray, part: np.ndarray) -> np.ndarray:
-        return ((np.int64(dim) * 64 + table) * (1 << 20) + bucket) * (1 << 18) + part
+def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best distinct ids of each query: largest score first, ties to the smaller id; ``own`` ids don't count."""
+    order = np.lexsort((-scores, ids, query))
+    q, i = query[order], ids[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(q) != 0) | (np.diff(i) != 0)
+    order = order[fresh & (i != own[q])]
+    order = order[np.lexsort((ids[order], -scores[order], query[order]))]
+    q = query[order]
+    first = np.searchsorted(q, q)
+    return order[np.arange(len(order)) - first < k]
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows, the same for the same two rows wherever they stand."""
+    return np.add.reduce(x.astype(np.float64) * q.astype(np.float64), axis=1)
+
+
+def _near(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, rough score) of all rows that may be among the k best of each query, its own one besides."""
+    rough = q @ x.T
+    slack = SLACK[rough.dtype] * np.maximum(1e-300, np.abs(rough).max(1, initial=0))
+    take = k + 1
+    if len(x) <= take:
+        floor = np.full(len(q), -np.inf)
+    else:
+        floor = np.partition(rough, len(x) - take, axis=1)[:, len(x) - take] - 2 * slack
+        if len(np.unique(ids)) < len(ids):  # rows that share an id may take several of the places
+            for j in range(len(q)):
+                while len(np.unique(ids[rough[j] >= floor[j]])) < min(take, len(np.unique(ids))):
+                    held = min(len(x), 2 * int(np.count_nonzero(rough[j] >= floor[j])))
+                    floor[j] = np.partition(rough[j], len(x) - held)[len(x) - held] - 2 * slack[j]
+    query, row = np.nonzero(rough >= floor[:, None])
+    return query, row, rough[query, row]
+
+
+class _Held:
+    """The rows of one dimension that a task holds, by the bucket parts in which they lie."""
+
+    def __init__(self, units: list[np.ndarray], ids: list[np.ndarray], x: list[np.ndarray]):
+        units, self.ids, self.x = np.concatenate(units), np.concatenate(ids), np.concatenate(x)
+        self.units, starts = np.unique(units, return_index=True)  # rows come sorted by them
+        self.starts = np.append(starts, len(units))
+
+    def answer(self, own: np.ndarray, q: np.ndarray, asked: list[np.ndarray | None], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best rows here of each query, among the units that it asks for (None: all), by query."""
+        who = np.repeat(np.arange(len(q)), [len(self.units) if a is None else len(a) for a in asked])
+        unit = np.concatenate([self.units if a is None else a for a in asked]) if asked else np.empty(0, np.int64)
+        at = np.searchsorted(self.units, unit)
+        there = at < len(self.units)
+        there[there] = self.units[at[there]] == unit[there]
+        who, at = who[there], at[there]
+        order = np.argsort(at, kind="stable")
+        who, at = who[order], at[order]
+        cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+        query, row, rough = [], [], []
+        for a, b in zip(cuts, cuts[1:]):
+            lo, hi = self.starts[at[a]], self.starts[at[a] + 1]
+            i, j, r = _near(self.x[lo:hi], self.ids[lo:hi], q[who[a:b]], k)
+            query.append(who[a:b][i])
+            row.append(j + lo)
+            rough.append(r)
+        if not query:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        query, row, rough = np.concatenate(query), np.concatenate(row), np.concatenate(rough)
+        # Of all that, what may be among the best of the whole task.
+        slack = SLACK[rough.dtype] * max(1e-300, float(np.abs(rough).max()))
+        order = np.lexsort((-rough, query))
+        query, row, rough = query[order], row[order], rough[order]
+        if len(np.unique(self.ids)) == len(self.ids):
+            last = np.minimum(np.searchsorted(query, query) + k, np.searchsorted(query, query, side="right") - 1)
+            some = rough >= rough[last] - 2 * slack
+            query, row = query[some], row[some]
+        scores = _exact(self.x[row], q[query])
+        best = _best(query, self.ids[row], scores, own, k)
+        return query[best], self.ids[row[best]], scores[best]
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    h = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _lists(flat: pa.Array, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), flat)
+
+
+def _unit(dim: int, table: int, bucket: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """An id of a part of a bucket of a table, by hash: two in one may meet, which costs a comparison and errs in nothing."""
+    return (_mixed(_mixed(bucket + (np.int64(dim) << 8) + table) ^ part.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+
+
+def _dealt(rows: DataFrame, rotations: dict[int, Rotations], most: dict[int, float], parts: dict[tuple[int, int, int], int], tables: int, places: int) -> DataFrame:
+    """(place, kind, unit, id, vector, units): each vector in a place for each table, each query in every place that holds units of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["place", "kind", "unit", "id", "vector", "units"]
         for batch in batches:
-            for begin in range(0, len(batch), 1024):
-                for ids, x, query in _by_dim(batch.slice(begin, 1024)):
-                    r = rotations[x.shape[1]]
-                    size = 2 * r.width
+            for begin in range(0, len(batch), 512):
+                for ids, x, query in _by_dim(batch.slice(begin, 512)):
+                    r, n = rotations[x.shape[1]], len(ids)
+                    split = lambda table, buckets: np.array([parts.get((r.dim, table, b), 1) for b in buckets.tolist()], np.int64) if parts else np.ones(len(buckets), np.int64)  # noqa: B023, E731
+                    flat = pa.array(x.reshape(-1))
                     for table in range(tables):
-                        split = np.array([parts.get((r.dim, table, b), 1) for b in range(size)], np.int64)
                         bucket = r.buckets(x, table)
-                        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                        out = [(group(r.dim, table, bucket, (mixed % split[bucket].astype(np.uint64)).astype(np.int64)), 0, np.arange(len(ids)))]
-                        asked = np.flatnonzero(query)
-                        if len(asked):
-                            near = r.probes(x[asked], table)[:, : probes[r.dim]]
-                            who, where = np.repeat(asked, near.shape[1]), near.reshape(-1)
-                            times = split[where]
+                        part = (_mixed(ids) % split(table, bucket).astype(np.uint64)).astype(np.int64)
+                        unit = _unit(r.dim, table, bucket, part)
+                        place = (_mixed(unit) % np.uint64(places)).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(place), pa.array(np.zeros(n, np.int32)), pa.array(unit), pa.array(ids), _lists(flat, np.full(n, r.dim)), pa.nulls(n, pa.list_(pa.int64()))], names
+                        )
+                    asked = np.flatnonzero(query)
+                    short = [r.shortfalls(x[asked], table) for table in range(tables)] if len(asked) else []
+                    at_place, asker, wanted = [], [], []
+                    for j, row in enumerate(asked.tolist()):
+                        if np.isinf(most[r.dim]):  # every bucket of one table, wherever it is
+                            at_place.append(np.arange(places))
+                            asker.append(np.full(places, row))
+                            wanted += [None] * places
+                            continue
+                        units = []
+                        for table in range(tables):
+                            probed = r.probes([s[j] for s in short[table]], most[r.dim])
+                            times = split(table, probed)
                             part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                            out.append((group(r.dim, table, np.repeat(where, times), part), 1, np.repeat(who, times)))
-                        for g, kind, at in out:
-                            for lo in range(0, len(at), 8192):
-                                some = at[lo : lo + 8192]
-                                values = pa.array(x[some].reshape(-1))
-                                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * r.dim), values)
-                                yield pa.RecordBatch.from_arrays(
-                                    [pa.array(g[lo : lo + 8192]), pa.array(np.full(len(some), kind, np.int32)), pa.array(ids[some]), lists],
-                                    ["g", "kind", "id", "vector"],
-                                )
-
-    return rows.mapInArrow(run, _GROUPED)
-
-
-def _search(spread: DataFrame, k: int) -> DataFrame:
-    """(query_id, found): the k best of each bucket part for each query that probes it."""
+                            units.append(_unit(r.dim, table, np.repeat(probed, times), part))
+                        units = np.concatenate(units)
+                        place = (_mixed(units) % np.uint64(places)).astype(np.int64)
+                        order = np.argsort(place, kind="stable")
+                        where, first = np.unique(place[order], return_index=True)
+                        at_place.append(where)
+                        asker.append(np.full(len(where), row))
+                        wanted += np.split(units[order], first[1:])
+                    if at_place:
+                        place, who, units = np.concatenate(at_place).astype(np.int32), np.concatenate(asker), wanted
+                        for lo in range(0, len(place), 4096):
+                            some, lists = who[lo : lo + 4096], units[lo : lo + 4096]
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array(place[lo : lo + 4096]), pa.array(np.ones(len(some), np.int32)), pa.array(np.full(len(some), r.dim, np.int64)), pa.array(ids[some]),
+                                    _lists(pa.array(x[some].reshape(-1)), np.full(len(some), r.dim)), pa.array(lists, pa.list_(pa.int64())),
+                                ],
+                                names,
+                            )
+
+    kinds = [("place", T.IntegerType()), ("kind", T.IntegerType()), ("unit", T.LongType()), ("id", T.LongType())]
+    schema = T.StructType([*(T.StructField(n, t) for n, t in kinds), rows.schema["vector"], T.StructField("units", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(released(run), schema)
+
+
+def _search(dealt: DataFrame, k: int, places: int) -> DataFrame:
+    """(query_id, ids, scores): the k best that each place holds for each query that comes there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, block = None, [], None
+        fresh: dict[int, tuple[list, list, list]] = {}
+        held: dict[int, _Held] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            g, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ids = batch.column(2).to_numpy()
-            cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1
-            bounds = [0, *cuts.tolist(), len(g)]
-            for a, b in zip(bounds, bounds[1:]):
-                if g[a] != current:
-                    current, held, block = g[a], [], None
-                x = _vectors(batch.column(3).slice(a, b - a))
-                if kind[a] == 0:
-                    held.append((ids[a:b].copy(), x))
+            kind = batch.column(0).to_numpy()
+            dims = np.asarray(batch.column(3).value_lengths().to_numpy(zero_copy_only=False))
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero((kind == 0) & (dims == dim))
+                if len(rows):
+                    part = batch.take(pa.array(rows))
+                    for column, value in zip(fresh.setdefault(dim, ([], [], [])), (part.column(1).to_numpy(), part.column(2).to_numpy(), _vectors(part.column(3))), strict=True):
+                        column.append(value)
+                rows = np.flatnonzero((kind == 1) & (dims == dim))
+                if not len(rows):
                     continue
-                if not held:
+                if dim in fresh:  # all rows are there by now
+                    held[dim] = _Held(*fresh.pop(dim))
+                if dim not in held:
                     continue
-                if block is None:
-                    block = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
-                who, found, scores = [], [], []
-                for lo in range(0, b - a, 64):
-                    rough = x[lo : lo + 64] @ block[1].T
-                    for row in range(len(rough)):
-                        best, score = _top(x[lo + row], ids[a + lo + row], *block, rough[row], k)
-                        who.append(ids[a + lo + row])
-                        found.append(best)
-                        scores.append(score)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(who, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
-                    ["query_id", "ids", "scores"],
-                )
-
-    n = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = spread.repartition(n, "g").sortWithinPartitions("g", "kind")
-    return dealt.mapInArrow(run, "query_id long, ids array<long>, scores array<double>")
+                for lo in range(0, len(rows), 256):
+                    part = batch.take(pa.array(rows[lo : lo + 256]))
+                    own = part.column(2).to_numpy()
+                    asked = [None if not u.is_valid else u.values.to_numpy() for u in part.column(4)]
+                    query, ids, scores = held[dim].answer(own, _vectors(part.column(3)), asked, k)
+                    some, first = np.unique(query, return_index=True)
+                    lengths = np.diff(np.append(first, len(query)))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[some]), _lists(pa.array(ids), lengths), _lists(pa.array(scores), lengths)], ["query_id", "ids", "scores"])
+
+    laid = dealt.repartitionById(places, "place").sortWithinPartitions("kind", "unit").select("kind", "unit", "id", "vector", "units")
+    return laid.mapInArrow(released(run), "query_id long, ids array<long>, scores array<double>")
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    """The k best of all that the tables found for a query; bounded by tables x probes x k a query."""
+    """The k best of all that the places found for a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, scores = None, [], []
-
-        def close():
-            i, s = np.concatenate(ids), np.concatenate(scores)
-            best = _best(i, s, k)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([current], pa.int64()), pa.array([i[best]], pa.list_(pa.int64())), pa.array([s[best]], pa.list_(pa.float64()))],
-                ["query_id", "ids", "scores"],
-            )
+        who, ids, scores = [], [], []
+
+        def close(cut: int) -> Iterator[pa.RecordBatch]:
+            """All but the rows from ``cut`` on, whose query may go on."""
+            q, lengths = np.concatenate(who), np.concatenate([np.diff(i.offsets.to_numpy()) for i in ids])
+            flat = [np.concatenate([c.flatten().to_numpy() for c in columns]) for columns in (ids, scores)]
+            done = int(lengths[:cut].sum())
+            some, at = np.unique(np.repeat(q[:cut], lengths[:cut]), return_inverse=True)
+            i, s = flat[0][:done], flat[1][:done]
+            best = _best(at, i, s, some, k)
+            lengths_out = np.bincount(at[best], minlength=len(some))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some), _lists(pa.array(i[best]), lengths_out), _lists(pa.array(s[best]), lengths_out)], ["query_id", "ids", "scores"])
+            who[:], ids[:], scores[:] = [q[cut:]], [_lists(pa.array(flat[0][done:]), lengths[cut:])], [_lists(pa.array(flat[1][done:]), lengths[cut:])]
 
         for batch in batches:
-            for j, who in enumerate(batch.column(0).to_pylist()):
-                if who != current:
-                    if ids:
-                        yield close()
-                    current, ids, scores = who, [], []
-                ids.append(batch.column(1)[j].values.to_numpy())
-                scores.append(batch.column(2)[j].values.to_numpy())
-        if ids:
-            yield close()
+            if len(batch):
+                who.append(batch.column(0).to_numpy())
+                ids.append(pa.concat_arrays([batch.column(1)]))
+                scores.append(pa.concat_arrays([batch.column(2)]))
+                q = np.concatenate(who)
+                yield from close(int(np.searchsorted(q, q[-1])))
+        if who:
+            yield from close(sum(map(len, who)))
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(run, found.schema)
+    return found.repartition(n, "query_id").sortWithinPartitions("query_id").mapInArrow(released(run), found.schema)
 
 
-def _tuned(rows: DataFrame, rotations: dict[int, Rotations], k: int, tables: int) -> dict[int, int]:
-    """Probes for each dimension: the least that find TARGET of the sampled queries' true neighbours."""
+def _tuned(rows: DataFrame, rotations: dict[int, Rotations], k: int, tables: int) -> dict[int, float]:
+    """For each dimension, the least sum of shortfalls within which TARGET of the sampled queries' true neighbours lie."""
     sampled = rows.filter("query").orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(TUNING_QUERIES).collect()
     queries: dict[int, list] = {}
     for r in sampled:
-        queries.setdefault(len(r["vector"]), []).append((r["id"], np.array(r["vector"], np.float64)))
+        queries.setdefault(len(r["vector"]), []).append((r["id"], r["vector"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = {
-            d: [np.argsort(rotations[d].probes(np.stack([v for _, v in qs]), t), axis=1) for t in range(tables)] for d, qs in queries.items()
-        }
         for batch in batches:
             for ids, x, _ in _by_dim(batch):
-                d = x.shape[1]
-                if d not in queries:
+                r = rotations[x.shape[1]]
+                if r.dim not in queries:
                     continue
-                buckets = [rotations[d].buckets(x, t) for t in range(tables)]
-                out = []
-                for j, (own, q) in enumerate(queries[d]):
-                    rough = x @ q
-                    best, scores = _top(q, own, ids, x, rough, k)
-                    at = {int(i): p for p, i in enumerate(ids.tolist())}
-                    for i, s in zip(best.tolist(), scores.tolist(), strict=True):
-                        rank = min(int(order[d][t][j, buckets[t][at[i]]]) for t in range(tables))
-                        out.append((d, j, i, s, rank))
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32()), strict=True)],
-                        ["d", "q", "id", "score", "rank"],
-                    )
-
-    near = rows.mapInArrow(run, "d int, q int, id long, score double, rank int")
+                own, q = np.array([i for i, _ in queries[r.dim]]), np.array([v for _, v in queries[r.dim]], x.dtype)
+                query, row, _ = _near(x, ids, q, k)
+                scores = _exact(x[row], q[query])
+                best = _best(query, ids[row], scores, own, k)
+                query, row, scores = query[best], row[best], scores[best]
+                least = np.full(len(row), np.inf)
+                for t in range(tables):
+                    short, codes = r.shortfalls(q, t), r.codes(x, t)
+                    least = np.minimum(least, sum(s[query, c[row]] for s, c in zip(short, codes, strict=True)))
+                columns = (np.full(len(row), r.dim, np.int32), query.astype(np.int32), ids[row], scores, least)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d", "q", "id", "score", "short"])
+
+    near = rows.mapInArrow(released(run), "d int, q int, id long, score double, short double")
     first = F.row_number().over(Window.partitionBy("d", "q").orderBy(F.desc("score"), "id"))
-    ranks: dict[int, list[int]] = {}
-    for r in near.withColumn("_k", first).filter(F.col("_k") <= k).select("d", "rank").collect():
-        ranks.setdefault(r["d"], []).append(r["rank"])
+    known: dict[int, list[float]] = {}
+    for r in near.withColumn("_k", first).filter(F.col("_k") <= k).select("d", "short").collect():
+        known.setdefault(r["d"], []).append(r["short"])
     out = {}
-    for d, r in rotations.items():
-        known = sorted(ranks.get(d, []))
-        # One probe more than the rank that covers the target share.
-        out[d] = min(2 * r.width, known[min(len(known) - 1, int(np.ceil(TARGET * len(known))))] + 1) if known else 2 * r.width
+    for d in rotations:
+        short = sorted(known.get(d, []))
+        out[d] = short[min(len(short) - 1, int(np.ceil(TARGET * len(short))))] + 1e-9 if short else np.inf
     return out
 
 
 def nearest(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 20, tables: int = TABLES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every query row, by inner product."""
-    vector = F.col(vector_col).cast("array<double>")
+    spark = df.sparkSession
+    kind = df.schema[vector_col].dataType
+    element = kind.elementType if isinstance(kind.elementType, T.FloatType) else T.DoubleType()
+    vector = F.col(vector_col).cast(T.ArrayType(element))
     rows = df.filter(F.col(id_col).isNotNull() & usable(vector)).select(
         F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query")
     )
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
+    norm = F.sqrt(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda a, v: a + v * v))
     # A row for each dimension that occurs.
     seen = rows.groupBy(F.size("vector").alias("d")).agg(F.min(norm).alias("lo"), F.max(norm).alias("hi"), F.count("*").alias("n")).collect()
-    rotations = {r["d"]: Rotations(r["d"], tables, r["hi"] if r["lo"] < 0.999 * r["hi"] else None) for r in seen}
-    most = {r["d"]: r["n"] for r in seen}
-    probes = _tuned(rows, rotations, k, tables)
+    rotations = {r["d"]: Rotations(r["d"], r["n"], r["hi"] if r["lo"] < 0.999 * r["hi"] else None) for r in seen}
+    held = sum(r["n"] * tables * (r["d"] * 8 + 16) for r in seen)
+    places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES))
+    most = _tuned(rows, rotations, k, tables)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[int, int, int], int] = {}
         for batch in batches:
             for _, x, _ in _by_dim(batch):
                 r = rotations[x.shape[1]]
                 for table in range(tables):
-                    for b, c in enumerate(np.bincount(r.buckets(x, table)).tolist()):
-                        if c:
-                            totals[r.dim, table, b] = totals.get((r.dim, table, b), 0) + c
-        if totals:
-            cols = list(zip(*((*key, c) for key, c in totals.items()), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["d", "t", "b", "c"]
-            )
-
-    full = rows.mapInArrow(count, "d int, t int, b int, c long").groupBy("d", "t", "b").agg(F.sum("c").alias("c")).filter(F.col("c") > PART_ROWS)
-    # At most one row for each bucket: bounded by tables x axes.
+                    bucket, n = np.unique(r.buckets(x, table), return_counts=True)
+                    columns = (np.full(len(n), r.dim, np.int32), np.full(len(n), table, np.int32), bucket, n.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d", "t", "b", "c"])
+
+    full = rows.mapInArrow(count, "d int, t int, b long, c long").groupBy("d", "t", "b").agg(F.sum("c").alias("c")).filter(F.col("c") > PART_ROWS)
+    # At most one row for PART_ROWS vectors of a table.
     parts = {(r["d"], r["t"], r["b"]): -(-r["c"] // PART_ROWS) for r in full.collect()}
-    found = _merge(_search(_spread(rows, rotations, probes, parts, tables), k), k)
+    found = _merge(_search(_dealt(rows, rotations, most, parts, tables, places), k, places), k)
     found = materialize(found, "ann-found")
     enough = F.lit(0)
-    for d, n in most.items():
-        enough = F.when(F.size("vector") == d, F.lit(min(k, n - 1))).otherwise(enough)
+    for r in seen:
+        enough = F.when(F.size("vector") == r["d"], F.lit(min(k, r["n"] - 1))).otherwise(enough)
     asked = rows.filter("query").select("id", enough.alias("enough"))
     short = asked.join(found.select(F.col("query_id").alias("id"), F.size("ids").alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) < F.col("enough"))
     if short.limit(1).count():
         again = rows.join(short.select(F.col("id").alias("again")).distinct(), F.col("id") == F.col("again"), "left")
         again = again.select("id", "vector", F.col("again").isNotNull().alias("query"))
-        everywhere = {d: 2 * r.width for d, r in rotations.items()}
-        whole = _merge(_search(_spread(again, rotations, everywhere, parts, 1), k), k)
+        everywhere = dict.fromkeys(rotations, np.inf)
+        whole = _merge(_search(_dealt(again, rotations, everywhere, parts, 1, places), k, places), k)
         found = found.join(whole.select("query_id"), "query_id", "left_anti").unionByName(whole)
     return found.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("rank", "hit")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("hit.ids").alias("vec_id"), F.col("hit.scores").alias("score")

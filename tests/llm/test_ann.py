@@ -88,6 +88,46 @@ def test_lengths_that_differ(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_hashes_get_longer_with_the_logarithm_of_the_rows():
+    assert ann.Rotations(64, 1000, None).axes == (128,)
+    assert ann.Rotations(64, 128 * ann.BUCKET_ROWS + 1, None).axes == (128, 2)
+    assert ann.Rotations(64, 10**6, None).axes == (128, 32)
+    assert ann.Rotations(64, 10**9, None).axes == (128, 128, 128, 2)
+    for axes in ((8,), (8, 2), (8, 8, 4)):
+        r = ann.Rotations(4, 1, None)
+        r.__dict__["axes"] = axes
+        x = np.random.default_rng(6).normal(size=(3, 4))
+        short = r.shortfalls(x, 0)
+        assert np.array_equal([r.probes([s[i] for s in short], 1e-12)[0] for i in range(3)], r.buckets(x, 0))
+        sums = np.zeros((3, 1))
+        for s in short:
+            sums = (sums[:, :, None] + s[:, None, :]).reshape(3, -1)
+        for most in (0.5, 1.5, np.inf):
+            assert [sorted(r.probes([s[i] for s in short], most)) for i in range(3)] == [np.flatnonzero(v <= most).tolist() for v in sums]
+
+
+@pytest.mark.parametrize("bucket_rows", [2, 20])
+def test_longer_hashes_find_the_neighbours(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(ann, "TASK_BYTES", 20_000)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert len(ann.Rotations(8, 3000, None).axes) > 1
+    found = search(frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]))
+    recall = [len(set(found[q]) & set(brute(np.arange(3000), x.astype(np.float64), q)[0])) / 20 for q in range(0, 3000, 20)]
+    assert np.mean(recall) >= 0.9
+
+
+def test_doubles_of_any_size(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 5)) * 1e60
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rank int")
+    found = search(df)
+    recall = [len(set(found[q]) & set(brute(np.arange(300), x, q)[0])) / 20 for q in range(0, 300, 20)]
+    assert np.mean(recall) >= 0.9
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(4).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
