@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyorder.llm.common import released, slices, text_buffer
+from keyorder.llm.shingles import span_hashes
 
 CHUNK_BYTES = 1 << 20
-#: Words whose ids a Python worker keeps, from their second occurrence on; beyond it words are encoded as they come.
+#: Words whose ids a Python worker keeps, from the second time on that it meets them; beyond it words are encoded as they come.
 CACHE_WORDS = 250_000
+CACHE_WORD_BYTES = 64
 #: Flags, by hash, of the words that a worker has met.
 MET_FLAGS = 1 << 22
-CACHE_WORD_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -79,10 +80,21 @@ def closes_word(path: str) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=2)
+def plain_tokenizer(path: str):
+    """For lower-case ASCII letters and blanks, which the normaliser and the splitter only take apart at the blanks."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.normalizer = normalizers.Sequence([])
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return tokenizer
+
+
 @lru_cache(maxsize=1)
-def word_cache(path: str) -> tuple[dict[bytes, bytes], bytearray]:
+def word_cache(path: str) -> tuple[dict[bytes, bytes], np.ndarray]:
     """Word to packed ids, and flags of words met; lives as long as the Python worker, so later tasks find it filled."""
-    return {}, bytearray(MET_FLAGS)
+    return {}, np.zeros(MET_FLAGS, bool)
 
 
 @lru_cache(maxsize=1)
@@ -94,8 +106,8 @@ def _byte_kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return blank, plain, (code > 32) & (code < 127) & ~plain & (code != 39)
 
 
-def split_words(data: bytes, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Words of concatenated texts, and the n + 1 offsets of the texts' words.
+def split_words(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of concatenated texts, where words begin and end in them, and the n + 1 offsets of the texts' words.
 
     Words end at blanks, tabs and line breaks, which the tokenizer's normaliser
     and splitter never join across, and so does a single sign beside them that
@@ -106,18 +118,36 @@ def split_words(data: bytes, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     if b"\xcc" not in data and b"\xcd" not in data:
         data = data.lower()
     blank, plain, sign = _byte_kinds()
-    code = np.frombuffer(data, np.uint8)
     heads = np.unique(at[1:-1])
     # A blank before, between and after the texts: neighbours of each byte in its own text.
-    code = np.concatenate([[np.uint8(32)], np.insert(code, heads, np.uint8(32)), [np.uint8(32)]])
+    code = np.concatenate([[np.uint8(32)], np.insert(np.frombuffer(data, np.uint8), heads, np.uint8(32)), [np.uint8(32)]])
     blanks, signs, plains = blank[code], sign[code], plain[code]
-    code[blanks] = 32
-    cut = np.zeros(len(code), bool)  # before which bytes a word ends though no blank stands there
-    cut[1:-1] = plains[:-2] & signs[1:-1] & blanks[2:]
-    cut[2:] |= blanks[:-2] & signs[1:-1] & plains[2:]
-    words = list(filter(None, np.insert(code, np.flatnonzero(cut), np.uint8(32)).tobytes().split(b" ")))
-    cut[1:] |= blanks[:-1] & ~blanks[1:]
-    return words, np.searchsorted(np.flatnonzero(cut), at + np.searchsorted(heads, at, side="right") + 1)
+    begins = np.zeros(len(code) + 1, bool)
+    begins[1:-2] = plains[:-2] & signs[1:-1] & blanks[2:]
+    begins[2:-1] |= blanks[:-2] & signs[1:-1] & plains[2:]
+    begins[1:-1] |= blanks[:-1] & ~blanks[1:]
+    ends = ~blanks & (begins[1:] | np.append(blanks[1:], True))
+    begins = np.flatnonzero(begins)
+    return code, begins, np.flatnonzero(ends) + 1, np.searchsorted(begins, at + np.searchsorted(heads, at, side="right") + 1)
+
+
+def distinct(code: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash and place of one word of each kind, and the kind of every word), kinds in order of their hashes.
+
+    Words are of one kind if two independent 64-bit hashes are equal.
+    """
+    first, second = (span_hashes(code, begins, ends, k) for k in (0, 1))
+    order = np.argsort(first)
+    fresh = np.ones(len(order), bool)
+    ranked, check = first[order], second[order]
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    if not (fresh[1:] | (check[1:] == check[:-1])).all():  # two words with one hash: told apart by both
+        order = np.lexsort((second, first))
+        ranked, check = first[order], second[order]
+        fresh[1:] = (ranked[1:] != ranked[:-1]) | (check[1:] != check[:-1])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], order[fresh], kind
 
 
 class WordCoder:
@@ -125,59 +155,83 @@ class WordCoder:
 
     def __init__(self, path: str, closing_id: int | None, control_ids: bool = False):
         self.tokenizer = load_tokenizer(path)
-        self.closing = b"" if closing_id is None else np.array([closing_id], "<u4").tobytes()
+        self.closing = closing_id
+        self.plain = plain_tokenizer(path)
         self.words, self.met = word_cache(path)
         self.closes = closes_word(path)
         self.control = load_tokenizer(path, True) if control_ids else None
         self.marks = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()) if control_ids else ()
 
-    def _look_up(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Packed ids of words that the cache lacks, a thousand words to a call."""
-        found: dict[bytes, bytes] = {}
-        letters, others = [], []
-        for w in new:
-            (letters if w.isalpha() or (t := w.decode()).isalpha() else others).append(w)
-        for at in range(0, len(letters), 1000):
-            part = letters[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):  # letters that the normaliser takes apart
-                others += part
-                continue
-            data = ids.tobytes()
-            found.update(zip(part, [data[a:b] for a, b in pairwise([0, *(4 * ends).tolist()])], strict=True))
+    def _look_up(self, new: list[bytes]) -> list[bytes]:
+        """Packed ids of words, a thousand of them to a call."""
+        plain, letters, others = [], [], []
+        for i, w in enumerate(new):
+            (plain if w.isalpha() else letters if w.decode().isalpha() else others).append(i)  # of bytes only ASCII is alpha
+        found = [b""] * len(new)
+        for coder, places in ((self.plain, plain), (self.tokenizer, letters)):
+            for at in range(0, len(places), 1000):
+                part = places[at : at + 1000]
+                said = b" ".join([new[i] for i in part])
+                said = said.lower().decode() if coder is self.plain else said.decode()
+                ids = np.array(coder.encode_batch_fast([said], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) != len(part):  # letters that the normaliser takes apart
+                    others += part
+                    continue
+                data, cuts = ids.tobytes(), (4 * ends).tolist()
+                for i, a, b in zip(part, [0, *cuts], cuts):
+                    found[i] = data[a:b]
         for at in range(0, len(others), 1000):
-            part = [w.decode() for w in others[at : at + 1000]]
-            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            part = others[at : at + 1000]
+            words = [new[i].decode() for i in part]
+            coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
             data = np.array(coded.ids, "<u4").tobytes()
             begins = np.array([a for a, _ in coded.offsets], np.int64)
-            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
             cuts = (4 * np.searchsorted(begins, np.cumsum(lengths) - lengths)).tolist()
-            found.update(zip(others[at : at + 1000], [data[a:b] for a, b in pairwise([*cuts, len(data)])], strict=True))
+            for i, a, b in zip(part, cuts, [*cuts[1:], len(data)]):
+                found[i] = data[a:b]
         return found
 
+    def _ids_of(self, words: list[bytes], hashes: np.ndarray) -> list[bytes]:
+        ids = list(map(self.words.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
+        flags = hashes[new] & np.uint64(MET_FLAGS - 1)
+        met = self.met[flags].tolist()
+        self.met[flags] = True
+        room = CACHE_WORDS - len(self.words)
+        for i, found, again in zip(new, self._look_up([words[i] for i in new]), met, strict=True):
+            ids[i] = found
+            if again and room > 0 and len(words[i]) <= CACHE_WORD_BYTES:  # most words that are met once aren't met again
+                self.words[words[i]] = found
+                room -= 1
+        return ids
+
     def encode(self, column: pa.Array, closed: bool = True) -> list[np.ndarray]:
         """Ids of the texts of a string column, each with the closing id if ``closed``."""
         data, at = text_buffer(column)
-        closing = self.closing if closed else b""
-        split, of = split_words(data, at)
-        words = self.words
-        rest = self._look_up(list(set(split).difference(words)))
-        words.update(rest)
-        cuts = of.tolist()
-        out = [np.frombuffer(b"".join(map(words.__getitem__, split[a:b])) + closing, "<u4") for a, b in pairwise(cuts)]
+        code, begins, ends, of = split_words(data, at)
+        hashes, one, kind = distinct(code, begins, ends)
+        said = code.tobytes()
+        words = [said[a:b] for a, b in zip(begins[one].tolist(), ends[one].tolist())]
+        ids = self._ids_of(words, hashes)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, place = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        lengths = size[kind]
+        to = np.cumsum(lengths)
+        where = np.repeat(place[kind] - (to - lengths), lengths) + np.arange(to[-1] if len(to) else 0)
+        cuts = np.concatenate([[0], to])[of]
+        out = flat[where]
+        if closed and self.closing is not None:
+            out = np.insert(out, cuts[1:], np.uint32(self.closing))
+            cuts = cuts + np.arange(len(cuts))
+        texts = [out[a:b].copy() for a, b in pairwise(cuts.tolist())]  # so that one that waits keeps no others
         if self.control is not None and any(m in data for m in self.marks):
+            closing = [self.closing] if closed and self.closing is not None else []
             for i, (a, b) in enumerate(pairwise(at.tolist())):
                 if any(m in data[a:b] for m in self.marks):
-                    ids = self.control.encode(data[a:b].decode(), add_special_tokens=False).ids
-                    out[i] = np.frombuffer(np.array(ids, "<u4").tobytes() + closing, "<u4")
-        met, last, full = self.met, MET_FLAGS - 1, len(words) - len(rest) >= CACHE_WORDS
-        for w in rest:
-            flag = hash(w) & last
-            if full or not met[flag] or len(w) > CACHE_WORD_BYTES:  # most words that are met once aren't met again
-                met[flag] = 1
-                del words[w]
-        return out
+                    texts[i] = np.array(self.control.encode(data[a:b].decode(), add_special_tokens=False).ids + closing, "<u4")
+        return texts
 
 
 @dataclass

@@ -54,6 +54,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def span_hashes(code: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    """64-bit hashes of spans of bytes, by one of two independent polynomials."""
+    base = (_BASE, 0xD6E8FEB86659FD93)[which]
+    values = _tables()[0] if which == 0 else np.random.default_rng(which).integers(1, 1 << 63, 256, dtype=np.uint64)
+    # Case is kept here: of the values above, capitals have those of small letters.
+    values = values.copy()
+    values[65:91] = np.random.default_rng(7 + which).integers(1, 1 << 63, 26, dtype=np.uint64)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(values[code] * _power(base, len(code)), out=sums[1:])
+    return mix((sums[ends] - sums[begins]) * _power(pow(base, -1, 1 << 64), len(code))[begins])
+
+
 def word_hashes(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of concatenated texts, and the n + 1 offsets of the texts' words."""
     values, _, blank, _ = _tables()
