@@ -3,9 +3,11 @@
 Texts are kept in chunks of some megabytes.  For each order a chunk sends its
 distinct n-grams, as hashes with their counts, to the range of each hash; there
 the counts of all chunks are summed into a count table, a row for each range of
-hashes.  To score texts, chunks send their n-grams once more, join the count
-table by range, and get the counts back; a chunk then holds the counts of all
-its n-grams side by side, scores each word, and sums the scores of each document.
+hashes.  To score texts, the n-grams of their chunks join the count table by
+range and get the counts back; a chunk then holds the counts of all its n-grams
+side by side, scores each word, and sums the scores of each document.  Where a
+corpus scores itself, a range's table joins the very n-grams that it was summed
+from, in the same task, so they are sent once.
 
 A frequent n-gram is one entry for each chunk, not one for each occurrence, so
 no hash is hot.  There is a range for every ``RANGE_WORDS`` words of the corpus:
@@ -159,81 +161,126 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
+class _Table:
+    """Sum of what is sent to one range, held at no more than about twice the size of the result."""
+
+    def __init__(self) -> None:
+        self.known, self.totals = np.empty(0, np.uint64), np.empty(0, "<u8")
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((grams, counts))
+        self.waiting += len(grams)
+        if self.waiting > max(1 << 20, len(self.known)):
+            self._merge()
+
+    def _merge(self) -> None:
+        self.held.append((self.known, self.totals))
+        self.known, inverse = np.unique(np.concatenate([g for g, _ in self.held]), return_inverse=True)
+        self.totals = np.bincount(inverse, np.concatenate([c for _, c in self.held]), len(self.known)).astype("<u8")
+        self.held, self.waiting = [], 0
+
+    def close(self, least: int) -> None:
+        self._merge()
+        some = self.totals >= least
+        self.known, self.totals = self.known[some], self.totals[some]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Their counts, zero where the table has none."""
+        if not len(self.known):
+            return np.zeros(len(grams), "<u8")
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return np.where(self.known[at] == grams, self.totals[at], 0).astype("<u8")
+
+
 def _summed(sent: DataFrame, least: int, partitions: int) -> DataFrame:
     """(place, grams, counts): what all chunks sent to a range, summed as it streams by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, reader = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
-
-        def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
-            values, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-            return values, np.bincount(inverse, np.concatenate([c for _, c in held]), len(values)).astype("<u8")
-
         for place, rows in groupby(_rows(batches), key=itemgetter(0)):
-            held, waiting = [(np.empty(0, np.uint64), np.empty(0, "<u8"))], 0
+            table = _Table()
             for _, grams, counts in rows:
-                held.append((_unpack(grams), np.frombuffer(reader.decompress(counts), "<u8")))
-                waiting += len(held[-1][0])
-                if waiting > max(1 << 20, len(held[0][0])):  # so what is held is at most about twice the result
-                    held, waiting = [merged(held)], 0
-            values, totals = merged(held)
-            some = totals >= least
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([place], pa.int32()), pa.array([_pack(values[some])]), pa.array([packer.compress(totals[some].tobytes())])], ["place", "grams", "counts"]
-            )
+                table.add(_unpack(grams), np.frombuffer(reader.decompress(counts), "<u8"))
+            table.close(least)
+            columns = [pa.array([place], pa.int32()), pa.array([_pack(table.known)]), pa.array([packer.compress(table.totals.tobytes())])]
+            yield pa.RecordBatch.from_arrays(columns, ["place", "grams", "counts"])
 
     dealt = sent.repartition(partitions, "place").sortWithinPartitions("place").select("place", "grams", "counts")
     return dealt.mapInArrow(released(run), "place int, grams binary, counts binary")
 
 
+_FOUND = "chunk long, place int, counts binary"
+
+
+def _found(chunk: int, place: int, counts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([place], pa.int32()), pa.array([counts])], ["chunk", "place", "counts"])
+
+
 def _joined(sent: DataFrame, table: DataFrame, partitions: int) -> DataFrame:
     """(chunk, place, counts): counts in the table of the n-grams that a chunk sent to a range, in their order; zero where it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, reader = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
-        current, known, totals = None, np.empty(0, np.uint64), np.empty(0, "<u8")
-        for place, chunk, grams, counts in _rows(batches):
-            if place != current:
-                current, known, totals = place, np.empty(0, np.uint64), np.empty(0, "<u8")
-            values = _unpack(grams)
-            if chunk is None:
-                known, totals = values, np.frombuffer(reader.decompress(counts), "<u8")
-                continue
-            found = np.zeros(len(values), "<u8")
-            if len(known):
-                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                found = np.where(known[at] == values, totals[at], 0).astype("<u8")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([place], pa.int32()), pa.array([packer.compress(found.tobytes())])], ["chunk", "place", "counts"]
-            )
+        for place, rows in groupby(_rows(batches), key=itemgetter(0)):
+            known = _Table()
+            for _, chunk, grams, counts in rows:
+                if chunk is None:
+                    known.known, known.totals = _unpack(grams), np.frombuffer(reader.decompress(counts), "<u8")
+                else:
+                    yield _found(chunk, place, packer.compress(known.of(_unpack(grams)).tobytes()))
 
     asked = sent.select("place", "chunk", "grams", F.lit(None).cast("binary").alias("counts"))
     both = asked.unionByName(table.withColumn("chunk", F.lit(None).cast("long")))
     # The table's row of a range, whose chunk is null, comes first.
     dealt = both.repartition(partitions, "place").sortWithinPartitions("place", "chunk").select("place", "chunk", "grams", "counts")
-    return dealt.mapInArrow(released(run), "chunk long, place int, counts binary")
+    return dealt.mapInArrow(released(run), _FOUND)
+
+
+def _summed_and_joined(sent: DataFrame, least: int, partitions: int) -> DataFrame:
+    """As ``_joined`` with the table that ``_summed`` makes of the same n-grams; they stay packed, and a range has few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, reader = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+        for place, rows in groupby(_rows(batches), key=itemgetter(0)):
+            table, asked = _Table(), []
+            for _, chunk, grams, counts in rows:
+                table.add(_unpack(grams), np.frombuffer(reader.decompress(counts), "<u8"))
+                asked.append((chunk, grams))
+            table.close(least)
+            for chunk, grams in asked:
+                yield _found(chunk, place, packer.compress(table.of(_unpack(grams)).tobytes()))
 
+    dealt = sent.repartition(partitions, "place").sortWithinPartitions("place").select("place", "chunk", "grams", "counts")
+    return dealt.mapInArrow(released(run), _FOUND)
 
-def _counted(spark: SparkSession, chunks: str, order: int) -> Counts:
-    stored = spark.read.parquet(chunks)
+
+def _ranges(spark: SparkSession, chunks: DataFrame) -> tuple[int, int]:
+    """Words of all chunks, and how many ranges of hashes they need."""
+    words = chunks.agg(F.sum("words").alias("n")).first()["n"] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = stored.agg(F.sum("words").alias("n")).first()["n"] or 0
-    ranges = 1 << max(1, (max(RANGES * partitions, words // RANGE_WORDS) - 1).bit_length())
-    tables = []
-    for k in range(1, order + 1):
-        tables.append(write_table(_summed(_sent(stored, k, ranges), 1 if k == 1 else MIN_COUNT, partitions), f"lm-counts-{k}"))
-        discard(spark)
-    return Counts(tuple(tables), words, ranges)
+    return words, 1 << max(1, (max(RANGES * partitions, words // RANGE_WORDS) - 1).bit_length())
+
+
+def _least(order: int) -> int:
+    return 1 if order == 1 else MIN_COUNT
 
 
 def count_tables(df: DataFrame, text_col: str, order: int = ORDER) -> Counts:
     """The count tables of a corpus, in the shared folder: a model that can score any texts."""
     spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.lit(None).cast("int").alias("id"), F.col(text_col).alias("text"))
     with scratch(spark) as keep:
-        counts = _counted(spark, write_table(_chunks(texts, "id", "text"), "lm-chunks"), order)
-        keep(*counts.tables)
-    return counts
+        chunks = spark.read.parquet(write_table(_chunks(texts, "id", "text"), "lm-chunks"))
+        words, ranges = _ranges(spark, chunks)
+        tables = []
+        for k in range(1, order + 1):
+            tables.append(write_table(_summed(_sent(chunks, k, ranges), _least(k), partitions), f"lm-counts-{k}"))
+            discard(spark)
+        keep(*tables)
+    return Counts(tuple(tables), words, ranges)
 
 
 def _scored(words: np.ndarray, of: np.ndarray, tables: list[np.ndarray], total: int) -> np.ndarray:
@@ -264,17 +311,21 @@ def score(df: DataFrame, id_col: str, text_col: str, counts: Counts | None = Non
     ``counts``: a model of ``count_tables``; without one, that of the rows themselves.
     """
     spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with scratch(spark) as keep:
         stored = write_table(_chunks(df, id_col, text_col), "lm-chunks")
-        known = counts or _counted(spark, stored, ORDER)
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        chunks = spark.read.parquet(stored)
+        words, ranges = _ranges(spark, chunks) if counts is None else (counts.words, counts.ranges)
         found = []
-        for k, table in enumerate(known.tables, 1):
-            sent = _sent(spark.read.parquet(stored), k, known.ranges)
-            found.append(write_table(_joined(sent, spark.read.parquet(table), partitions), f"lm-found-{k}"))
-            discard(spark, *(() if counts else (table,)))
+        for k in range(1, ORDER + 1 if counts is None else len(counts.tables) + 1):
+            if counts is None:
+                known = _summed_and_joined(_sent(chunks, k, ranges), _least(k), partitions)
+            else:
+                known = _joined(_sent(chunks, k, ranges), spark.read.parquet(counts.tables[k - 1]), partitions)
+            found.append(write_table(known, f"lm-found-{k}"))
+            discard(spark)
         keep(stored, *found)
-    return _summed_up(df, id_col, stored, found, known.words)
+    return _summed_up(df, id_col, stored, found, words)
 
 
 def _summed_up(df: DataFrame, id_col: str, stored: str, tables: list[str], total: int) -> DataFrame:
