@@ -163,20 +163,21 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.add.reduce(x.astype(np.float64) * q.astype(np.float64), axis=1)
 
 
-def _near(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, rough score) of all rows that may be among the k best of each query, its own one besides."""
+def _copies(*columns: np.ndarray) -> int:
+    """How often the most frequent row of the columns occurs."""
+    order = np.lexsort(columns)
+    change = np.logical_or.reduce([np.diff(c[order]) != 0 for c in columns])
+    return int(np.diff(np.flatnonzero(np.concatenate([[True], change, [True]]))).max(initial=1))
+
+
+def _near(x: np.ndarray, q: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, rough score) of all rows that may be among the first ``take`` of each query."""
     rough = q @ x.T
-    slack = SLACK[rough.dtype] * np.maximum(1e-300, np.abs(rough).max(1, initial=0))
-    take = k + 1
     if len(x) <= take:
         floor = np.full(len(q), -np.inf)
     else:
+        slack = SLACK[rough.dtype] * np.maximum(1e-300, np.abs(rough).max(1, initial=0))
         floor = np.partition(rough, len(x) - take, axis=1)[:, len(x) - take] - 2 * slack
-        if len(np.unique(ids)) < len(ids):  # rows that share an id may take several of the places
-            for j in range(len(q)):
-                while len(np.unique(ids[rough[j] >= floor[j]])) < min(take, len(np.unique(ids))):
-                    held = min(len(x), 2 * int(np.count_nonzero(rough[j] >= floor[j])))
-                    floor[j] = np.partition(rough[j], len(x) - held)[len(x) - held] - 2 * slack[j]
     query, row = np.nonzero(rough >= floor[:, None])
     return query, row, rough[query, row]
 
@@ -186,6 +187,7 @@ class _Held:
 
     def __init__(self, units: list[np.ndarray], ids: list[np.ndarray], x: list[np.ndarray]):
         units, self.ids, self.x = np.concatenate(units), np.concatenate(ids), np.concatenate(x)
+        self.copies = _copies(self.ids), _copies(units, self.ids)  # of an id, here and in one unit
         self.units, starts = np.unique(units, return_index=True)  # rows come sorted by them
         self.starts = np.append(starts, len(units))
 
@@ -203,7 +205,7 @@ class _Held:
         query, row, rough = [], [], []
         for a, b in zip(cuts, cuts[1:]):
             lo, hi = self.starts[at[a]], self.starts[at[a] + 1]
-            i, j, r = _near(self.x[lo:hi], self.ids[lo:hi], q[who[a:b]], k)
+            i, j, r = _near(self.x[lo:hi], q[who[a:b]], (k + 1) * self.copies[1])  # its own id is one of them
             query.append(who[a:b][i])
             row.append(j + lo)
             rough.append(r)
@@ -214,10 +216,9 @@ class _Held:
         slack = SLACK[rough.dtype] * max(1e-300, float(np.abs(rough).max()))
         order = np.lexsort((-rough, query))
         query, row, rough = query[order], row[order], rough[order]
-        if len(np.unique(self.ids)) == len(self.ids):
-            last = np.minimum(np.searchsorted(query, query) + k, np.searchsorted(query, query, side="right") - 1)
-            some = rough >= rough[last] - 2 * slack
-            query, row = query[some], row[some]
+        last = np.minimum(np.searchsorted(query, query) + (k + 1) * self.copies[0], np.searchsorted(query, query, side="right")) - 1
+        some = rough >= rough[last] - 2 * slack
+        query, row = query[some], row[some]
         scores = _exact(self.x[row], q[query])
         best = _best(query, self.ids[row], scores, own, k)
         return query[best], self.ids[row[best]], scores[best]
@@ -378,7 +379,7 @@ def _tuned(rows: DataFrame, rotations: dict[int, Rotations], k: int, tables: int
                 if r.dim not in queries:
                     continue
                 own, q = np.array([i for i, _ in queries[r.dim]]), np.array([v for _, v in queries[r.dim]], x.dtype)
-                query, row, _ = _near(x, ids, q, k)
+                query, row, _ = _near(x, q, (k + 1) * _copies(ids))
                 scores = _exact(x[row], q[query])
                 best = _best(query, ids[row], scores, own, k)
                 query, row, scores = query[best], row[best], scores[best]
