@@ -379,6 +379,12 @@ LINKED = "9 * o >= 4 * (na + nb)"
 SIMILAR = "3 * o >= na + nb"
 
 
+def _apart(counts: DataFrame, name: str) -> DataFrame:
+    """``counts`` written, so that a join with it has nothing but shuffles below and Spark can split the rows of a popular leader."""
+    spark = counts.sparkSession
+    return spark.read.parquet(write_table(counts, name, fewer(spark)))
+
+
 def _met_often(pairs: DataFrame) -> DataFrame:
     """(a, b) that meet in enough lists where one leads, and each set of a group with the popular leader it meets most.
 
@@ -393,6 +399,7 @@ def _met_often(pairs: DataFrame) -> DataFrame:
     way = lambda x, y: met.select(F.col(x).alias("fp"), F.col(y).alias("leader"), "m")
     both = way("a", "b").unionByName(way("b", "a"))
     popular = both.groupBy("leader").agg(F.count("*").alias("met")).filter(F.col("met") >= GROUP)
+    popular = _apart(popular, "join-popular")
     best = both.join(popular, "leader").groupBy("fp").agg(F.max(F.struct("m", "met", "leader")).alias("best"))
     close = best.select(F.least("fp", "best.leader").alias("a"), F.greatest("fp", "best.leader").alias("b"))
     return sure.unionByName(close).distinct()
@@ -407,7 +414,7 @@ def _labels(overlaps: DataFrame, classes: DataFrame) -> DataFrame:
     near = overlaps.filter(SIMILAR)
     way = lambda x, y: near.select(F.col(x).alias("fp"), F.col(y).alias("leader"), F.col(f"n{x}").alias("n"), (F.col(f"n{x}") - F.col("o")).alias("extra"))
     both = way("a", "b").unionByName(way("b", "a"))
-    degree = both.groupBy("fp").agg(F.count("*").alias("degree"))
+    degree = _apart(both.groupBy("fp").agg(F.count("*").alias("degree")), "join-degree")
     to = degree.select(F.col("fp").alias("leader"), F.struct("degree", F.col("fp").alias("id")).alias("rank"))
     ranked = both.join(to, "leader").groupBy("fp").agg(F.max(F.struct("rank", "leader", "n", "extra")).alias("best"))
     own = degree.select("fp", F.struct("degree", F.col("fp").alias("id")).alias("own"))
