@@ -1,15 +1,17 @@
 """Byte-level BPE encoding and decoding.
 
-Pre-tokenisation is vectorised and uses no regex at run time.  Every code point
-becomes a symbol (its class plus the little look-ahead the split pattern needs),
+Pre-tokenisation is vectorised and uses no regex on texts; the classes of code
+points alone are read off the split pattern, once.  Every code point becomes a symbol (its class plus the little look-ahead the split pattern needs),
 every symbol is a transition function on eight automaton states, and functions
 compose associatively, so an inclusive scan over a whole batch of concatenated
 texts gives the state at every code point.  The finite monoid generated by the
 symbols is enumerated once; composing two functions is then one table lookup.
 Slices between boundaries feed a bounded cache of merged pieces, and the byte
-offset of every piece is kept.
+offset of every piece is kept: ``decode`` can go straight to some pieces of a text.
 
-Null and empty texts encode to no ids.  Invalid ids raise in ``decode``.
+Null and empty texts encode to no ids, a text of any length is encoded whole,
+repeated rows are encoded each, an empty table gives no rows, and only the named
+columns are read, whatever others are called.  Invalid ids raise in ``decode``.
 """
 
 from __future__ import annotations
@@ -305,8 +307,15 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocab_path: str) -> DataFr
     return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, id_col: str, vocab_path: str) -> DataFrame:
-    """The rows of ``encode`` with ``decoded``: the bytes that the ids stand for."""
+def ids_of_pieces(ids: np.ndarray, piece_starts: np.ndarray, lengths: np.ndarray, pieces: tuple[int, int]) -> np.ndarray:
+    """The ids of the pieces from one to before another; ``lengths``: bytes of each token."""
+    ends = np.cumsum(lengths[ids])
+    at = [piece_starts[p] if p < len(piece_starts) else ends[-1] if len(ends) else 0 for p in pieces]
+    return ids[slice(*np.searchsorted(ends, at, side="right").tolist())]
+
+
+def decode(encoded: DataFrame, id_col: str, vocab_path: str, pieces: tuple[int, int] | None = None) -> DataFrame:
+    """The rows of ``encode`` with ``decoded``: the bytes that the ids stand for, or those of the given pieces alone."""
     kept = encoded.select(id_col, "ids", "piece_starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +323,15 @@ def decode(encoded: DataFrame, id_col: str, vocab_path: str) -> DataFrame:
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        get = tokens.__getitem__
+        get, lengths = tokens.__getitem__, np.fromiter(map(len, tokens), np.int64, len(tokens))
         for batch in batches:
             for begin, end in slices(batch.column(1), CHUNK_BYTES):
                 part = batch.slice(begin, end - begin)
-                texts = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(1).to_pylist()]
+                ids = [np.frombuffer(x or b"", "<u4") for x in part.column(1).to_pylist()]
+                if pieces is not None:
+                    starts = [np.frombuffer(x or b"", "<u4") for x in part.column(2).to_pylist()]
+                    ids = [ids_of_pieces(i, s, lengths, pieces) for i, s in zip(ids, starts, strict=True)]
+                texts = [b"".join(map(get, i.tolist())) for i in ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*part.schema.names, "decoded"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +68,26 @@ def test_round_trip_and_null_texts(spark):
     assert np.frombuffer(first.piece_starts, "<u4").tolist() == [0, 2, 4, 5, 8]
 
 
+def test_query_equals_the_library(spark, data, encoding):
+    docs = {r.doc_id: r.text or "" for r in queries.documents(spark, data).collect()}
+    rows = queries.op2_byte_bpe(spark, data).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        ids = encoding.encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+        assert r.n_pieces == len(regex.findall(tokenizers.PATTERN, docs[r.doc_id]))
+
+
+def test_offsets_lead_to_pieces(spark):
+    texts = ["It's  é\n and more, 12 words…", "", None, "x", "漢字 and 🙂 and so on"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    coded = bpe.encode(df, "doc_id", "text", PATH)
+    for span in ((0, 2), (1, 4), (3, 100), (2, 2)):
+        found = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(coded, "doc_id", PATH, span).collect()}
+        assert found == {i: "".join(regex.findall(tokenizers.PATTERN, t or "")[slice(*span)]) for i, t in enumerate(texts)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(df, "doc_id", "text", PATH), "doc_id", PATH).collect() == []
