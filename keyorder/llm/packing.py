@@ -85,7 +85,7 @@ def plain_tokenizer(path: str):
     """For lower-case ASCII letters and blanks, which the normaliser and the splitter only take apart at the blanks."""
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer(load_tokenizer(path).model)  # shares the vocabulary
     tokenizer.normalizer = normalizers.Sequence([])
     tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     return tokenizer
